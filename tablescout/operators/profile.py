@@ -43,7 +43,7 @@ POS = "_pos"
 
 
 def fields(df: DataFrame) -> list[T.StructField]:
-    return [f for f in fields(df) if f.name != POS]
+    return [f for f in df.schema if f.name != POS]
 
 
 def kind_of(dtype: T.DataType) -> str:
