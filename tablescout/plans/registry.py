@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablescout.plans import querygen_queries
+from tablescout.plans import discovery_queries, profile_queries, querygen_queries
 
-_MODULES = [querygen_queries]
+_MODULES = [profile_queries, querygen_queries, discovery_queries]
 QUERIES, ORACLES = {}, {}
 for _m in _MODULES:
     QUERIES.update(_m.QUERIES)
