@@ -202,7 +202,7 @@ def _route(s, sf):
     landed = table(s, sf, "part").select(
         F.lit("CKAN").alias("connector"),
         F.element_at(texts, (F.col("p_partkey") % n + 1).cast("int")).alias("query"),
-        (F.floor(F.col("p_partkey") / n) % 10 + 1).cast("int").alias("pos"),
+        (F.floor(F.col("p_partkey") / n) + 1).cast("int").alias("pos"),
         F.col("p_partkey").alias("entry_id"))
     return di.landed_answers(queries, landed).select("seed_id", "query_id", "connector", "query", "entry_id", "pos")
 
@@ -212,7 +212,7 @@ _TEXTS = lits([f"CKAN {k.replace('_', ' ')} country year dataset" for k in sorte
     fv.CONCEPT_PATTERNS, key=lambda k: k.replace("_", " "))])
 ORACLES["disc_route"] = f"""{qq.HEAD_SQL}, {qq._dedupe_sql(qq.NORMAL)},
   landed AS (SELECT 'CKAN' AS connector, list_extract({_TEXTS}, (p_partkey % 9 + 1)::INT) AS query,
-    ((p_partkey // 9) % 10 + 1)::INT AS pos, p_partkey AS entry_id FROM part)
+    (p_partkey // 9 + 1)::INT AS pos, p_partkey AS entry_id FROM part)
   SELECT seed_id, id AS query_id, connector, query, entry_id, landed.pos FROM numbered JOIN landed USING (query)
   WHERE id <= 30 AND landed.pos <= 5 AND target_connector = connector"""
 
