@@ -5,8 +5,6 @@ Runs in tasks: Spark cuts both value lists into tiles (see ``operators.entities`
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 
@@ -42,21 +40,18 @@ def ratio(a: set[str], b: set[str]) -> float:
     return 100.0 * best
 
 
-@lru_cache(maxsize=1 << 16)
-def text_ratio(a: str, b: str) -> float:
-    return round(ratio(set(a.split()), set(b.split())), 6)
-
-
 def best_names(names: pd.Series, options: pd.Series, threshold: float) -> pd.DataFrame:
     """Per name the place and score of its best option, the earliest among equals.
 
-    Column names repeat across datasets, so most pairs come from the cache.
+    Column names repeat across datasets, so most pairs of a batch are scored once.
     """
-    out = []
+    out, seen = [], {}
     for name, choices in zip(names, options):
         at, best = None, 0.0
         for i, other in enumerate(choices):
-            score = text_ratio(name, other)
+            if (name, other) not in seen:
+                seen[name, other] = round(ratio(set(name.split()), set(other.split())), 6)
+            score = seen[name, other]
             if score >= threshold and (at is None or score > best):
                 at, best = i, score
         out.append((at, best if at is not None else None))

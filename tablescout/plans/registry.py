@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablescout.plans import discovery_queries, integration_queries, profile_queries, querygen_queries
+from tablescout.plans import discovery_queries, integration_queries, profile_queries, querygen_queries, source_queries
 
-_MODULES = [profile_queries, querygen_queries, discovery_queries, integration_queries]
+_MODULES = [source_queries, profile_queries, querygen_queries, discovery_queries, integration_queries]
 QUERIES, ORACLES = {}, {}
 for _m in _MODULES:
     QUERIES.update(_m.QUERIES)
