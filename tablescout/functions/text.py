@@ -14,6 +14,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def score4(value: Column) -> Column:
+    """Four decimals, half up. Noise of the last bits is cut first, so that the order of
+    additions does not decide a half."""
+    return F.round(F.round(value, 10), 4)
+
+
 def norm_col(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"[\s_\-.\p{Z}]+", " "))
 

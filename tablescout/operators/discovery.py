@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions import fixed_values as fv
-from tablescout.functions.text import extract_years, name_tokens, slug_tokens, token_overlap
+from tablescout.functions.text import extract_years, name_tokens, score4, slug_tokens, token_overlap
 from tablescout.operators.order import top_k, with_position
 from tablescout.operators.skew import salted_join
 from tablescout.session import cut
@@ -148,13 +148,13 @@ def finalize(cands: DataFrame) -> DataFrame:
         .withColumn("years_found", extract_years(F.col("_text")))
         .withColumn("has_year_overlap", F.when(no_years, F.lit(False)).otherwise(year_overlap(
             F.col("years_found"), F.col("_text"), F.col("year_min"), F.col("year_max"))))
-        .withColumn("joinability_score", F.round(
+        .withColumn("joinability_score", score4(
             share("matched_join_fields", "join_fields", w["join"])
             + share("matched_salient_columns", "salient_columns", w["salient"])
-            + F.when(F.col("has_year_overlap"), w["year"]).otherwise(0.0), 4))
-        .withColumn("overall_score", F.round(
+            + F.when(F.col("has_year_overlap"), w["year"]).otherwise(0.0)))
+        .withColumn("overall_score", score4(
             o["relevance"] * F.col("relevance_score") + o["joinability"] * F.col("joinability_score")
-            + o["completeness"] * F.col("metadata_completeness_score"), 4))
+            + o["completeness"] * F.col("metadata_completeness_score")))
         .drop("_text")
     )
 
