@@ -94,10 +94,10 @@ SCORED_SQL = f"""{SEARCH_SQL},
   matched AS (SELECT *, {_match_sql(JOIN_FIELDS, "hay")} AS mj, {_match_sql(SALIENT, "hay")} AS ms,
     {years_sql("hay")} AS years FROM base),
   over AS (SELECT *, len(list_filter(years, lambda y: y BETWEEN 2000 AND 2010)) > 0 OR contains(hay, 'year') AS has_year_overlap FROM matched),
-  joinable AS (SELECT *, round(round(least(len(mj) / {len(JOIN_FIELDS)}, 1) * 0.6::DOUBLE + least(len(ms) / {len(SALIENT)}, 1) * 0.25::DOUBLE
-    + CASE WHEN has_year_overlap THEN 0.15::DOUBLE ELSE 0 END, 10), 4) AS joinability_score FROM over),
-  scored AS (SELECT *, round(round(0.55::DOUBLE * relevance_score + 0.30::DOUBLE * joinability_score
-    + 0.15::DOUBLE * metadata_completeness_score, 10), 4) AS overall_score FROM joinable)"""
+  joinable AS (SELECT *, round((least(len(mj) / {len(JOIN_FIELDS)}, 1) * 0.6::DOUBLE + least(len(ms) / {len(SALIENT)}, 1) * 0.25::DOUBLE
+    + CASE WHEN has_year_overlap THEN 0.15::DOUBLE ELSE 0 END)::DECIMAL(18, 10), 4)::DOUBLE AS joinability_score FROM over),
+  scored AS (SELECT *, round((0.55::DOUBLE * relevance_score + 0.30::DOUBLE * joinability_score
+    + 0.15::DOUBLE * metadata_completeness_score)::DECIMAL(18, 10), 4)::DOUBLE AS overall_score FROM joinable)"""
 
 QUERIES["disc_slug_tokens"] = lambda s, sf: table(s, sf, "documents").select(
     "doc_id", F.array_join(tx.slug_tokens(F.col("text")), "|").alias("tokens"))
