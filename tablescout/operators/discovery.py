@@ -117,9 +117,19 @@ def completeness() -> Column:
     return F.round(sum(texts[1:], texts[0]) / 6 + urls / 6, 4)
 
 
+def field_tokens(fields: Column) -> Column:
+    """Names with their tokens, cut once per seed rather than once per candidate."""
+    return F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.struct(
+        f.alias("name"), name_tokens(f).alias("tokens")))
+
+
 def matched_fields(fields: Column, text: Column) -> Column:
-    """Names all of whose tokens occur in the text; a name without tokens always does."""
-    return F.filter(fields, lambda f: F.forall(name_tokens(f), lambda t: F.contains(text, t)))
+    """Names all of whose tokens occur in the text; a name without tokens always does.
+
+    ``fields``: names with tokens.
+    """
+    kept = F.filter(fields, lambda f: F.forall(f["tokens"], lambda t: F.contains(text, t)))
+    return F.transform(kept, lambda f: f["name"])
 
 
 def year_overlap(years: Column, text: Column, low: Column, high: Column) -> Column:
@@ -127,23 +137,20 @@ def year_overlap(years: Column, text: Column, low: Column, high: Column) -> Colu
     return F.coalesce(hit, F.lit(False))
 
 
-def finalize(cands: DataFrame) -> DataFrame:
-    """Add every score to candidates that carry ``query`` and their seed's fields.
+def with_joinability(rows: DataFrame) -> DataFrame:
+    """Add the seed-side scores to rows of candidate texts and seed fields.
 
-    Seed fields: join_fields, salient_columns, year_min, year_max.
+    Seed fields: join_fields and salient_columns (names with tokens), year_min, year_max.
     """
-    w, o = fv.JOINABILITY_WEIGHTS, fv.OVERALL_WEIGHTS
+    w = fv.JOINABILITY_WEIGHTS
     no_years = F.col("year_min").isNull() | F.col("year_max").isNull()
 
     def share(matched: str, fields: str, weight: float) -> Column:
-        size = F.size(F.coalesce(fields, F.array().cast("array<string>")))
+        size = F.size(fields)
         return F.when(size > 0, F.least(F.size(matched) / size, F.lit(1.0)) * weight).otherwise(0.0)
 
     return (
-        cands.withColumn("_text", searchable_text())
-        .withColumn("relevance_score", token_overlap(F.col("query"), F.col("_text")))
-        .withColumn("metadata_completeness_score", completeness())
-        .withColumn("matched_join_fields", matched_fields(F.col("join_fields"), F.col("_text")))
+        rows.withColumn("matched_join_fields", matched_fields(F.col("join_fields"), F.col("_text")))
         .withColumn("matched_salient_columns", matched_fields(F.col("salient_columns"), F.col("_text")))
         .withColumn("years_found", extract_years(F.col("_text")))
         .withColumn("has_year_overlap", F.when(no_years, F.lit(False)).otherwise(year_overlap(
@@ -152,10 +159,38 @@ def finalize(cands: DataFrame) -> DataFrame:
             share("matched_join_fields", "join_fields", w["join"])
             + share("matched_salient_columns", "salient_columns", w["salient"])
             + F.when(F.col("has_year_overlap"), w["year"]).otherwise(0.0)))
-        .withColumn("overall_score", score4(
-            o["relevance"] * F.col("relevance_score") + o["joinability"] * F.col("joinability_score")
-            + o["completeness"] * F.col("metadata_completeness_score")))
-        .drop("_text")
+    )
+
+
+JOINABILITY = ["matched_join_fields", "matched_salient_columns", "years_found", "has_year_overlap",
+               "joinability_score"]
+
+
+def overall() -> Column:
+    w = fv.OVERALL_WEIGHTS
+    return score4(w["relevance"] * F.col("relevance_score") + w["joinability"] * F.col("joinability_score")
+                  + w["completeness"] * F.col("metadata_completeness_score"))
+
+
+def finalize(found: DataFrame, candidates: DataFrame, fields: DataFrame) -> DataFrame:
+    """All scores of found candidates.
+
+    ``found``: seed_id, query, entry_id and any keys. ``candidates``: entry_id and the
+    candidate columns. ``fields``: per seed join_fields, salient_columns, year_min, year_max.
+    Texts are read once per (query text, entry) and once per (seed, entry), however many
+    queries and seeds share them.
+    """
+    texts = candidates.select("entry_id", searchable_text().alias("_text"))
+    relevance = found.select("query", "entry_id").distinct().join(texts, "entry_id").select(
+        "query", "entry_id", token_overlap(F.col("query"), F.col("_text")).alias("relevance_score"))
+    per_seed = fields.withColumns({c: field_tokens(F.col(c)) for c in ("join_fields", "salient_columns")})
+    joinability = with_joinability(
+        found.select("seed_id", "entry_id").distinct().join(per_seed, "seed_id").join(texts, "entry_id")
+    ).select("seed_id", "entry_id", *JOINABILITY)
+    described = candidates.withColumn("metadata_completeness_score", completeness())
+    return (
+        found.join(relevance, ["query", "entry_id"]).join(joinability, ["seed_id", "entry_id"])
+        .join(described, "entry_id").withColumn("overall_score", overall())
     )
 
 

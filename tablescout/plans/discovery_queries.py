@@ -41,11 +41,10 @@ def _found(s, sf):
 
 
 def _scored(s, sf):
-    hits = _found(s, sf).drop("score").join(_catalog(s, sf).drop("text"), "entry_id")
-    fields = {"join_fields": F.array(*map(F.lit, JOIN_FIELDS)),
-              "salient_columns": F.array(*map(F.lit, SALIENT)),
-              "year_min": F.lit(2000), "year_max": F.lit(2010), "connector": F.lit("DCAT")}
-    return di.finalize(hits.withColumns(fields))
+    fields = table(s, sf, "benchmark").select((F.col("item_id") % 5).alias("seed_id")).distinct().withColumns({
+        "join_fields": F.array(*map(F.lit, JOIN_FIELDS)), "salient_columns": F.array(*map(F.lit, SALIENT)),
+        "year_min": F.lit(2000), "year_max": F.lit(2010)})
+    return di.finalize(_found(s, sf).drop("score"), _catalog(s, sf).drop("text", "catalog_pos", "entry_pos"), fields)
 
 
 def _tok(e):
@@ -162,7 +161,7 @@ def _all_fields(s, sf):
 
 
 QUERIES["disc_field_match"] = lambda s, sf: _all_fields(s, sf).select(
-    "entry_id", F.array_join(di.matched_fields(F.array(*map(F.lit, JOIN_FIELDS + SALIENT)), F.col("hay")), "|").alias("matched"))
+    "entry_id", F.array_join(di.matched_fields(di.field_tokens(F.array(*map(F.lit, JOIN_FIELDS + SALIENT))), F.col("hay")), "|").alias("matched"))
 ORACLES["disc_field_match"] = f"""WITH {CATALOG_SQL} SELECT entry_id, coalesce(list_aggregate(
   {_match_sql(JOIN_FIELDS + SALIENT, "lower(text)")}, 'string_agg', '|'), '') AS matched FROM catalog"""
 
