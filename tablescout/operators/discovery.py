@@ -33,9 +33,10 @@ def catalog_search(queries: DataFrame, catalog: DataFrame, limit: int = fv.PER_Q
 
     Scores come from an inverted index, never from all pairs. Equal query texts are
     searched once. A first look at a few entries of each query's rarest token gives a
-    lower bound ``b`` of its last kept hit count. An entry with ``b`` hits holds one of
-    the ``m - b + 1`` rarest of the ``m`` tokens, so the postings of the ``b - 1`` most
-    frequent ones are skipped and read only for entries already found. Exact for any ``b``.
+    lower bound ``b`` of its last kept hit count. An entry with ``b`` hits holds at least
+    ``r`` of the ``m - b + r`` rarest of the ``m`` tokens, so the postings of the ``b - r``
+    most frequent ones are skipped and read only for entries with ``r`` hits so far.
+    Exact for any ``b`` and ``r``; ``r`` is half of ``b``.
     """
     asked = (
         queries.select("query").distinct()
@@ -70,12 +71,14 @@ def catalog_search(queries: DataFrame, catalog: DataFrame, limit: int = fv.PER_Q
     plan = cut(
         ranked.join(bound, "query", "left")
         .withColumn("bound", F.greatest(F.coalesce("bound", F.lit(1)), F.lit(1)))
-        .withColumn("kept", F.col("rarity") <= F.col("m") - F.col("bound")), "search")
+        .withColumn("need", F.ceil(F.col("bound") / 2))
+        .withColumn("kept", F.col("rarity") < F.col("m") - F.col("bound") + F.col("need")), "search")
 
     found = (
-        salted_join(postings, plan.filter("kept").select("query", "n_tokens", "token"),
+        salted_join(postings, plan.filter("kept").select("query", "n_tokens", "need", "token"),
                     ["token"], F.col("entry_id"))
-        .groupBy("query", "n_tokens", *entry).agg(F.count(F.lit(1)).alias("kept_hits"))
+        .groupBy("query", "n_tokens", "need", *entry).agg(F.count(F.lit(1)).alias("kept_hits"))
+        .filter("kept_hits >= need")
     )
     skipped = plan.filter("not kept").select("query", "token")
     more = (

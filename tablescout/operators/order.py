@@ -12,16 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.session import cut, parallelism
+from tablescout.session import cut
 
 
 def ranged(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """Rows with their key range in ``_chunk``, held as a table.
 
-    Held, because the bounds are sampled: every later read must see the same ones.
+    Held, because the bounds are sampled: every later read must see the same ones. The
+    number of ranges is the session's shuffle partitions, less where the data is small.
     """
-    n = parallelism(df.sparkSession)
-    return cut(df.repartitionByRange(n, *keys).withColumn("_chunk", F.spark_partition_id()), "ranged")
+    return cut(df.repartitionByRange(*keys).withColumn("_chunk", F.spark_partition_id()), "ranged")
 
 
 def with_running_sums(

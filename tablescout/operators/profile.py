@@ -7,6 +7,7 @@ map-side counts, so a column of few values costs little and no column sits in on
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import fixed_values as fv
+from tablescout.functions.text import let
 from tablescout.operators.order import exact_quantiles, top_k
 from tablescout.session import cut
 
@@ -343,9 +345,13 @@ def composite_keys(df: DataFrame, ids: list[str], limit: int = 5) -> DataFrame:
 
 def concepts(names_text: Column) -> Column:
     """Sorted topic areas of a text of column names."""
-    text = F.lower(names_text)
-    hits = [F.when(text.rlike(p), F.lit(c)) for c, p in sorted(fv.CONCEPT_PATTERNS.items())]
-    return F.array_compact(F.array(*hits))
+    def hits(text):
+        # The patterns are plain alternatives, and a text search beats a regex on long texts.
+        return F.array_compact(F.array(*[
+            F.when(reduce(lambda a, b: a | b, [
+                F.contains(text, F.lit(w)) for w in p.strip("()").split("|")]), F.lit(c))
+            for c, p in sorted(fv.CONCEPT_PATTERNS.items())]))
+    return let(F.lower(names_text), hits)
 
 
 def signature_lists(profile: DataFrame) -> DataFrame:
@@ -395,8 +401,8 @@ def signature(df: DataFrame, name: str, pos: str | None = None,
         lambda s: F.array(s["col_a"], s["col_b"])).alias("candidate_composite_keys"))
     lists, dup = signature_lists(prof), duplicate_rows(df)
     joined_names = F.array_join("column_names", " ")
-    # Three one-row tables side by side.
-    one = lists.join(keys, F.lit(True)).join(dup, F.lit(True))
+    parts = lists.unionByName(keys, allowMissingColumns=True).unionByName(dup, allowMissingColumns=True)
+    one = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])  # three rows
     return one.select(
         F.lit(name).alias("dataset_name"), F.lit(file_format).alias("file_format"),
         F.current_timestamp().cast("string").alias("profiled_at"),

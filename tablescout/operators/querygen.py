@@ -1,6 +1,7 @@
 """Search queries from seed signatures, many seeds at once.
 
-A signature row holds ``seed_id, columns, concepts, identifiers, samples``. The fixed
+A signature row holds ``seed_id, columns, concepts, identifiers, samples``; every strategy
+reads the rows again, so pass a written table rather than a long plan. The fixed
 lists (topics, sources, synonyms, phrases) are literal arrays that each row explodes, so
 generation is a narrow step without joins. ``branch`` and ``pos`` carry the list order.
 """
@@ -160,6 +161,9 @@ def union_dedupe(*branches: DataFrame, per_connector: bool = False) -> DataFrame
     rows = branches[0]
     for b in branches[1:]:
         rows = rows.unionByName(b)
+    # One shuffle by seed serves this step and the numbering that follows; a seed's
+    # queries are bounded by its column count.
+    rows = rows.repartition("seed_id")
     text = F.lower(F.regexp_replace("query", r"^\s+|\s+$", ""))
     keys = ["seed_id", "_text"] + (["target_connector"] if per_connector else [])
     return top_k(rows.withColumn("_text", text), keys,

@@ -11,6 +11,7 @@ from tablescout.operators import integrate as it
 from tablescout.operators import matching as ma
 from tablescout.plans import discovery_queries as dq
 from tablescout.plans.inputs import COLUMN_NAMES, SIGNATURES_SQL, lits, signatures, table, values
+from tablescout.session import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -151,17 +152,20 @@ def _overlaps(s, sf):
 
 
 def _keys(s, sf):
-    return ma.join_keys(_overlaps(s, sf))
+    """The key verdicts as the table that planning leaves behind."""
+    return cut(ma.join_keys(_overlaps(s, sf)), "keys")
 
 
-def _new(s, sf):
+def _new(s, sf, keys=None):
     cols = _cand_pos(_cand_cols(s, sf))
-    return ma.new_attributes(cols, _keys(s, sf).filter("is_key"), _mapping(s, sf), _seed_cols(s, sf))
+    keys = keys if keys is not None else _keys(s, sf)
+    return ma.new_attributes(cols, keys.filter("is_key"), _mapping(s, sf), _seed_cols(s, sf))
 
 
-def _owned(s, sf):
-    keyed = _keys(s, sf).filter("is_key").select("seed_id", "dataset_id").distinct()
-    return ma.first_owner(_new(s, sf).join(keyed, ["seed_id", "dataset_id"], "left_semi").withColumn(
+def _owned(s, sf, keys=None):
+    keys = keys if keys is not None else _keys(s, sf)
+    keyed = keys.filter("is_key").select("seed_id", "dataset_id").distinct()
+    return ma.first_owner(_new(s, sf, keys).join(keyed, ["seed_id", "dataset_id"], "left_semi").withColumn(
         "rank", F.col("dataset_id")))
 
 
@@ -169,7 +173,8 @@ def _statuses(s, sf):
     cands = table(s, sf, "orders").selectExpr(
         "o_custkey AS seed_id", "o_orderkey AS dataset_id", "o_orderkey % 6 AS n_urls",
         "CASE WHEN o_orderstatus <> 'P' THEN concat('http://example.org/', o_orderkey, '.csv') END AS usable_url")
-    return ma.statuses(cands, _keys(s, sf), _owned(s, sf))
+    keys = _keys(s, sf)
+    return ma.statuses(cands, keys, _owned(s, sf, keys))
 
 
 _CN_SQL = f"list_extract({lits(CAND_NAMES)}, (l_partkey % {len(CAND_NAMES)} + 1)::INT)"
@@ -419,7 +424,7 @@ def report(rows):
         rows.groupBy("seed_id").agg(items.alias("candidates")), "seed_id")
 
 
-QUERIES["int_report"] = lambda s, sf: report(_statuses(s, sf)).select(
+QUERIES["int_report"] = lambda s, sf: report(cut(_statuses(s, sf), "statuses")).select(
     "seed_id", "candidates_eligible", "candidates_integrated", F.array_join(F.transform(
         "candidates", lambda c: F.concat_ws(":", c["dataset_id"].cast("string"), c["status"], c["skip_reason"])), "|").alias("candidates"))
 ORACLES["int_report"] = f"""WITH {PLAN_SQL} SELECT seed_id, count(*) AS candidates_eligible,

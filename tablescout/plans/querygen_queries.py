@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import fixed_values as fv
 from tablescout.operators import querygen as qg
-from tablescout.plans.inputs import SIGNATURES_SQL, signatures, table, values
+from tablescout.plans.inputs import SIGNATURES_SQL, table, values
+from tablescout.plans.inputs import signatures as signature_rows
+from tablescout.session import cut
 
 Y0, Y1 = fv.YEAR_RANGE
 COLS = ["seed_id", "query", "target_connector", "strategy", "priority"]
@@ -27,6 +29,11 @@ reg AS (SELECT seed_id, unnest(regions[1:2]) AS region, unnest(range(len(regions
 """
 
 
+def signatures(spark, sf):
+    """The signatures as the table that profiling leaves behind."""
+    return cut(signature_rows(spark, sf), "signatures")
+
+
 def _branch(select: str, source: str, strategy: str, priority: int, branch: int, order: str,
             connector: str = "connector", concept: str = "NULL", tier: str = "NULL") -> str:
     return (f"SELECT seed_id, {select} AS query, {connector} AS target_connector, "
@@ -104,6 +111,11 @@ def _generated(spark, sf):
     return qg.generate(signatures(spark, sf))
 
 
+def _normal_and_fallback(spark, sf):
+    sig = signatures(spark, sf)
+    return qg.generate(sig).unionByName(qg.fallback(sig, qg.sufficiency(_feedback(spark, sf))))
+
+
 QUERIES["qgen_union_dedupe"] = lambda spark, sf: _normal(spark, sf).select(*COLS)
 ORACLES["qgen_union_dedupe"] = f"{HEAD_SQL}, {_dedupe_sql(NORMAL)} SELECT {FIELDS} FROM uniq"
 QUERIES["qgen_order_ids"] = lambda spark, sf: _generated(spark, sf).select("id", *COLS)
@@ -173,8 +185,7 @@ ORACLES["qgen_fallback"] = f"""{HEAD_SQL}, {FEEDBACK_SQL},
   {_dedupe_sql(TIERS, "JOIN suff USING (seed_id) WHERE fallback_tier <= relaxation_level")}
   SELECT id, {FIELDS}, fallback_tier FROM numbered"""
 
-QUERIES["qgen_summary"] = lambda spark, sf: qg.summary(
-    _generated(spark, sf).unionByName(_fallback(spark, sf)))
+QUERIES["qgen_summary"] = lambda spark, sf: qg.summary(_normal_and_fallback(spark, sf))
 ORACLES["qgen_summary"] = f"""{HEAD_SQL}, {FEEDBACK_SQL}, {_dedupe_sql(NORMAL)},
   raw2 AS ({" UNION ALL ".join(f"({BRANCHES[n][1]})" for n in TIERS)}),
   uniq2 AS (SELECT raw2.* FROM raw2 JOIN suff USING (seed_id) WHERE fallback_tier <= relaxation_level

@@ -10,7 +10,7 @@ from tablescout.plans import integration_queries as iq
 from tablescout.plans import profile_queries as pq
 from tablescout.plans import querygen_queries as qq
 from tablescout.plans.inputs import lits, table
-from tablescout.session import new_folder
+from tablescout.session import cut, new_folder
 from tablescout.sources import landed as la
 from tablescout.sources import pages as pg
 from tablescout.sources import payloads as pl
@@ -414,7 +414,7 @@ ORACLES["sink_augmented"] = f"""WITH {iq.AUG_SQL} SELECT order_id, cust_id, c_na
 
 
 def _w_report(s, sf, path):
-    si.write_report(iq.report(iq._statuses(s, sf)), path)
+    si.write_report(iq.report(cut(iq._statuses(s, sf), "statuses")), path)
     return path
 
 
