@@ -119,35 +119,48 @@ def parse(name: str, raw: bytes):
     return *found, ""
 
 
+CELL_COLUMNS = ["url", "member", "row_id", "col_pos", "col", "value", "error"]
+FRAME_ROWS = 50000
+
+
+def cells_of(url: str, raw: bytes):
+    """Cells of one file: (url, member, row_id, col_pos, col, value, error)."""
+    member, data, error = unpack(url, raw)
+    header = rows = None
+    if data is not None:
+        header, rows, error = parse(member, data)
+    if not error and len(header) < 2:
+        error = f"only {len(header)} column(s)"
+    elif not error and not rows:
+        error = "empty table"
+    if error:
+        yield url, member, None, None, None, None, error
+        return
+    for i, row in enumerate(rows):
+        for j, h in enumerate(header):
+            v = row[j] if j < len(row) else None
+            yield url, member, i, j, str(h), None if v in fv.NA_TOKENS else v, ""
+
+
 def file_cells(batches):
-    """Cells of landed files: (url, member, row_id, col_pos, col, value, error).
+    """Cells of landed files in frames of bounded size, many small files to a frame.
 
     A file that gives no usable table has one row with its error.
     """
-    columns = ["url", "member", "row_id", "col_pos", "col", "value", "error"]
+    held = []
     for pdf in batches:
         for url, raw in zip(pdf["url"], pdf["content"]):
-            member, data, error = unpack(url, bytes(raw))
-            header = rows = None
-            if data is not None:
-                header, rows, error = parse(member, data)
-            if not error and len(header) < 2:
-                error = f"only {len(header)} column(s)"
-            elif not error and not rows:
-                error = "empty table"
-            if error:
-                yield pd.DataFrame([(url, member, None, None, None, None, error)], columns=columns)
-                continue
-            for start in range(0, len(rows), 10000):
-                out = [(url, member, start + i, j, str(h), v if v not in fv.NA_TOKENS else None, "")
-                       for i, row in enumerate(rows[start:start + 10000])
-                       for j, (h, v) in enumerate(zip(header, [*row, *[None] * (len(header) - len(row))]))]
-                yield pd.DataFrame(out, columns=columns)
+            for cell in cells_of(url, bytes(raw)):
+                held.append(cell)
+                if len(held) >= FRAME_ROWS:
+                    yield pd.DataFrame(held, columns=CELL_COLUMNS)
+                    held = []
+    if held:
+        yield pd.DataFrame(held, columns=CELL_COLUMNS)
 
 
 def unpacked(batches):
-    """Archive members: (url, member, content, error)."""
+    """Archive members: (url, member, content, error), one frame per batch of files."""
     for pdf in batches:
-        for url, raw in zip(pdf["url"], pdf["content"]):
-            member, data, error = unpack(url, bytes(raw))
-            yield pd.DataFrame([(url, member, data, error)], columns=["url", "member", "content", "error"])
+        rows = [(url, *unpack(url, bytes(raw))) for url, raw in zip(pdf["url"], pdf["content"])]
+        yield pd.DataFrame(rows, columns=["url", "member", "content", "error"])

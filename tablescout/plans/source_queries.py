@@ -183,11 +183,12 @@ _N = "transform(sequence(1, p_size), i -> {item})"
 
 
 def _answers(s, sf, item, wrap, source="'Portal'", url="'https://portal.example.org'"):
+    """The table of landed answers."""
     body = wrap.format(items=_N.format(item=item))
-    return table(s, sf, "part").selectExpr(
+    return cut(table(s, sf, "part").selectExpr(
         "p_partkey AS query_id", "p_name AS query", f"{source} AS source_name", f"{url} AS source_url",
         "CASE WHEN p_partkey % 17 = 0 THEN 500 ELSE 200 END AS status", "CAST(NULL AS string) AS error",
-        f"CASE WHEN p_partkey % 13 = 0 THEN 'not json' ELSE to_json({body}) END AS body")
+        f"CASE WHEN p_partkey % 13 = 0 THEN 'not json' ELSE to_json({body}) END AS body"), "landed")
 
 
 GOOD = "p_partkey % 17 > 0 AND p_partkey % 13 > 0"
