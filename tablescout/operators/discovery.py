@@ -90,7 +90,9 @@ def catalog_search(queries: DataFrame, catalog: DataFrame, limit: int = fv.PER_Q
     scored = found.join(more, ["query", "entry_id"], "left").select(
         "query", *entry, F.round(hits / F.col("n_tokens"), 4).alias("score"))
     best = top_k(scored, ["query"], [F.desc("score"), *in_order], limit, "pos")
-    return queries.join(best.select("query", "entry_id", "score", "pos"), "query")
+    # Many seeds may ask the same text; its few answers meet them in many tasks.
+    return salted_join(queries, best.select("query", "entry_id", "score", "pos"), ["query"],
+                       F.struct(*queries.columns))
 
 
 def _count_hits(pairs: DataFrame, ranked: DataFrame, postings: DataFrame) -> DataFrame:
@@ -192,7 +194,8 @@ def finalize(found: DataFrame, candidates: DataFrame, fields: DataFrame) -> Data
     ).select("seed_id", "entry_id", *JOINABILITY)
     described = candidates.withColumn("metadata_completeness_score", completeness())
     return (
-        found.join(relevance, ["query", "entry_id"]).join(joinability, ["seed_id", "entry_id"])
+        salted_join(found, relevance, ["query", "entry_id"], F.col("seed_id"))
+        .join(joinability, ["seed_id", "entry_id"])
         .join(described, "entry_id").withColumn("overall_score", overall())
     )
 
@@ -225,7 +228,7 @@ def landed_answers(queries: DataFrame, landed: DataFrame, max_queries: int = fv.
     """Queries with the candidates landed for them, ``limit`` per query and source."""
     sent = run_plan(queries, max_queries).filter(F.col("connector").isin(fv.REACHABLE_CONNECTORS))
     hits = landed.filter(F.col("pos") <= limit)
-    return sent.join(hits, ["connector", "query"])
+    return salted_join(sent, hits, ["connector", "query"], F.col("seed_id"))
 
 
 def sorted_results(rows: DataFrame, dedupe: bool = False) -> DataFrame:

@@ -192,6 +192,12 @@ def status_counts(rows: DataFrame) -> DataFrame:
         n("join_failed").alias("candidates_failed"))
 
 
+def report(rows: DataFrame) -> DataFrame:
+    """One report row per seed with its candidates in order: at most those attempted."""
+    items = F.array_sort(F.collect_list(F.struct("dataset_id", "status", "skip_reason")))
+    return status_counts(rows).join(rows.groupBy("seed_id").agg(items.alias("candidates")), "seed_id")
+
+
 def conflicts(cells: DataFrame) -> DataFrame:
     """Contradicting values of one attribute from different sources.
 

@@ -417,14 +417,7 @@ ORACLES["int_conflicts"] = """WITH p AS (SELECT o_orderkey % 7 = 0 AS bad FROM o
   UNION ALL SELECT 'customer', count(*), count(*) FILTER (o_orderkey % 11 = 0), round(avg((o_orderkey % 11 = 0)::INT), 4) FROM orders"""
 
 
-def report(rows):
-    """One report row per seed with its candidates in order (at most top_k)."""
-    items = F.array_sort(F.collect_list(F.struct("dataset_id", "status", "skip_reason")))
-    return ma.status_counts(rows).join(
-        rows.groupBy("seed_id").agg(items.alias("candidates")), "seed_id")
-
-
-QUERIES["int_report"] = lambda s, sf: report(cut(_statuses(s, sf), "statuses")).select(
+QUERIES["int_report"] = lambda s, sf: ma.report(cut(_statuses(s, sf), "statuses")).select(
     "seed_id", "candidates_eligible", "candidates_integrated", F.array_join(F.transform(
         "candidates", lambda c: F.concat_ws(":", c["dataset_id"].cast("string"), c["status"], c["skip_reason"])), "|").alias("candidates"))
 ORACLES["int_report"] = f"""WITH {PLAN_SQL} SELECT seed_id, count(*) AS candidates_eligible,

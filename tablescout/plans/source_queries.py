@@ -415,7 +415,7 @@ ORACLES["sink_augmented"] = f"""WITH {iq.AUG_SQL} SELECT order_id, cust_id, c_na
 
 
 def _w_report(s, sf, path):
-    si.write_report(iq.report(cut(iq._statuses(s, sf), "statuses")), path)
+    si.write_report(iq.ma.report(cut(iq._statuses(s, sf), "statuses")), path)
     return path
 
 
