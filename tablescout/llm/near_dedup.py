@@ -19,8 +19,7 @@ from tablescout.llm.components import components
 from tablescout.llm.texts import BASE, Words, list_column, mix, mix32, pieces, signed, utf8
 from tablescout.session import cut
 
-STAR_ROUNDS = 6  # rounds of links to one centre per bucket before all open pairs are tested
-OPEN_PAIRS = 2  # open pairs per bucket member at which they are tested at once
+STARS = 2  # rounds in which every bucket's classes are tested against one of them
 
 
 def circulant(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -105,12 +104,11 @@ def links(sig: DataFrame, docs: DataFrame, k: int, per_cent: int) -> tuple[DataF
     """Classes of equal sets, and the component of every class that has a link.
 
     Equal sets are one class before anything is joined, so thousands of copies cost one
-    row. In each bucket all classes are tested against one centre a round; classes that
-    the centre gathers are one component and need no test among themselves. What is still
-    open after that, pairs of different components in one bucket, is tested as pairs, so
-    every pair that shares a bucket is either linked already or tested on its whole sets.
+    row. First all classes of a bucket are tested against one centre; classes that it
+    gathers are one component and need no test among themselves. Classes of buckets that
+    still hold several components are then joined on their rarest shingles, which loses no
+    pair, so that no link is left out however large the bucket is.
     """
-    spark = sig.sparkSession
     full = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("n_shingles", "d1", "d2").agg(
         F.min("doc_id").alias("cls"), F.first("bands").alias("bands")), "classes")
@@ -122,37 +120,53 @@ def links(sig: DataFrame, docs: DataFrame, k: int, per_cent: int) -> tuple[DataF
     sets = cut(docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string"))
                .join(wanted, "cls", "left_semi").mapInArrow(_shingler(k), "cls long, s array<long>")
                .filter("size(s) > 0").dropDuplicates(["cls", "s"]), "sets")
-    found = spark.createDataFrame([], "a long, b long")
-    tested = spark.createDataFrame([], "a long, b long")
-    label = spark.createDataFrame([], "cls long, component long")
-    for turn in range(STAR_ROUNDS + 1):
-        state = cut(members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "state")
-        per = state.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(
-            F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        mixed = cut(per.filter("m * m > q"), "mixed")
-        total = mixed.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
-        if not total[0]:
-            break
-        state = state.join(mixed.select("bucket"), "bucket")
-        last = turn == STAR_ROUNDS or total[1] <= OPEN_PAIRS * total[0]
-        right = state.select("bucket", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        if last:
-            left = state.select("bucket", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        else:
-            place = F.xxhash64("cls", F.lit(turn))
-            left = state.groupBy("bucket").agg(F.min(F.struct(place.alias("p"), "cls", "n", "component")).alias("c")).select(
-                "bucket", F.col("c.cls").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
-        pairs = (left.join(right, "bucket").filter("ca < cb" if last else "ca <> cb").filter(_fits(per_cent))
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        pairs = cut(pairs, "pairs")
-        tested = tested.union(pairs)
-        found = found.union(cut(_verified(pairs, sets, per_cent), "found"))
-        found_components = components(found, "a", "b")
-        label = cut(found_components.select(F.col("node").alias("cls"), "component"), "label")
-        if last:
-            break
-    return classes, label
+    found = label = None
+    for turn in range(STARS):
+        state = _mixed(members, label)
+        place = F.xxhash64("cls", F.lit(turn))
+        centre = state.groupBy("bucket").agg(F.min(F.struct(place.alias("p"), "cls", "n", "component")).alias("c")).select(
+            "bucket", F.col("c.cls").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
+        other = state.select("bucket", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        pairs = centre.join(other, "bucket").filter("ca <> cb").filter(_fits(per_cent)).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = cut(_verified(pairs, sets, per_cent), "found")
+        found = new if found is None else found.union(new)
+        label = _label(found)
+    pairs = _open_pairs(_mixed(members, label).select("cls", "component").distinct(), sets, per_cent)
+    return classes, _label(found.union(_verified(pairs, sets, per_cent)))
+
+
+def _label(found: DataFrame) -> DataFrame:
+    return cut(components(found, "a", "b").select(F.col("node").alias("cls"), "component"), "label")
+
+
+def _mixed(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The members of buckets that hold more than one component so far."""
+    own = F.col("cls")
+    state = members.withColumn("component", own) if label is None else members.join(label, "cls", "left").withColumn(
+        "component", F.coalesce("component", own))
+    several = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    return cut(state.join(several, "bucket"), "mixed")
+
+
+def _open_pairs(rest: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs of different components that can still be alike: they share a rare shingle.
+
+    Two sets of the similarity share one of their n - ceil(per_cent * n / 100) + 1 rarest
+    shingles. In a group of near copies the rarest are those of a copy's own changes, so
+    copies changed too much meet nobody, and no pair of one component is made.
+    """
+    rows = sets.join(rest, "cls").select("cls", "component", F.size("s").alias("n"), F.explode("s").alias("g"))
+    often = rows.groupBy("g").agg(F.count("*").alias("f"), F.min("component").alias("x"), F.max("component").alias("y"))
+    ranked = rows.join(often, "g").groupBy("cls", "component", "n").agg(
+        F.array_sort(F.collect_list(F.struct("f", "g", (F.col("x") != F.col("y")).alias("open")))).alias("r"))
+    size = (F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).cast("int")
+    head = cut(ranked.select("cls", "component", "n", F.explode(F.filter(F.slice("r", 1, size), lambda x: x["open"])).alias("t")).select(
+        "cls", "component", "n", F.col("t.g").alias("g")), "rare")
+    left = head.select("g", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = head.select("g", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    return left.join(right, "g").filter("ca < cb").filter(_fits(per_cent)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
