@@ -161,12 +161,21 @@ def _open_pairs(rest: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     ranked = rows.join(often, "g").groupBy("cls", "component", "n").agg(
         F.array_sort(F.collect_list(F.struct("f", "g", (F.col("x") != F.col("y")).alias("open")))).alias("r"))
     size = (F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).cast("int")
-    head = cut(ranked.select("cls", "component", "n", F.explode(F.filter(F.slice("r", 1, size), lambda x: x["open"])).alias("t")).select(
-        "cls", "component", "n", F.col("t.g").alias("g")), "rare")
-    left = head.select("g", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = head.select("g", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return left.join(right, "g").filter("ca < cb").filter(_fits(per_cent)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    head = F.transform(F.slice("r", 1, size), lambda x, i: F.struct(x["g"].alias("g"), x["open"].alias("open"), i.alias("i")))
+    head = ranked.select("cls", "component", "n", head.alias("r")).select(
+        "cls", "component", "n", F.transform("r", lambda x: x["g"]).alias("gs"), F.explode(F.filter("r", lambda x: x["open"])).alias("t"))
+    head = cut(head.select("cls", "component", "n", F.col("t.g").alias("g"), F.col("t.i").alias("i"),
+                           F.when(F.col("t.i") > 0, F.slice("gs", F.lit(1), F.col("t.i"))).otherwise(F.array().cast("array<long>")).alias("before")), "rare")
+
+    def side(x):
+        return head.select(F.col("g").alias("g" + x), *(F.col(c).alias(c + x) for c in ("cls", "n", "component", "i", "before")))
+
+    # the rarest common shingle decides for a pair; what is left behind it bounds the overlap
+    rest = 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
+    enough = rest * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent
+    return side("a").join(side("b"), (F.col("ga") == F.col("gb")) & (F.col("componenta") < F.col("componentb")) & _fits(per_cent) & enough
+                          & ~F.arrays_overlap("beforea", "beforeb")).select(
+        F.least("clsa", "clsb").alias("a"), F.greatest("clsa", "clsb").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
