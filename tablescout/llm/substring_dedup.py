@@ -159,9 +159,10 @@ def passages(docs: DataFrame) -> DataFrame:
     here = cut(texts.select("dk", "text").mapInArrow(
         _paragraphs, "dk long, pos int, " + ", ".join(f"h{b} long" for b in range(BANDS))), "paragraphs")
     keys = here.select("dk", "pos", F.explode(F.array(*[f"h{b}" for b in range(BANDS)])).alias("h"))
-    shared = keys.groupBy("h").agg(F.min(F.struct("dk", "pos")).alias("c"), F.max("dk").alias("last")).filter("c.dk <> last").select(
-        "h", F.col("c.dk").alias("cdk"), F.col("c.pos").alias("cpos"))
-    links = cut(keys.join(shared, "h").filter("dk <> cdk OR pos <> cpos").select("dk", "pos", "cdk", "cpos").distinct(), "links")
+    shared = keys.groupBy("h").agg(F.min("dk").alias("cdk"), F.max("dk").alias("last")).filter("cdk <> last").select("h", "cdk")
+    found = cut(keys.join(shared, "h"), "colliding")
+    centre = found.filter("dk = cdk").groupBy("h").agg(F.min("pos").alias("cpos"))
+    links = cut(found.join(centre, "h").filter("dk <> cdk OR pos <> cpos").select("dk", "pos", "cdk", "cpos").distinct(), "links")
     wanted = links.select("dk", "pos").union(links.select("cdk", "cpos")).distinct()
     sets = cut(_asked(texts, wanted, "pos").mapInArrow(_sets, "dk long, doc_id long, pos int, s array<int>")
                .dropDuplicates(["dk", "pos"]), "sets")
