@@ -72,7 +72,8 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             circle = (mix(value) >> np.uint64(32)).astype(np.uint32)
             keys = []
             for b in range(BANDS):
-                h = np.full(len(at), b + 1, np.uint64)
+                # like paragraphs start at the same word; without it neighbours of one text collide
+                h = words.hash[at] + np.uint64(b + 1)
                 for r in range(ROWS):
                     low = _sliding(mix32(circle + np.uint32(b * ROWS + r)), LENGTH - SHINGLE + 1, np.minimum)
                     h = h * np.uint64(BASE) + low[at]

@@ -76,7 +76,7 @@ def _best_exact(own: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     for i, me in enumerate(own):
         order = sorted((j for j in range(len(ids)) if ids[j] != me), key=lambda j: (-scores[i, j], ids[j]))[:k]
         top[i, :len(order)] = ids[order]
-        value[i, :len(order)] = [max(-(2**63), min(2**63 - 1, scores[i, j])) for j in order]
+        value[i, :len(order)] = [max(1 - 2**63, min(2**63 - 1, scores[i, j])) for j in order]
     return top, value
 
 
@@ -90,7 +90,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, tile: int = TILE)
     Rows whose vec_id or v is null, or whose v holds null or is of another length than
     most, take no part; of rows with one vec_id the largest vector counts once. With fewer
     candidates than ``k`` all are given; without any, a query has no row. Scores beyond 64
-    bits are given as the nearest 64-bit number. Other columns are ignored.
+    bits are given as the largest of their sign. Other columns are ignored.
     """
     def sound(df: DataFrame) -> DataFrame:
         v = F.col("v").cast("array<bigint>")

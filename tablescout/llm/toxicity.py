@@ -228,7 +228,7 @@ def _tagged(shared):
                 spans = pa.StructArray.from_arrays(
                     [pa.array(start[bad[head]].astype(np.int32)), pa.array(end[bad[tail]].astype(np.int32))], fields=list(span))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, p, minlength=n)), pa.array(peak),
+                    [part.column("row"), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, p, minlength=n).astype(float)), pa.array(peak),
                      list_column(spans, np.bincount(row[bad[head]], minlength=n))], names=["row", "tokens", "mass", "peak", "spans"])
     return run
 
