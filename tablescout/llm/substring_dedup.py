@@ -220,10 +220,14 @@ def passages(docs: DataFrame) -> DataFrame:
     part = F.sum(F.when(F.col("w0") <= past, 0).otherwise(1)).over(w)
     merged = sides.withColumn("past", past).withColumn("part", part).groupBy("dk", "removed", "part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"),
-        F.min(F.struct("component", "kept_id")).alias("o"))
+        F.min("component").alias("component"), F.min("kept_id").alias("kept_id"))
+    # what one cluster keeps and another removes whole is removed
+    merged = cut(merged, "merged")
+    gone = merged.filter("removed").select(F.col("dk").alias("d"), F.col("start").alias("a"), F.col("end").alias("b"))
+    stays = merged.filter("NOT removed").join(gone, F.expr("dk = d AND a <= start AND end <= b"), "left_anti")
     ids = sets.select("dk", "doc_id").distinct()
-    return merged.join(ids, "dk").select("dk", "doc_id", "start", "end", "n_words", F.col("o.component").alias("component"),
-                                         F.col("o.kept_id").alias("kept_id"), "removed")
+    return merged.filter("removed").union(stays).join(ids, "dk").select(
+        "dk", "doc_id", "start", "end", "n_words", "component", "kept_id", "removed")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
