@@ -184,7 +184,7 @@ def passages(docs: DataFrame) -> DataFrame:
     part = F.sum(F.when(F.col("pos") - F.lag("pos").over(w) <= LENGTH + STEP, 0).otherwise(1)).over(w)
     island = rows.withColumn("part", part).groupBy("dk", "cdk", "part").agg(
         F.min(F.struct("pos", "cpos")).alias("f"), F.max(F.struct("pos", "cpos")).alias("l"),
-        F.min(F.struct("component", "kept_id", "kept_dk")).alias("o"))
+        F.min(F.struct("kept_id", "kept_dk", "component")).alias("o"))
     # where the partner's places run on alike, its passage ends at its own last paragraph
     along = (F.col("l.cpos") - F.col("f.cpos")).between(0, 2 * (F.col("l.pos") - F.col("f.pos")) + LENGTH)
     island = cut(island.select(
