@@ -22,12 +22,19 @@ KNOWN = 1 << 19  # pre-tokens whose ids a task keeps before it starts anew
 
 
 class Encoder:
-    """Token ids of whole texts, each distinct pre-token encoded once while it is kept."""
+    """Token ids of whole texts, each distinct pre-token encoded once while it is kept.
+
+    Broadcast, a Python worker keeps it and what it knows from task to task.
+    """
 
     def __init__(self, path: str):
+        self.path = path
         self.splitter = Splitter(path)
         self._forget()
 
+    def __reduce__(self):
+        return Encoder, (self.path,)
+
     def _forget(self):
         self.seen = Interner()
         self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -40,7 +47,7 @@ class Encoder:
         codes, start, end, value, first = self.splitter.split(parts)
         number, fresh = self.seen.number(value)
         if len(fresh):
-            got = self.splitter.tokenizer.encode_batch(
+            got = self.splitter.tokenizer.encode_batch_fast(
                 [text_of(codes, start[i], end[i]) for i in fresh], add_special_tokens=False)
             ids = [e.ids for e in got]
             size = np.array([len(x) for x in ids], np.int64)
@@ -59,9 +66,9 @@ class Encoder:
         return out, np.concatenate([bounds[np.searchsorted(row, np.arange(len(texts)))], bounds[-1:]])
 
 
-def _cutter(path: str, capacity: int, end_id: int):
+def _cutter(shared, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared.value
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids, offs = encoder.encode(part.column("text").to_pylist())
@@ -159,7 +166,8 @@ def packed(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0) ->
     their own; other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = cut(texts.mapInArrow(_cutter(path, capacity, end_id),
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(path))
+    cuts = cut(texts.mapInArrow(_cutter(shared, capacity, end_id),
                                 "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "cuts")
     rows = cuts.withColumn("row", F.monotonically_increasing_id())
     full = rows.filter(F.col("length") == capacity).select(

@@ -48,7 +48,7 @@ def _piece_counter(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                got = tokenizer.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)
+                got = tokenizer.encode_batch_fast(part.column("word").to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("h"), part.column("n"), pa.array([len(e) for e in got], pa.int32())], names=["h", "n", "pieces"])
     return run
