@@ -1,4 +1,4 @@
-"""Opening landed files inside tasks. Every file is at most the download limit."""
+"""Opening landed files inside tasks. A file that cannot be read gives its reason, never an error."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import csv
 import gzip
 import io
 import json
+import sys
 import zipfile
+import zlib
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -19,16 +21,18 @@ def suffix(name: str) -> str:
     return PurePosixPath(name.split("?")[0].split("#")[0]).suffix.lower()
 
 
-def unpack(name: str, raw: bytes, depth: int = 3) -> tuple[str, bytes | None, str]:
+def unpack(name: str, raw: bytes) -> tuple[str, bytes | None, str]:
     """The innermost file of an archive: (member name, bytes, error)."""
+    seen = set()
     while True:
         is_zip = suffix(name) == ".zip" or raw[:4] == b"PK\x03\x04"
         is_gz = suffix(name) == ".gz" or raw[:2] == b"\x1f\x8b"
         if not (is_zip or is_gz):
             return name, raw, ""
-        if depth == 0:
-            return name, None, "archive nested too deeply"
-        depth -= 1
+        mark = len(raw), zlib.crc32(raw)
+        if mark in seen:
+            return name, None, "archive holds itself"
+        seen.add(mark)
         try:
             if is_zip:
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -41,7 +45,7 @@ def unpack(name: str, raw: bytes, depth: int = 3) -> tuple[str, bytes | None, st
                 name = name[:-3] if name.lower().endswith(".gz") else name
         except zipfile.BadZipFile:
             return name, None, "not a valid ZIP file"
-        except (OSError, EOFError, ValueError, RuntimeError) as e:
+        except (OSError, EOFError, ValueError, RuntimeError, NotImplementedError, zlib.error) as e:
             return name, None, f"decompression error: {e}"
 
 
@@ -49,8 +53,8 @@ def first_table(names: list[str]) -> str:
     """The member to read: by kind of file, then by place; hidden paths do not count."""
     visible = [n for n in names if not any(
         p.startswith(("__", ".")) for p in PurePosixPath(n).parts)]
-    known = [n for n in visible if suffix(n) in fv.MEMBER_PRIORITY]
-    return min(known, key=lambda n: fv.MEMBER_PRIORITY.index(suffix(n)), default="")
+    known = [n for n in visible if suffix(n) in fv.TABULAR_EXT]
+    return min(known, key=lambda n: fv.TABULAR_EXT.index(suffix(n)), default="")
 
 
 def charset(raw: bytes) -> str:
@@ -66,6 +70,7 @@ def charset(raw: bytes) -> str:
 
 def delimited(text: str, sep: str):
     """Header and rows, or None when a row is wider than the header or there is no header."""
+    csv.field_size_limit(sys.maxsize)  # a long field is no reason to lose a file
     rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if r]
     if not rows or any(len(r) > len(rows[0]) for r in rows):
         return None
@@ -81,7 +86,8 @@ def records(items: list):
     def text(v):
         if v is None or isinstance(v, str):
             return v
-        return json.dumps(v)
+        # dates, decimals and bytes of typed files are texts of their own
+        return json.dumps(v, default=str) if isinstance(v, (dict, list, bool, int, float)) else str(v)
     return list(header), [[text(r.get(h) if isinstance(r, dict) else r) for h in header] for r in items]
 
 
@@ -99,6 +105,8 @@ def json_table(text: str):
 def parse(name: str, raw: bytes):
     """(header, rows, error) of one unpacked file."""
     ext = suffix(name)
+    if ext in (".xls", ".xlsx"):
+        return None, None, "spreadsheets are not read"
     try:
         if ext == ".parquet":
             t = pq.read_table(io.BytesIO(raw)).to_pylist()
@@ -112,7 +120,9 @@ def parse(name: str, raw: bytes):
             found = next(filter(None, (delimited(text, s) for s in first)), None)
             wide = (delimited(text, s) for s in more)
             found = found or next((f for f in wide if f and len(f[0]) > 1), None)
-    except (ValueError, csv.Error, OSError) as e:
+            if found:  # only delimited text spells missing values out
+                found = found[0], [[None if v in fv.NA_TOKENS else v for v in r] for r in found[1]]
+    except (ValueError, csv.Error, OSError, RecursionError) as e:
         return None, None, f"parse error: {e}"
     if not found:
         return None, None, "could not parse as tabular data"
@@ -139,7 +149,7 @@ def cells_of(url: str, raw: bytes):
     for i, row in enumerate(rows):
         for j, h in enumerate(header):
             v = row[j] if j < len(row) else None
-            yield url, member, i, j, str(h), None if v in fv.NA_TOKENS else v, ""
+            yield url, member, i, j, str(h), v, ""
 
 
 def file_cells(batches):

@@ -76,10 +76,10 @@ def _synonyms(df: DataFrame) -> DataFrame:
 
 def direct_platform(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
     templates = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b.replace("{years}", _year_text(years))).alias("b"),
-                 F.lit(c).alias("connector")) for a, b, c in fv.DIRECT_TEMPLATES])
+        F.struct(F.lit(t.replace("{years}", _year_text(years))).alias("text"),
+                 F.lit(c).alias("connector")) for t, c in fv.DIRECT_TEMPLATES])
     d = _each(_each(_start(sig), "concept", F.col("concepts")), "t", templates)
-    return _finish(d, F.concat(F.col("t.a"), _spaced("concept"), F.col("t.b")), "direct_platform",
+    return _finish(d, F.replace(F.col("t.text"), F.lit("{concept}"), _spaced("concept")), "direct_platform",
                    1, 0, F.col("t.connector"), concept=F.col("concept"))
 
 

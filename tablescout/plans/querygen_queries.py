@@ -20,7 +20,7 @@ ext(sp, source, connector) AS (SELECT * FROM {values([(i, s, CONN[s]) for i, s i
 topics(concept, tp, topic) AS (SELECT * FROM {values([(c, i, t) for c, ts in fv.CONCEPT_TOPICS.items() for i, t in enumerate(ts)])}),
 syn(col, yp, synonym) AS (SELECT * FROM {values([(c, i, s) for c, ss in fv.SYNONYMS.items() for i, s in enumerate(ss)])}),
 terms(jp, term) AS (SELECT * FROM {values(list(enumerate(fv.JOIN_TERMS)))}),
-templates(mp, a, b, connector) AS (SELECT * FROM {values([(i, a, b.replace('{years}', f'{Y0} {Y1}'), c) for i, (a, b, c) in enumerate(fv.DIRECT_TEMPLATES)])}),
+templates(mp, t, connector) AS (SELECT * FROM {values([(i, t.replace('{years}', f'{Y0} {Y1}'), c) for i, (t, c) in enumerate(fv.DIRECT_TEMPLATES)])}),
 covered(word) AS (SELECT * FROM {values([(w,) for w in fv.COVERED_WORDS])}),
 con AS (SELECT seed_id, unnest(concepts) AS concept, unnest(range(len(concepts))) AS cp FROM sig),
 ids AS (SELECT seed_id, unnest(identifiers) AS ident, unnest(range(len(identifiers))) AS ip FROM sig),
@@ -44,7 +44,7 @@ def _branch(select: str, source: str, strategy: str, priority: int, branch: int,
 
 BRANCHES = {
     "qgen_direct_platform": (qg.direct_platform, _branch(
-        "a || replace(concept, '_', ' ') || b", "con, templates", "direct_platform", 1, 0, "cp, mp",
+        "replace(t, '{concept}', replace(concept, '_', ' '))", "con, templates", "direct_platform", 1, 0, "cp, mp",
         concept="concept")),
     "qgen_concept_source": (qg.concept_source, _branch(
         f"topic || ' ' || source || ' {Y0} {Y1}'", "con JOIN topics USING (concept), src WHERE tp < 4",

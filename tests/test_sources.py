@@ -116,3 +116,30 @@ def test_page_search(spark):
     found = pg.discover(spark.createDataFrame([(7, "q", html)], "query_id int, query string, html string"), pages).collect()
     assert [(r["query_id"], r["title"], r["dataset_id"], r["keywords"], r["pos"]) for r in found] == [
         (7, "T & U", "T & U", ["a", "b"], 1)]
+
+
+def test_files_that_used_to_be_lost():
+    import gzip
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tablescout.functions.files import cells_of, parse, unpack
+
+    long = "x" * 200_000
+    assert parse("a.csv", f'a,b\n"{long}",NA\n'.encode())[1] == [[long, None]]
+    raw = b"a,b\n1,2\n"
+    for _ in range(5):
+        raw = gzip.compress(raw)
+    assert unpack("a.csv" + ".gz" * 5, raw)[:2] == ("a.csv", b"a,b\n1,2\n")
+    broken = bytearray(gzip.compress(b"a,b\n1,2\n" * 500))
+    broken[12:40] = b"\xff" * 28
+    assert unpack("a.csv.gz", bytes(broken))[2].startswith("decompression error")
+    out = io.BytesIO()
+    import datetime
+    import decimal
+    pq.write_table(pa.table({"d": [datetime.date(2020, 1, 2)], "m": [decimal.Decimal("1.50")], "b": [b"q"]}), out)
+    assert [c[5] for c in cells_of("a.parquet", out.getvalue())][:2] == ["2020-01-02", "1.50"]
+    assert parse("a.json", b'[{"iso":"NA","n":"1"}]')[1] == [["NA", "1"]]
+    assert parse("a.xls", b"\xd0\xcf,\x11")[2] == "spreadsheets are not read"
