@@ -20,6 +20,7 @@ from tablescout.llm.texts import BASE, Words, list_column, mix, mix32, pieces, s
 from tablescout.session import cut
 
 STARS = 2  # rounds in which every bucket's classes are tested against one of them
+MARKS = 16  # longs of a set's parity marks: 1,024 bits
 
 
 def circulant(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -39,6 +40,17 @@ def _distinct(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set one bit per place, 1 where an odd number of its shingles falls.
+
+    Two sets differ in at least as many shingles as their marks differ in bits.
+    """
+    out = np.zeros((len(sets), MARKS * 64), np.uint8)
+    for row, values in zip(out, sets):
+        row[:] = np.bincount((values >> np.uint64(20)).astype(np.int64) % len(row), minlength=len(row)) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def _signer(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,8 +86,9 @@ def _shingler(k: int):
                 sets = _distinct(value, np.searchsorted(words.doc[at], np.arange(part.num_rows + 1)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("cls"), list_column(
-                        pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)), np.array([len(s) for s in sets]))],
-                    names=["cls", "s"])
+                        pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)), np.array([len(s) for s in sets])),
+                     list_column(pa.array(parity(sets).ravel()), np.full(len(sets), MARKS))],
+                    names=["cls", "s", "marks"])
     return run
 
 
@@ -118,7 +131,7 @@ def links(sig: DataFrame, docs: DataFrame, k: int, per_cent: int) -> tuple[DataF
     wanted = members.select("cls").distinct()
     # the class is named after a document; rows that share an id are one document
     sets = cut(docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string"))
-               .join(wanted, "cls", "left_semi").mapInArrow(_shingler(k), "cls long, s array<long>")
+               .join(wanted, "cls", "left_semi").mapInArrow(_shingler(k), "cls long, s array<long>, marks array<long>")
                .filter("size(s) > 0").dropDuplicates(["cls", "s"]), "sets")
     found = label = None
     for turn in range(STARS):
@@ -154,7 +167,8 @@ def _open_pairs(rest: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
     Two sets of the similarity share one of their n - ceil(per_cent * n / 100) + 1 rarest
     shingles. In a group of near copies the rarest are those of a copy's own changes, so
-    copies changed too much meet nobody, and no pair of one component is made.
+    copies changed too much meet nobody, and no pair of one component is made. The parity
+    marks bound the difference of two sets from below, so nearly every pair made is alike.
     """
     rows = sets.join(rest, "cls").select("cls", "component", F.size("s").alias("n"), F.explode("s").alias("g"))
     often = rows.groupBy("g").agg(F.count("*").alias("f"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -165,16 +179,19 @@ def _open_pairs(rest: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     head = ranked.select("cls", "component", "n", head.alias("r")).select(
         "cls", "component", "n", F.transform("r", lambda x: x["g"]).alias("gs"), F.explode(F.filter("r", lambda x: x["open"])).alias("t"))
     head = cut(head.select("cls", "component", "n", F.col("t.g").alias("g"), F.col("t.i").alias("i"),
-                           F.when(F.col("t.i") > 0, F.slice("gs", F.lit(1), F.col("t.i"))).otherwise(F.array().cast("array<long>")).alias("before")), "rare")
+                           F.when(F.col("t.i") > 0, F.slice("gs", F.lit(1), F.col("t.i"))).otherwise(F.array().cast("array<long>")).alias("before"))
+               .join(sets.select("cls", "marks"), "cls"), "rare")
 
     def side(x):
-        return head.select(F.col("g").alias("g" + x), *(F.col(c).alias(c + x) for c in ("cls", "n", "component", "i", "before")))
+        return head.select(F.col("g").alias("g" + x), *(F.col(c).alias(c + x) for c in ("cls", "n", "component", "i", "before", "marks")))
 
     # the rarest common shingle decides for a pair; what is left behind it bounds the overlap
     rest = 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
     enough = rest * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent
+    apart = sum((F.bit_count(F.col("marksa")[i].bitwiseXOR(F.col("marksb")[i])) for i in range(MARKS)), F.lit(0))
+    near = apart * (100 + per_cent) <= (F.col("na") + F.col("nb")) * (100 - per_cent)
     return side("a").join(side("b"), (F.col("ga") == F.col("gb")) & (F.col("componenta") < F.col("componentb")) & _fits(per_cent) & enough
-                          & ~F.arrays_overlap("beforea", "beforeb")).select(
+                          & near & ~F.arrays_overlap("beforea", "beforeb")).select(
         F.least("clsa", "clsb").alias("a"), F.greatest("clsa", "clsb").alias("b")).distinct()
 
 
