@@ -78,10 +78,14 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low = _sliding(mix32(circle + np.uint32(b * ROWS + r)), LENGTH - SHINGLE + 1, np.minimum)
                     h = h * np.uint64(BASE) + low[at]
                 keys.append(mix(h))
+            same = np.zeros(len(at), np.uint64)
+            for t in range(LENGTH):
+                same = same * np.uint64(BASE) + words.hash[at + t]
             doc = words.doc[at]
             yield pa.RecordBatch.from_arrays(
-                [part.column("dk").take(pa.array(doc, pa.int64())), pa.array((at - words.first[doc]).astype(np.int32)),
-                 *(pa.array(signed(k)) for k in keys)], names=["dk", "pos", *(f"h{b}" for b in range(BANDS))])
+                [part.column("dk").take(pa.array(doc, pa.int64())), part.column("doc_id").take(pa.array(doc, pa.int64())),
+                 pa.array((at - words.first[doc]).astype(np.int32)), pa.array(signed(mix(same))),
+                 *(pa.array(signed(k)) for k in keys)], names=["dk", "doc_id", "pos", "same", *(f"h{b}" for b in range(BANDS))])
 
 
 def _characters(data: np.ndarray) -> np.ndarray:
@@ -105,9 +109,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = LENGTH - SHINGLE + 1
             spot = (words.first[doc] + pos)[:, None] + np.arange(k) if len(pos) else np.zeros((0, k), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("dk").take(pa.array(doc, pa.int64())), part.column("doc_id").take(pa.array(doc, pa.int64())),
-                 pa.array(pos), list_column(pa.array(value[spot].ravel()), np.full(len(pos), k))],
-                names=["dk", "doc_id", "pos", "s"])
+                [part.column("dk").take(pa.array(doc, pa.int64())), pa.array(pos),
+                 list_column(pa.array(value[spot].ravel()), np.full(len(pos), k))], names=["dk", "pos", "s"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,30 +160,35 @@ def passages(docs: DataFrame) -> DataFrame:
     a null doc_id comes first; an empty table gives no rows; other columns are ignored.
     """
     texts = _keyed(docs)
-    here = cut(texts.select("dk", "text").mapInArrow(
-        _paragraphs, "dk long, pos int, " + ", ".join(f"h{b} long" for b in range(BANDS))), "paragraphs")
-    keys = here.select("dk", "pos", F.explode(F.array(*[f"h{b}" for b in range(BANDS)])).alias("h"))
+    here = cut(texts.mapInArrow(
+        _paragraphs, "dk long, doc_id long, pos int, same long, " + ", ".join(f"h{b} long" for b in range(BANDS))), "paragraphs")
+    keys = here.select("dk", "doc_id", "pos", "same", F.explode(F.array(*[f"h{b}" for b in range(BANDS)])).alias("h"))
     shared = keys.groupBy("h").agg(F.min("dk").alias("cdk"), F.max("dk").alias("last")).filter("cdk <> last").select("h", "cdk")
     found = cut(keys.join(shared, "h"), "colliding")
-    centre = found.filter("dk = cdk").groupBy("h").agg(F.min("pos").alias("cpos"))
-    links = cut(found.join(centre, "h").filter("dk <> cdk OR pos <> cpos").select("dk", "pos", "cdk", "cpos").distinct(), "links")
-    wanted = links.select("dk", "pos").union(links.select("cdk", "cpos")).distinct()
-    sets = cut(_asked(texts, wanted, "pos").mapInArrow(_sets, "dk long, doc_id long, pos int, s array<int>")
+    centre = found.filter("dk = cdk").groupBy("h").agg(F.min(F.struct("pos", "same", "doc_id")).alias("c")).select(
+        "h", F.col("c.pos").alias("cpos"), F.col("c.same").alias("csame"), F.col("c.doc_id").alias("cdoc_id"))
+    links = cut(found.join(centre, "h").filter("dk <> cdk OR pos <> cpos").select(
+        "dk", "pos", "doc_id", "cdk", "cpos", "cdoc_id", (F.col("same") == F.col("csame")).alias("equal")).distinct(), "links")
+    # equal word sequences, nearly all links, need no sets
+    open_ = links.filter("NOT equal").drop("equal")
+    wanted = open_.select("dk", "pos").union(open_.select("cdk", "cpos")).distinct()
+    sets = cut(_asked(texts, wanted, "pos").mapInArrow(_sets, "dk long, pos int, s array<int>")
                .dropDuplicates(["dk", "pos"]), "sets")
     a = sets.select("dk", "pos", F.col("s").alias("sa"))
     b = sets.select(F.col("dk").alias("cdk"), F.col("pos").alias("cpos"), F.col("s").alias("sb"))
-    both = links.join(a, ["dk", "pos"]).join(b, ["cdk", "cpos"])
+    both = open_.join(a, ["dk", "pos"]).join(b, ["cdk", "cpos"])
     i, u = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
-    # equal sequences, nearly all of them, need no set operation
-    good = cut(both.filter((F.col("sa") == F.col("sb")) | (i * 100 >= u * PER_CENT)).select("dk", "pos", "cdk", "cpos"), "alike")
+    good = cut(links.filter("equal").drop("equal").unionByName(both.filter(i * 100 >= u * PER_CENT).drop("sa", "sb")), "alike")
     place = F.xxhash64("dk", "pos")
     group = components(good.select(place.alias("a"), F.xxhash64("cdk", "cpos").alias("b")), "a", "b")
-    member = sets.select("dk", "doc_id", "pos", place.alias("node")).join(group, "node")
+    ends = good.select("dk", "doc_id", "pos").union(good.select("cdk", "cdoc_id", "cpos")).distinct()
+    member = ends.withColumn("node", place).join(group, "node")
     keeper = member.groupBy("component").agg(F.min(F.struct("doc_id", "dk")).alias("k"))
-    owner = cut(member.join(keeper, "component").select("dk", "pos", "component", F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk")), "owner")
+    owner = cut(member.join(keeper, "component").select("dk", "doc_id", "pos", "component", F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk")), "owner")
     # neighbours that agree with one document are one passage
     w = Window.partitionBy("dk", "cdk").orderBy("pos", "cpos")
-    rows = good.filter("dk <> cdk").join(owner, ["dk", "pos"])
+    partners = good.filter("dk <> cdk").groupBy("dk", "pos").agg(F.collect_list(F.struct("cdk", "cpos")).alias("partners"))
+    rows = partners.join(owner, ["dk", "pos"]).select("*", F.inline("partners")).drop("partners")
     part = F.sum(F.when(F.col("pos") - F.lag("pos").over(w) <= LENGTH + STEP, 0).otherwise(1)).over(w)
     island = rows.withColumn("part", part).groupBy("dk", "cdk", "part").agg(
         F.min(F.struct("pos", "cpos")).alias("f"), F.max(F.struct("pos", "cpos")).alias("l"),
@@ -225,7 +233,7 @@ def passages(docs: DataFrame) -> DataFrame:
     merged = cut(merged, "merged")
     gone = merged.filter("removed").select(F.col("dk").alias("d"), F.col("start").alias("a"), F.col("end").alias("b"))
     stays = merged.filter("NOT removed").join(gone, F.expr("dk = d AND a <= start AND end <= b"), "left_anti")
-    ids = sets.select("dk", "doc_id").distinct()
+    ids = owner.select("dk", "doc_id").distinct()
     return merged.filter("removed").union(stays).join(ids, "dk").select(
         "dk", "doc_id", "start", "end", "n_words", "component", "kept_id", "removed")
 
