@@ -3,8 +3,9 @@
 A paragraph is a run of ``LENGTH`` words that starts at an anchor, a word whose hash is the
 smallest among ``STEP`` neighbours. Anchors depend on the words alone, so a passage of
 LENGTH + STEP - 1 words or more holds the same paragraph in every document, wherever it
-stands in a line. Paragraphs that share a MinHash band are joined to one of them, compared
-on their whole shingle sets, and clustered; agreeing neighbours grow to whole passages.
+stands in a line. Paragraphs of equal words are one class; classes that share a MinHash band
+are joined to one of them, compared on their whole shingle sets, and clustered; agreeing
+neighbours grow to whole passages.
 """
 
 from __future__ import annotations
@@ -162,33 +163,45 @@ def passages(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs)
     here = cut(texts.mapInArrow(
         _paragraphs, "dk long, doc_id long, pos int, same long, " + ", ".join(f"h{b} long" for b in range(BANDS))), "paragraphs")
-    keys = here.select("dk", "doc_id", "pos", "same", F.explode(F.array(*[f"h{b}" for b in range(BANDS)])).alias("h"))
-    shared = keys.groupBy("h").agg(F.min("dk").alias("cdk"), F.max("dk").alias("last")).filter("cdk <> last").select("h", "cdk")
+    # paragraphs of equal words are one class, known by its hash; only classes are banded and compared
+    classes = cut(here.groupBy("same").agg(
+        F.min("dk").alias("cdk"), F.max("dk").alias("last"), *[F.min(f"h{b}").alias(f"h{b}") for b in range(BANDS)]), "classes")
+    keys = classes.select("same", "cdk", "last", F.explode(F.array(*[f"h{b}" for b in range(BANDS)])).alias("h"))
+    shared = keys.groupBy("h").agg(F.min("cdk").alias("first"), F.max("last").alias("_last")).filter("first <> _last").select("h", "first")
     found = cut(keys.join(shared, "h"), "colliding")
-    centre = found.filter("dk = cdk").groupBy("h").agg(F.min(F.struct("pos", "same", "doc_id")).alias("c")).select(
-        "h", F.col("c.pos").alias("cpos"), F.col("c.same").alias("csame"), F.col("c.doc_id").alias("cdoc_id"))
-    links = cut(found.join(centre, "h").filter("dk <> cdk OR pos <> cpos").select(
-        "dk", "pos", "doc_id", "cdk", "cpos", "cdoc_id", (F.col("same") == F.col("csame")).alias("equal")).distinct(), "links")
-    # equal word sequences, nearly all links, need no sets
-    open_ = links.filter("NOT equal").drop("equal")
-    wanted = open_.select("dk", "pos").union(open_.select("cdk", "cpos")).distinct()
+    centre = found.filter("cdk = first").groupBy("h").agg(F.min("same").alias("csame"))
+    links = cut(found.join(centre, "h").select("same", "csame", "cdk", "last").distinct(), "links")
+    member = cut(here.select("same", "dk", "pos", "doc_id").join(
+        links.select("same", "cdk").distinct(), "same"), "members")
+    # a class is compared, and met by others, at its first place in its smallest document
+    place = cut(member.filter("dk = cdk").groupBy("same", "dk").agg(F.min("pos").alias("pos")), "places")
+    open_ = links.filter("same <> csame").select("same", "csame")
+    wanted = place.join(open_.select("same").union(open_.select("csame")).distinct(), "same")
     sets = cut(_asked(texts, wanted, "pos").mapInArrow(_sets, "dk long, pos int, s array<int>")
-               .dropDuplicates(["dk", "pos"]), "sets")
-    a = sets.select("dk", "pos", F.col("s").alias("sa"))
-    b = sets.select(F.col("dk").alias("cdk"), F.col("pos").alias("cpos"), F.col("s").alias("sb"))
-    both = open_.join(a, ["dk", "pos"]).join(b, ["cdk", "cpos"])
+               .dropDuplicates(["dk", "pos"]).join(wanted, ["dk", "pos"]).select("same", "s"), "sets")
+    both = open_.join(sets.withColumnRenamed("s", "sa"), "same").join(
+        sets.select(F.col("same").alias("csame"), F.col("s").alias("sb")), "csame")
     i, u = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
-    good = cut(links.filter("equal").drop("equal").unionByName(both.filter(i * 100 >= u * PER_CENT).drop("sa", "sb")), "alike")
-    place = F.xxhash64("dk", "pos")
-    group = components(good.select(place.alias("a"), F.xxhash64("cdk", "cpos").alias("b")), "a", "b")
-    ends = good.select("dk", "doc_id", "pos").union(good.select("cdk", "cdoc_id", "cpos")).distinct()
-    member = ends.withColumn("node", place).join(group, "node")
-    keeper = member.groupBy("component").agg(F.min(F.struct("doc_id", "dk")).alias("k"))
-    owner = cut(member.join(keeper, "component").select("dk", "doc_id", "pos", "component", F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk")), "owner")
+    alike = cut(both.filter(i * 100 >= u * PER_CENT).select("same", "csame"), "alike")
+    # equal paragraphs of several documents meet at their own place where no other class takes them in
+    several = links.filter("cdk <> last")
+    own = several.filter("same = csame").select("same").union(
+        several.select("same").join(alike.select("same").distinct(), "same", "left_anti")).distinct()
+    good = alike.union(own.select("same", F.col("same").alias("csame")))
+    partners = good.join(place.select(F.col("same").alias("csame"), F.col("dk").alias("cdk"), F.col("pos").alias("cpos")), "csame").groupBy(
+        "same").agg(F.collect_list(F.struct("cdk", "cpos")).alias("partners"))
+    group = components(alike.select(F.col("same").alias("a"), F.col("csame").alias("b")), "a", "b").withColumnRenamed("node", "same")
+    nodes = good.select("same").union(good.select("csame")).distinct().join(group, "same", "left").withColumn(
+        "component", F.coalesce("component", "same"))
+    first = member.groupBy("same").agg(F.min(F.struct("doc_id", "dk")).alias("k"))
+    nodes = cut(nodes.join(first, "same").join(partners, "same", "left"), "nodes")
+    keeper = nodes.groupBy("component").agg(F.min("k").alias("k"))
+    nodes = nodes.drop("k").join(keeper, "component").select(
+        "same", "component", F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk"), "partners")
+    owner = cut(member.drop("cdk").distinct().join(nodes, "same").drop("same"), "owner")
     # neighbours that agree with one document are one passage
     w = Window.partitionBy("dk", "cdk").orderBy("pos", "cpos")
-    partners = good.filter("dk <> cdk").groupBy("dk", "pos").agg(F.collect_list(F.struct("cdk", "cpos")).alias("partners"))
-    rows = partners.join(owner, ["dk", "pos"]).select("*", F.inline("partners")).drop("partners")
+    rows = owner.select("*", F.inline("partners")).drop("partners").filter("dk <> cdk")
     part = F.sum(F.when(F.col("pos") - F.lag("pos").over(w) <= LENGTH + STEP, 0).otherwise(1)).over(w)
     island = rows.withColumn("part", part).groupBy("dk", "cdk", "part").agg(
         F.min(F.struct("pos", "cpos")).alias("f"), F.max(F.struct("pos", "cpos")).alias("l"),
