@@ -198,10 +198,11 @@ def passages(docs: DataFrame) -> DataFrame:
     keeper = nodes.groupBy("component").agg(F.min("k").alias("k"))
     nodes = nodes.drop("k").join(keeper, "component").select(
         "same", "component", F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk"), "partners")
-    owner = cut(member.drop("cdk").distinct().join(nodes, "same").drop("same"), "owner")
+    owner = cut(member.drop("cdk").distinct().join(nodes, "same").select(
+        "dk", "doc_id", "pos", "component", "kept_id", "kept_dk", F.inline_outer("partners")), "owner")
     # neighbours that agree with one document are one passage
     w = Window.partitionBy("dk", "cdk").orderBy("pos", "cpos")
-    rows = owner.select("*", F.inline("partners")).drop("partners").filter("dk <> cdk")
+    rows = owner.filter("dk <> cdk")
     part = F.sum(F.when(F.col("pos") - F.lag("pos").over(w) <= LENGTH + STEP, 0).otherwise(1)).over(w)
     island = rows.withColumn("part", part).groupBy("dk", "cdk", "part").agg(
         F.min(F.struct("pos", "cpos")).alias("f"), F.max(F.struct("pos", "cpos")).alias("l"),
