@@ -29,10 +29,14 @@ def norm_value(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), BLANKS, " "))
 
 
+# Plain decimals, and doubles as Spark writes them; codes such as 007, 10D or 1e1 are no numbers.
+PLAIN_NUMBER = r"^\s*[+-]?(0|[1-9][0-9]*)(\.[0-9]*(E-?[0-9]+)?)?\s*$"
+
+
 def number_text(value: Column) -> Column:
     """One spelling per number, so that 2020 and 2020.0 are the same text."""
     text = value.cast("string")
-    number = text.try_cast("double")
+    number = F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
     whole = (F.floor(number) == number) & (F.abs(number) < 9.0e15)
     return F.when(number.isNotNull() & whole, number.cast("bigint").cast("string")).when(
         number.isNotNull(), number.cast("string")

@@ -32,12 +32,12 @@ def json_list(text: Column) -> Column:
     """A JSON list as texts; a single value as a list of one; null as no values."""
     return (
         F.when(text.isNull(), F.array().cast(STRINGS))
-        .when(F.startswith(text, F.lit("[")), F.from_json(text, STRINGS)).otherwise(F.array(text))
+        .when(F.startswith(text, F.lit("[")), F.coalesce(F.from_json(text, STRINGS), F.array(text))).otherwise(F.array(text))
     )
 
 
 def flat_text(text: Column, depth: int = 3) -> Column:
-    """The scalars of a JSON value joined by blanks."""
+    """The scalars of a JSON value joined by blanks; a text that only looks like JSON stays."""
     if depth == 0:
         return F.coalesce(text, F.lit(""))
 
@@ -45,10 +45,10 @@ def flat_text(text: Column, depth: int = 3) -> Column:
         return flat_text(x, depth - 1)
     return (
         F.when(text.isNull(), "")
-        .when(F.startswith(text, F.lit("[")), F.array_join(
-            F.transform(F.from_json(text, STRINGS), inner), " "))
-        .when(F.startswith(text, F.lit("{")), F.array_join(
-            F.transform(F.map_values(F.from_json(text, "map<string,string>")), inner), " "))
+        .when(F.startswith(text, F.lit("[")), F.coalesce(F.array_join(
+            F.transform(F.from_json(text, STRINGS), inner), " "), text))
+        .when(F.startswith(text, F.lit("{")), F.coalesce(F.array_join(
+            F.transform(F.map_values(F.from_json(text, "map<string,string>")), inner), " "), text))
         .otherwise(text)
     )
 

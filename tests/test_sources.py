@@ -143,3 +143,12 @@ def test_files_that_used_to_be_lost():
     assert [c[5] for c in cells_of("a.parquet", out.getvalue())][:2] == ["2020-01-02", "1.50"]
     assert parse("a.json", b'[{"iso":"NA","n":"1"}]')[1] == [["NA", "1"]]
     assert parse("a.xls", b"\xd0\xcf,\x11")[2] == "spreadsheets are not read"
+
+
+def test_texts_that_look_like_json_stay(spark):
+    rows = [("[DEPRECATED] Road data",), ("{x} notes",), ("[a b",), ('["a", ["b"]]',), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(
+        pl.flat_text(F.col("t")).alias("f"), pl.json_list(F.col("t")).alias("l")).collect()
+    assert [r["f"] for r in got] == ["[DEPRECATED] Road data", "{x} notes", "[a b", "a b", ""]
+    assert [r["l"] for r in got][:3] == [["[DEPRECATED] Road data"], ["{x} notes"], ["[a b"]]
+    assert got[4]["l"] == []

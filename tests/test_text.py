@@ -61,3 +61,9 @@ def test_years_and_tokens(spark):
         tx.extract_years(F.col("t")).alias("y"), tx.slug_tokens(F.col("t")).alias("s")).first()
     assert row["y"] == [1999, 2100]
     assert row["s"] == ["1999", "2150", "2100", "2101", "and", "x2000", "gdp", "per", "capita"]
+
+
+def test_codes_are_no_numbers(spark):
+    rows = [(x,) for x in ("10D", "1e1", "5f", "007", "10", "10.0", "-0.50", "1.0E10")]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(tx.number_text(F.col("v"))).collect()]
+    assert got == ["10D", "1e1", "5f", "007", "10", "10", "-0.5", "10000000000"]
