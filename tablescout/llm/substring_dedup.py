@@ -4,8 +4,10 @@ A paragraph is a run of ``LENGTH`` words that starts at an anchor, a word whose
 smallest among ``STEP`` neighbours. Anchors depend on the words alone, so a passage of
 LENGTH + STEP - 1 words or more holds the same paragraph in every document, wherever it
 stands in a line. Paragraphs of equal words are one class; classes that share a MinHash band
-are joined to one of them, compared on their whole shingle sets, and clustered; agreeing
-neighbours grow to whole passages.
+are joined to one of them, compared on their whole shingle sets, and clustered; classes that
+this leaves apart are joined on their rarest shingles. Agreeing neighbours grow to whole
+passages. Where the passage of a place stops near its paragraph, all places of the paragraph
+are met again on every run of ``MIN_WORDS`` words that holds it.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.llm.components import components
+from tablescout.llm.near_dedup import _open_pairs, parity
 from tablescout.llm.texts import BASE, Words, list_column, mix, mix32, pieces, signed, utf8
 from tablescout.session import cut
 
 LENGTH, STEP = 26, 24
 SHINGLE, PER_CENT = 5, 80
-BANDS, ROWS = 3, 2
+BANDS, ROWS = 7, 2  # at 0.8 a band is missed with a chance of 8 in 10,000
 MIN_WORDS = 50
+SIDE = 12  # words beside a paragraph that documents share, on one side, if they share MIN_WORDS
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -85,8 +89,9 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = words.doc[at]
             yield pa.RecordBatch.from_arrays(
                 [part.column("dk").take(pa.array(doc, pa.int64())), part.column("doc_id").take(pa.array(doc, pa.int64())),
-                 pa.array((at - words.first[doc]).astype(np.int32)), pa.array(signed(mix(same))),
-                 *(pa.array(signed(k)) for k in keys)], names=["dk", "doc_id", "pos", "same", *(f"h{b}" for b in range(BANDS))])
+                 pa.array((at - words.first[doc]).astype(np.int32)), pa.array(np.diff(words.first)[doc].astype(np.int32)),
+                 pa.array(signed(mix(same))), *(pa.array(signed(k)) for k in keys)],
+                names=["dk", "doc_id", "pos", "size", "same", *(f"h{b}" for b in range(BANDS))])
 
 
 def _characters(data: np.ndarray) -> np.ndarray:
@@ -106,12 +111,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = np.full(m, SHINGLE, np.uint64)
             for t in range(SHINGLE):
                 value = value * np.uint64(BASE) + words.hash[t:t + m]
-            value = (mix(value) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            k = LENGTH - SHINGLE + 1
-            spot = (words.first[doc] + pos)[:, None] + np.arange(k) if len(pos) else np.zeros((0, k), np.int64)
+            value = mix(value) >> np.uint64(32)
+            first = words.first[doc] + pos
+            sets = [np.unique(value[a:a + LENGTH - SHINGLE + 1]) for a in first]
+            marks = parity([mix(x) for x in sets])
+            flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("dk").take(pa.array(doc, pa.int64())), pa.array(pos),
-                 list_column(pa.array(value[spot].ravel()), np.full(len(pos), k))], names=["dk", "pos", "s"])
+                 list_column(pa.array(flat), np.array([len(x) for x in sets], np.int64)),
+                 list_column(pa.array(marks.ravel()), np.full(len(sets), marks.shape[1]))], names=["dk", "pos", "s", "marks"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all runs of ``MIN_WORDS`` words that hold a paragraph, in two rows a place.
+
+    Runs with ``SIDE`` words or more before the paragraph are under the hash of those words
+    and the paragraph, the others under that of the paragraph and the words behind it.
+    """
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            words = Words(*utf8(part.column("text")))
+            asked = part.column("asked")
+            doc = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy())
+            pos = asked.flatten().to_numpy()
+            first, size = words.first[doc], np.diff(words.first)[doc]
+            m = max(0, len(words.hash) - MIN_WORDS + 1)
+            value = np.zeros(m, np.uint64)
+            for t in range(MIN_WORDS):
+                value = value * np.uint64(BASE) + words.hash[t:t + m]
+            value = mix(value)
+            most = MIN_WORDS - LENGTH
+            for before, low, high, length in ((SIDE, pos - most, pos - SIDE, LENGTH + SIDE), (0, pos - SIDE + 1, pos, LENGTH + most - SIDE + 1)):
+                low, high = np.maximum(low, 0), np.minimum(high, size - MIN_WORDS)
+                own = np.flatnonzero(high >= low)
+                count = (high - low + 1)[own]
+                at = (first + pos)[own] - before
+                key = np.full(len(own), before + 1, np.uint64)
+                for t in range(length):
+                    key = key * np.uint64(BASE) + words.hash[at + t]
+                spot = np.repeat((first + low)[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("dk").take(pa.array(doc[own], pa.int64())), part.column("doc_id").take(pa.array(doc[own], pa.int64())),
+                     pa.array(low[own].astype(np.int32)), pa.array(signed(mix(key))), list_column(pa.array(signed(value[spot])), count)],
+                    names=["dk", "doc_id", "low", "key", "runs"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +190,60 @@ def _asked(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return docs.join(lists, "dk").select("dk", "doc_id", "text", "asked")
 
 
+def _run_islands(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Passages of equal words at ``places``: each run of ``MIN_WORDS`` words with its first document.
+
+    Runs are equal as a whole, so one partner for each of them loses no passage.
+    """
+    runs = cut(_asked(texts, places, "pos").mapInArrow(
+        _runs, "dk long, doc_id long, low int, key long, runs array<long>"), "runs")
+    met = runs.groupBy("key").agg(F.min("dk").alias("x"), F.max("dk").alias("y")).filter("x <> y").select("key")
+    run = cut(runs.join(met, "key").select("dk", "doc_id", "low", F.posexplode("runs").alias("i", "h")).select(
+        "dk", "doc_id", (F.col("low") + F.col("i")).alias("at"), "h").distinct(), "run")
+    group = run.groupBy("h").agg(F.min(F.struct("dk", "at")).alias("c"), F.max("dk").alias("last"), F.min(F.struct("doc_id", "dk")).alias("k"))
+    group = group.filter("c.dk <> last").select(
+        "h", F.col("c.dk").alias("cdk"), F.col("c.at").alias("cat"), F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk"))
+    rows = run.join(group, "h").filter("dk <> cdk").withColumn("way", F.col("at") - F.col("cat"))
+    w = Window.partitionBy("dk", "cdk", "way").orderBy("at")
+    part = F.sum(F.when(F.col("at") - F.lag("at").over(w) <= 1, 0).otherwise(1)).over(w)
+    return cut(rows.withColumn("part", part).groupBy("dk", "cdk", "way", "part").agg(
+        F.min("at").alias("p0"), F.min("cat").alias("c0"), (F.max("at") + MIN_WORDS).alias("p1"), (F.max("cat") + MIN_WORDS).alias("c1"),
+        F.min(F.struct("kept_id", "kept_dk", F.col("h").alias("component"))).alias("o")).select(
+        "dk", "cdk", "p0", "c0", "p1", "c1", "o.*"), "run_islands")
+
+
+def _grown(texts: DataFrame, island: DataFrame) -> DataFrame:
+    """Islands with the words, ``left`` and ``right``, by which both sides agree beyond them."""
+    edges = [("dk", "p0", 0), ("dk", "p1", 1), ("cdk", "c0", 0), ("cdk", "c1", 1)]
+    wanted = None
+    for d, p, r in edges:
+        one = island.select(F.col(d).alias("dk"), (F.col(p) * 2 + r).alias("code"))
+        wanted = one if wanted is None else wanted.union(one)
+    around = cut(_asked(texts, wanted.distinct(), "code").mapInArrow(
+        _surroundings, "dk long, code int, words array<long>, places array<int>").dropDuplicates(["dk", "code"]), "around")
+    for j, (d, p, r) in enumerate(edges):
+        island = island.join(around.filter(F.col("code") % 2 == r).select(F.col("dk").alias(d), F.col("code").alias("code"), F.col("words").alias(f"w{j}"), F.col("places").alias(f"x{j}"))
+                             .withColumn(p, F.expr(f"cast((code - {r}) / 2 as int)")).drop("code"), [d, p])
+
+    def grown(x: str, y: str):
+        size = F.least(F.size(x), F.size(y))
+        differ = F.expr(f"filter(sequence(0, greatest(least(size({x}), size({y})) - 1, 0)), i -> get({x}, i) <> get({y}, i))")
+        return F.when(size == 0, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)), size))
+
+    return island.withColumn("left", grown("w0", "w2")).withColumn("right", grown("w1", "w3")).drop("w0", "w1", "w2", "w3")
+
+
+def _sides(island: DataFrame) -> DataFrame:
+    """Both documents' spans of grown islands."""
+    sides = None
+    for d, p0, p1, x0, x1 in (("dk", "p0", "p1", "x0", "x1"), ("cdk", "c0", "c1", "x2", "x3")):
+        one = island.select(F.col(d).alias("dk"), (F.col(p0) - F.col("left")).alias("w0"), (F.col(p1) + F.col("right")).alias("w1"),
+                            F.get(x0, F.col("left")).alias("start"), F.get(x1, F.col("right")).alias("end"),
+                            "component", "kept_id", "kept_dk")
+        sides = one if sides is None else sides.union(one)
+    return sides
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """dk, doc_id, start, end, n_words, component, kept_id, removed: one row per passage.
 
@@ -162,7 +258,7 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     texts = _keyed(docs)
     here = cut(texts.mapInArrow(
-        _paragraphs, "dk long, doc_id long, pos int, same long, " + ", ".join(f"h{b} long" for b in range(BANDS))), "paragraphs")
+        _paragraphs, "dk long, doc_id long, pos int, size int, same long, " + ", ".join(f"h{b} long" for b in range(BANDS))), "paragraphs")
     # paragraphs of equal words are one class, known by its hash; only classes are banded and compared
     classes = cut(here.groupBy("same").agg(
         F.min("dk").alias("cdk"), F.max("dk").alias("last"), *[F.min(f"h{b}").alias(f"h{b}") for b in range(BANDS)]), "classes")
@@ -171,18 +267,31 @@ def passages(docs: DataFrame) -> DataFrame:
     found = cut(keys.join(shared, "h"), "colliding")
     centre = found.filter("cdk = first").groupBy("h").agg(F.min("same").alias("csame"))
     links = cut(found.join(centre, "h").select("same", "csame", "cdk", "last").distinct(), "links")
-    member = cut(here.select("same", "dk", "pos", "doc_id").join(
+    member = cut(here.select("same", "dk", "pos", "size", "doc_id").join(
         links.select("same", "cdk").distinct(), "same"), "members")
     # a class is compared, and met by others, at its first place in its smallest document
     place = cut(member.filter("dk = cdk").groupBy("same", "dk").agg(F.min("pos").alias("pos")), "places")
     open_ = links.filter("same <> csame").select("same", "csame")
     wanted = place.join(open_.select("same").union(open_.select("csame")).distinct(), "same")
-    sets = cut(_asked(texts, wanted, "pos").mapInArrow(_sets, "dk long, pos int, s array<int>")
-               .dropDuplicates(["dk", "pos"]).join(wanted, ["dk", "pos"]).select("same", "s"), "sets")
-    both = open_.join(sets.withColumnRenamed("s", "sa"), "same").join(
-        sets.select(F.col("same").alias("csame"), F.col("s").alias("sb")), "csame")
-    i, u = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
-    alike = cut(both.filter(i * 100 >= u * PER_CENT).select("same", "csame"), "alike")
+    sets = cut(_asked(texts, wanted, "pos").mapInArrow(_sets, "dk long, pos int, s array<long>, marks array<long>")
+               .dropDuplicates(["dk", "pos"]).join(wanted, ["dk", "pos"]).select("same", "s", "marks"), "sets")
+
+    def verified(pairs):
+        both = pairs.join(sets.select("same", F.col("s").alias("sa")), "same").join(
+            sets.select(F.col("same").alias("csame"), F.col("s").alias("sb")), "csame")
+        i, u = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
+        return cut(both.filter(i * 100 >= u * PER_CENT).select("same", "csame"), "alike")
+
+    alike = verified(open_)
+    # classes of a bucket that are still apart after the centre's round meet on their rarest shingles
+    label = components(alike.select(F.col("same").alias("a"), F.col("csame").alias("b")), "a", "b")
+    state = cut(found.select("h", "same").join(label.withColumnRenamed("node", "same"), "same", "left").withColumn(
+        "component", F.coalesce("component", "same")), "labelled")
+    apart = state.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("h")
+    rest = cut(state.join(apart, "h").select(F.col("same").alias("cls"), "component").distinct(), "apart")
+    more = verified(_open_pairs(rest, sets.withColumnRenamed("same", "cls"), PER_CENT).select(
+        F.col("b").alias("same"), F.col("a").alias("csame")))
+    alike = alike.union(more)
     # equal paragraphs of several documents meet at their own place where no other class takes them in
     several = links.filter("cdk <> last")
     own = several.filter("same = csame").select("same").union(
@@ -199,42 +308,29 @@ def passages(docs: DataFrame) -> DataFrame:
     nodes = nodes.drop("k").join(keeper, "component").select(
         "same", "component", F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk"), "partners")
     owner = cut(member.drop("cdk").distinct().join(nodes, "same").select(
-        "dk", "doc_id", "pos", "component", "kept_id", "kept_dk", F.inline_outer("partners")), "owner")
+        "dk", "doc_id", "pos", "size", "same", "component", "kept_id", "kept_dk", F.inline_outer("partners")), "owner")
     # neighbours that agree with one document are one passage
     w = Window.partitionBy("dk", "cdk").orderBy("pos", "cpos")
     rows = owner.filter("dk <> cdk")
     part = F.sum(F.when(F.col("pos") - F.lag("pos").over(w) <= LENGTH + STEP, 0).otherwise(1)).over(w)
-    island = rows.withColumn("part", part).groupBy("dk", "cdk", "part").agg(
+    rows = cut(rows.withColumn("part", part), "parts")
+    island = rows.groupBy("dk", "cdk", "part").agg(
         F.min(F.struct("pos", "cpos")).alias("f"), F.max(F.struct("pos", "cpos")).alias("l"),
         F.min(F.struct("kept_id", "kept_dk", "component")).alias("o"))
     # where the partner's places run on alike, its passage ends at its own last paragraph
     along = (F.col("l.cpos") - F.col("f.cpos")).between(0, 2 * (F.col("l.pos") - F.col("f.pos")) + LENGTH)
     island = cut(island.select(
-        "dk", "cdk", F.col("f.pos").alias("p0"), F.col("f.cpos").alias("c0"), (F.col("l.pos") + LENGTH).alias("p1"),
+        "dk", "cdk", "part", F.col("f.pos").alias("p0"), F.col("f.cpos").alias("c0"), (F.col("l.pos") + LENGTH).alias("p1"),
         (F.when(along, F.col("l.cpos")).otherwise(F.col("f.cpos")) + LENGTH).alias("c1"), "o.*"), "islands")
-    edges = [("dk", "p0", 0), ("dk", "p1", 1), ("cdk", "c0", 0), ("cdk", "c1", 1)]
-    wanted = None
-    for d, p, r in edges:
-        one = island.select(F.col(d).alias("dk"), (F.col(p) * 2 + r).alias("code"))
-        wanted = one if wanted is None else wanted.union(one)
-    around = cut(_asked(texts, wanted.distinct(), "code").mapInArrow(
-        _surroundings, "dk long, code int, words array<long>, places array<int>").dropDuplicates(["dk", "code"]), "around")
-    for j, (d, p, r) in enumerate(edges):
-        island = island.join(around.filter(F.col("code") % 2 == r).select(F.col("dk").alias(d), F.col("code").alias("code"), F.col("words").alias(f"w{j}"), F.col("places").alias(f"x{j}"))
-                             .withColumn(p, F.expr(f"cast((code - {r}) / 2 as int)")).drop("code"), [d, p])
-
-    def grown(x: str, y: str):
-        size = F.least(F.size(x), F.size(y))
-        differ = F.expr(f"filter(sequence(0, greatest(least(size({x}), size({y})) - 1, 0)), i -> get({x}, i) <> get({y}, i))")
-        return F.when(size == 0, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)), size))
-
-    island = island.withColumn("left", grown("w0", "w2")).withColumn("right", grown("w1", "w3"))
-    sides = None
-    for d, p0, p1, x0, x1 in (("dk", "p0", "p1", "x0", "x1"), ("cdk", "c0", "c1", "x2", "x3")):
-        one = island.select(F.col(d).alias("dk"), (F.col(p0) - F.col("left")).alias("w0"), (F.col(p1) + F.col("right")).alias("w1"),
-                            F.get(x0, F.col("left")).alias("start"), F.get(x1, F.col("right")).alias("end"),
-                            "component", "kept_id", "kept_dk")
-        sides = one if sides is None else sides.union(one)
+    island = cut(_grown(texts, island), "grown")
+    # every other run of MIN_WORDS words at a place whose passage does not hold all its runs can have another partner
+    reach = rows.join(island.select("dk", "cdk", "part", (F.col("p0") - F.col("left")).alias("w0"), (F.col("p1") + F.col("right")).alias("w1")),
+                      ["dk", "cdk", "part"]).groupBy("same", "dk", "pos").agg(F.max(
+        (F.col("w0") <= F.greatest(F.col("pos") - MIN_WORDS + LENGTH, F.lit(0)))
+        & (F.col("w1") >= F.least(F.col("pos") + MIN_WORDS, "size"))).alias("whole"))
+    unsettled = reach.filter("NOT whole").select("same").distinct()
+    sides = _sides(island.drop("part")).union(_sides(_grown(texts, _run_islands(
+        texts, cut(member.select("same", "dk", "pos").distinct().join(unsettled, "same"), "unsettled")))))
     sides = sides.filter(F.col("w1") - F.col("w0") >= MIN_WORDS).withColumn("removed", F.col("dk") != F.col("kept_dk"))
     # overlapping spans of one document with one verdict are one row
     w = Window.partitionBy("dk", "removed").orderBy("w0", "w1", "component")

@@ -79,3 +79,22 @@ def test_benchmark_with_edits(spark, odd, none):
 def test_alignment_counts_edits():
     item, text = (np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64) for s in ("abcdefghijkl", "xxabcdzefghikl yy"))
     assert dc.align(item, text, 4) == (2, 14)
+
+
+def test_passages_beside_a_shorter_copy(spark):
+    """Two documents share a passage of which a third, the paragraphs' first holder, has a part."""
+    r = random.Random(7)
+    rows = []
+    for n in range(30):
+        w = words(r, 64).split(" ")
+        part = w[:45] if n % 2 else w[10:56]
+        for i, own in enumerate((w, w, part, part)):
+            rows.append((10 * n + i, " ".join([words(r, 40), *own, words(r, 40)])))
+    text = dict(rows)
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for n in range(30):
+        passage = " ".join(text[10 * n].split(" ")[40:104])
+        for i in (0, 1):
+            own = [x for x in got if x.doc_id == 10 * n + i]
+            assert len(own) == 1 and passage in text[10 * n + i][own[0].start:own[0].end] and own[0].n_words < 70
+            assert own[0].removed == (i == 1)
