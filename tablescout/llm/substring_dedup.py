@@ -28,6 +28,8 @@ LENGTH, STEP = 26, 24
 SHINGLE, PER_CENT = 5, 80
 BANDS, ROWS = 7, 2  # at 0.8 a band is missed with a chance of 8 in 10,000
 MIN_WORDS = 50
+ISLAND = ["dk", "cdk", "lane", "part", "piece"]
+DRIFT = 5  # words by which the places of neighbours may move against their partner's
 SIDE = 12  # words beside a paragraph that documents share, on one side, if they share MIN_WORDS
 
 
@@ -122,6 +124,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  list_column(pa.array(marks.ravel()), np.full(len(sets), marks.shape[1]))], names=["dk", "pos", "s", "marks"])
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of asked spans, each its first word and the one behind its last in one number."""
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            words = Words(*utf8(part.column("text")))
+            asked = part.column("asked")
+            doc = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy())
+            code = asked.flatten().to_numpy()
+            m = max(0, len(words.hash) - SHINGLE + 1)
+            value = np.full(m, SHINGLE, np.uint64)
+            for t in range(SHINGLE):
+                value = value * np.uint64(BASE) + words.hash[t:t + m]
+            value = mix(value)
+            first, last = words.first[doc] + (code >> 32), words.first[doc] + (code & 0xFFFFFFFF)
+            sets = [np.unique(value[a:b - SHINGLE + 1]) for a, b in zip(first, last)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("dk").take(pa.array(doc, pa.int64())), pa.array(code),
+                 list_column(pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)), np.array([len(x) for x in sets], np.int64))],
+                names=["dk", "code", "s"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all runs of ``MIN_WORDS`` words that hold a paragraph, in two rows a place.
 
@@ -190,6 +213,40 @@ def _asked(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return docs.join(lists, "dk").select("dk", "doc_id", "text", "asked")
 
 
+def _islands(texts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the island of each, and the islands.
+
+    Paragraphs that touch in both documents are a piece. Pieces with other words between
+    them are one island if both spans, these words included, reach the similarity.
+    """
+    way = Window.partitionBy("dk", "cdk").orderBy("way")
+    lane = F.sum(F.when(F.col("way") - F.lag("way").over(way) <= DRIFT, 0).otherwise(1)).over(way.rowsBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy("dk", "cdk", "lane").orderBy("pos", "cpos")
+    rows = rows.withColumn("way", F.col("pos") - F.col("cpos")).withColumn("lane", lane).withColumn("step", F.col("pos") - F.lag("pos").over(w))
+    for name, most in (("part", LENGTH + STEP), ("piece", LENGTH)):
+        rows = rows.withColumn(name, F.sum(F.when(F.col("step") <= most, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = cut(rows, "pieces")
+
+    def spans(by):
+        f, last = F.min(F.struct("pos", "cpos")), F.max(F.struct("pos", "cpos"))
+        return rows.groupBy(*by).agg(f.alias("f"), last.alias("l"), F.min(F.struct("kept_id", "kept_dk", "component")).alias("o"),
+                                     F.min("piece").alias("x"), F.max("piece").alias("y")).select(
+            *by, F.col("f.pos").alias("p0"), F.col("f.cpos").alias("c0"), (F.col("l.pos") + LENGTH).alias("p1"),
+            (F.greatest("l.cpos", "f.cpos") + LENGTH).alias("c1"), "o.*", "x", "y")
+
+    whole = cut(spans(ISLAND[:-1]).filter("x <> y"), "joined")
+    code = [(F.col(a).cast("long") * (1 << 32) + F.col(b)) for a, b in (("p0", "p1"), ("c0", "c1"))]
+    asked = whole.select("dk", code[0].alias("code")).union(whole.select("cdk", code[1].alias("code"))).distinct()
+    sets = cut(_asked(texts, asked, "code").mapInArrow(_spans, "dk long, code long, s array<long>").dropDuplicates(["dk", "code"]), "spans")
+    both = whole.withColumn("ca", code[0]).withColumn("cb", code[1]).join(
+        sets.select("dk", F.col("code").alias("ca"), F.col("s").alias("sa")), ["dk", "ca"]).join(
+        sets.select(F.col("dk").alias("cdk"), F.col("code").alias("cb"), F.col("s").alias("sb")), ["cdk", "cb"])
+    i = F.size(F.array_intersect("sa", "sb"))
+    alike = both.filter(i * 100 >= (F.size("sa") + F.size("sb") - i) * PER_CENT).select(*ISLAND[:-1], F.lit(True).alias("alike"))
+    rows = cut(rows.join(alike, ISLAND[:-1], "left").withColumn("piece", F.when(F.col("alike"), 0).otherwise(F.col("piece"))), "parts")
+    return rows, cut(spans(ISLAND).drop("x", "y"), "islands")
+
+
 def _run_islands(texts: DataFrame, places: DataFrame) -> DataFrame:
     """Passages of equal words at ``places``: each run of ``MIN_WORDS`` words with its first document.
 
@@ -310,26 +367,15 @@ def passages(docs: DataFrame) -> DataFrame:
     owner = cut(member.drop("cdk").distinct().join(nodes, "same").select(
         "dk", "doc_id", "pos", "size", "same", "component", "kept_id", "kept_dk", F.inline_outer("partners")), "owner")
     # neighbours that agree with one document are one passage
-    w = Window.partitionBy("dk", "cdk").orderBy("pos", "cpos")
-    rows = owner.filter("dk <> cdk")
-    part = F.sum(F.when(F.col("pos") - F.lag("pos").over(w) <= LENGTH + STEP, 0).otherwise(1)).over(w)
-    rows = cut(rows.withColumn("part", part), "parts")
-    island = rows.groupBy("dk", "cdk", "part").agg(
-        F.min(F.struct("pos", "cpos")).alias("f"), F.max(F.struct("pos", "cpos")).alias("l"),
-        F.min(F.struct("kept_id", "kept_dk", "component")).alias("o"))
-    # where the partner's places run on alike, its passage ends at its own last paragraph
-    along = (F.col("l.cpos") - F.col("f.cpos")).between(0, 2 * (F.col("l.pos") - F.col("f.pos")) + LENGTH)
-    island = cut(island.select(
-        "dk", "cdk", "part", F.col("f.pos").alias("p0"), F.col("f.cpos").alias("c0"), (F.col("l.pos") + LENGTH).alias("p1"),
-        (F.when(along, F.col("l.cpos")).otherwise(F.col("f.cpos")) + LENGTH).alias("c1"), "o.*"), "islands")
+    rows, island = _islands(texts, owner.filter("dk <> cdk"))
     island = cut(_grown(texts, island), "grown")
     # every other run of MIN_WORDS words at a place whose passage does not hold all its runs can have another partner
-    reach = rows.join(island.select("dk", "cdk", "part", (F.col("p0") - F.col("left")).alias("w0"), (F.col("p1") + F.col("right")).alias("w1")),
-                      ["dk", "cdk", "part"]).groupBy("same", "dk", "pos").agg(F.max(
+    reach = rows.join(island.select(*ISLAND, (F.col("p0") - F.col("left")).alias("w0"), (F.col("p1") + F.col("right")).alias("w1")),
+                      ISLAND).groupBy("same", "dk", "pos").agg(F.max(
         (F.col("w0") <= F.greatest(F.col("pos") - MIN_WORDS + LENGTH, F.lit(0)))
         & (F.col("w1") >= F.least(F.col("pos") + MIN_WORDS, "size"))).alias("whole"))
     unsettled = reach.filter("NOT whole").select("same").distinct()
-    sides = _sides(island.drop("part")).union(_sides(_grown(texts, _run_islands(
+    sides = _sides(island).union(_sides(_grown(texts, _run_islands(
         texts, cut(member.select("same", "dk", "pos").distinct().join(unsettled, "same"), "unsettled")))))
     sides = sides.filter(F.col("w1") - F.col("w0") >= MIN_WORDS).withColumn("removed", F.col("dk") != F.col("kept_dk"))
     # overlapping spans of one document with one verdict are one row

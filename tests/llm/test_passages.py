@@ -98,3 +98,20 @@ def test_passages_beside_a_shorter_copy(spark):
             own = [x for x in got if x.doc_id == 10 * n + i]
             assert len(own) == 1 and passage in text[10 * n + i][own[0].start:own[0].end] and own[0].n_words < 70
             assert own[0].removed == (i == 1)
+
+
+def test_short_lines_do_not_take_the_words_between_them(spark):
+    """Two common lines under 50 words, side by side in one document and far apart in another."""
+    r = random.Random(8)
+    rows = []
+    for n in range(30):
+        a, b = words(r, 44), words(r, 44)
+        rows.append((10 * n, " ".join([words(r, 40), *((a, words(r, 60), b) if n % 2 else (b, words(r, 60), a)), words(r, 40)])))
+        rows.append((10 * n + 1, " ".join([words(r, 40), a, words(r, 5), b, words(r, 40)])))
+    edited = words(r, 130).split(" ")
+    for i in (900, 901):
+        rows.append((i, " ".join([words(r, 30), *edited[:65], f"edit{i}", *edited[66:], words(r, 30)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages(df).collect()
+    assert not [x for x in got if x.doc_id < 900]
+    assert sorted((x.doc_id, x.removed, 130 <= x.n_words < 134) for x in got) == [(900, False, True), (901, True, True)]
