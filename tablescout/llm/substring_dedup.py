@@ -1,12 +1,12 @@
-"""Passages that repeat across documents: MinHash banding, exact Jaccard, components.
+"""Passages that repeat across documents: smallest hashes, exact Jaccard, components.
 
 A paragraph is a run of ``LENGTH`` words that starts at an anchor, a word whose hash is the
 smallest among ``STEP`` neighbours. Anchors depend on the words alone, so a passage of
 LENGTH + STEP - 1 words or more holds the same paragraph in every document, wherever it
-stands in a line. Paragraphs of equal words are one class; classes that share a MinHash band
-are joined to one of them, compared on their whole shingle sets, and clustered; classes that
-this leaves apart are joined on their rarest shingles. Agreeing neighbours grow to whole
-passages. Where the passage of a place stops near its paragraph, all places of the paragraph
+stands in a line. Paragraphs of equal words are one class; classes that share one of their
+smallest shingle hashes are joined to one of them, compared on their whole shingle sets, and
+clustered; classes that this leaves apart are joined on their rarest shingles. Agreeing
+neighbours grow to whole passages. Where the passage of a place stops near its paragraph, all places of the paragraph
 are met again on every run of ``MIN_WORDS`` words that holds it.
 """
 
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.components import components
 from tablescout.llm.near_dedup import _open_pairs, parity
-from tablescout.llm.texts import BASE, Words, list_column, mix, mix32, pieces, signed, utf8
+from tablescout.llm.texts import BASE, Words, list_column, mix, pieces, signed, utf8
 from tablescout.session import cut
 
 LENGTH, STEP = 26, 24
 SHINGLE, PER_CENT = 5, 80
-BANDS, ROWS = 7, 2  # at 0.8 a band is missed with a chance of 8 in 10,000
+KEYS = 3  # sets of 21 or 22 shingles at 0.8 share all but two, so one of the three smallest; smaller sets are missed with a chance of 3 in 1,000
 MIN_WORDS = 50
 ISLAND = ["dk", "cdk", "lane", "part", "piece"]
 DRIFT = 5  # words by which the places of neighbours may move against their partner's
@@ -76,24 +76,30 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = np.full(m, SHINGLE, np.uint64)
             for t in range(SHINGLE):
                 value = value * np.uint64(BASE) + words.hash[t:t + m]
-            circle = (mix(value) >> np.uint64(32)).astype(np.uint32)
-            keys = []
-            for b in range(BANDS):
-                # like paragraphs start at the same word; without it neighbours of one text collide
-                h = words.hash[at] + np.uint64(b + 1)
-                for r in range(ROWS):
-                    low = _sliding(mix32(circle + np.uint32(b * ROWS + r)), LENGTH - SHINGLE + 1, np.minimum)
-                    h = h * np.uint64(BASE) + low[at]
-                keys.append(mix(h))
+            value = mix(value)
+            k = LENGTH - SHINGLE + 1
+            low = np.sort(value[at[:, None] + np.arange(k)], axis=1) if len(at) else np.zeros((0, k), np.uint64)
+            twice = low[:, 1:] == low[:, :-1]
+            if twice.any():
+                low[:, 1:][twice] = np.iinfo(np.uint64).max
+                low.sort(axis=1)
+            # like paragraphs start at the same word; without it neighbours of one text collide
+            keys = [mix(words.hash[at] * np.uint64(BASE) + low[:, b]) for b in range(KEYS)]
             same = np.zeros(len(at), np.uint64)
             for t in range(LENGTH):
                 same = same * np.uint64(BASE) + words.hash[at + t]
             doc = words.doc[at]
+            # all words of the runs of MIN_WORDS that hold the paragraph, and how many stand before it
+            begin, end = np.maximum(at - MIN_WORDS + LENGTH, words.first[doc]), np.minimum(at + MIN_WORDS, words.first[doc + 1])
+            around = (at - begin + 1).astype(np.uint64)
+            for t in range(2 * MIN_WORDS - LENGTH):
+                spot = begin + t
+                around = np.where(spot < end, around * np.uint64(BASE) + words.hash[np.minimum(spot, max(0, n - 1))], around)
             yield pa.RecordBatch.from_arrays(
                 [part.column("dk").take(pa.array(doc, pa.int64())), part.column("doc_id").take(pa.array(doc, pa.int64())),
                  pa.array((at - words.first[doc]).astype(np.int32)), pa.array(np.diff(words.first)[doc].astype(np.int32)),
-                 pa.array(signed(mix(same))), *(pa.array(signed(k)) for k in keys)],
-                names=["dk", "doc_id", "pos", "size", "same", *(f"h{b}" for b in range(BANDS))])
+                 pa.array(signed(mix(same))), pa.array(signed(mix(around))), *(pa.array(signed(k)) for k in keys)],
+                names=["dk", "doc_id", "pos", "size", "same", "around", *(f"h{b}" for b in range(KEYS))])
 
 
 def _characters(data: np.ndarray) -> np.ndarray:
@@ -174,9 +180,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = key * np.uint64(BASE) + words.hash[at + t]
                 spot = np.repeat((first + low)[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("dk").take(pa.array(doc[own], pa.int64())), part.column("doc_id").take(pa.array(doc[own], pa.int64())),
-                     pa.array(low[own].astype(np.int32)), pa.array(signed(mix(key))), list_column(pa.array(signed(value[spot])), count)],
-                    names=["dk", "doc_id", "low", "key", "runs"])
+                    [part.column("dk").take(pa.array(doc[own], pa.int64())), pa.array(pos[own]), pa.array((low - pos)[own].astype(np.int32)), pa.array(signed(mix(key))), list_column(pa.array(signed(value[spot])), count)],
+                    names=["dk", "pos", "low", "key", "runs"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,21 +257,33 @@ def _run_islands(texts: DataFrame, places: DataFrame) -> DataFrame:
 
     Runs are equal as a whole, so one partner for each of them loses no passage.
     """
-    runs = cut(_asked(texts, places, "pos").mapInArrow(
-        _runs, "dk long, doc_id long, low int, key long, runs array<long>"), "runs")
-    met = runs.groupBy("key").agg(F.min("dk").alias("x"), F.max("dk").alias("y")).filter("x <> y").select("key")
-    run = cut(runs.join(met, "key").select("dk", "doc_id", "low", F.posexplode("runs").alias("i", "h")).select(
-        "dk", "doc_id", (F.col("low") + F.col("i")).alias("at"), "h").distinct(), "run")
-    group = run.groupBy("h").agg(F.min(F.struct("dk", "at")).alias("c"), F.max("dk").alias("last"), F.min(F.struct("doc_id", "dk")).alias("k"))
+    # places with the same words around are one, known by its first document
+    one = cut(places.groupBy("same", "around").agg(
+        F.min(F.struct("dk", "pos")).alias("r"), F.max("dk").alias("last"), F.min(F.struct("doc_id", "dk")).alias("k")).select(
+        "same", "around", F.col("r.dk").alias("dk"), F.col("r.pos").alias("pos"), "last", "k"), "surroundings")
+    runs = cut(_asked(texts, one, "pos").mapInArrow(_runs, "dk long, pos int, low int, key long, runs array<long>")
+               .dropDuplicates(["dk", "pos", "key"]).join(one.drop("same", "around"), ["dk", "pos"]), "runs")
+    met = runs.groupBy("key").agg(F.min("dk").alias("x"), F.max("last").alias("y")).filter("x <> y").select("key")
+    run = cut(runs.join(met, "key").select("dk", "pos", "low", "last", "k", F.posexplode("runs").alias("i", "h")).select(
+        "dk", "pos", (F.col("low") + F.col("i")).alias("off"), "h", "last", "k"), "run")
+    group = run.groupBy("h").agg(F.min(F.struct("dk", (F.col("pos") + F.col("off")).alias("at"))).alias("c"), F.max("last").alias("last"), F.min("k").alias("k"))
     group = group.filter("c.dk <> last").select(
-        "h", F.col("c.dk").alias("cdk"), F.col("c.at").alias("cat"), F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk"))
-    rows = run.join(group, "h").filter("dk <> cdk").withColumn("way", F.col("at") - F.col("cat"))
-    w = Window.partitionBy("dk", "cdk", "way").orderBy("at")
-    part = F.sum(F.when(F.col("at") - F.lag("at").over(w) <= 1, 0).otherwise(1)).over(w)
-    return cut(rows.withColumn("part", part).groupBy("dk", "cdk", "way", "part").agg(
-        F.min("at").alias("p0"), F.min("cat").alias("c0"), (F.max("at") + MIN_WORDS).alias("p1"), (F.max("cat") + MIN_WORDS).alias("c1"),
-        F.min(F.struct("kept_id", "kept_dk", F.col("h").alias("component"))).alias("o")).select(
-        "dk", "cdk", "p0", "c0", "p1", "c1", "o.*"), "run_islands")
+        "h", F.col("c.dk").alias("cdk"), F.col("c.at").alias("cat"), F.struct("k.doc_id", "k.dk", "h").alias("o"))
+    rows = run.select("dk", "pos", "off", "h").join(group, "h").withColumn("way", F.col("pos") + F.col("off") - F.col("cat"))
+    w = Window.partitionBy("dk", "pos", "cdk", "way").orderBy("off")
+    part = F.sum(F.when(F.col("off") - F.lag("off").over(w) <= 1, 0).otherwise(1)).over(w)
+    spans = cut(rows.withColumn("part", part).groupBy("dk", "pos", "cdk", "way", "part").agg(
+        F.min("off").alias("off"), F.min("cat").alias("c0"), (F.max("cat") + MIN_WORDS).alias("c1"), F.min("o").alias("o")), "run_spans")
+    met = places.select("same", "around", F.col("dk").alias("own"), F.col("pos").alias("at")).join(
+        one.select("same", "around", "dk", "pos"), ["same", "around"]).join(spans, ["dk", "pos"]).filter("own <> cdk").select(
+        F.col("own").alias("dk"), "cdk", (F.col("at") + F.col("off")).alias("p0"), "c0", "c1", "o").withColumn("way", F.col("p0") - F.col("c0"))
+    w = Window.partitionBy("dk", "cdk", "way").orderBy("c0", "c1")
+    past = F.max("c1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("c0") <= F.col("past"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return cut(met.withColumn("past", past).withColumn("part", part).groupBy("dk", "cdk", "way", "part").agg(
+        F.min("p0").alias("p0"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("o").alias("o")).select(
+        "dk", "cdk", "p0", "c0", (F.col("c1") + F.col("way")).alias("p1"), "c1",
+        F.col("o.doc_id").alias("kept_id"), F.col("o.dk").alias("kept_dk"), F.col("o.h").alias("component")), "run_islands")
 
 
 def _grown(texts: DataFrame, island: DataFrame) -> DataFrame:
@@ -315,16 +332,16 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     texts = _keyed(docs)
     here = cut(texts.mapInArrow(
-        _paragraphs, "dk long, doc_id long, pos int, size int, same long, " + ", ".join(f"h{b} long" for b in range(BANDS))), "paragraphs")
+        _paragraphs, "dk long, doc_id long, pos int, size int, same long, around long, " + ", ".join(f"h{b} long" for b in range(KEYS))), "paragraphs")
     # paragraphs of equal words are one class, known by its hash; only classes are banded and compared
     classes = cut(here.groupBy("same").agg(
-        F.min("dk").alias("cdk"), F.max("dk").alias("last"), *[F.min(f"h{b}").alias(f"h{b}") for b in range(BANDS)]), "classes")
-    keys = classes.select("same", "cdk", "last", F.explode(F.array(*[f"h{b}" for b in range(BANDS)])).alias("h"))
+        F.min("dk").alias("cdk"), F.max("dk").alias("last"), *[F.min(f"h{b}").alias(f"h{b}") for b in range(KEYS)]), "classes")
+    keys = classes.select("same", "cdk", "last", F.explode(F.array(*[f"h{b}" for b in range(KEYS)])).alias("h"))
     shared = keys.groupBy("h").agg(F.min("cdk").alias("first"), F.max("last").alias("_last")).filter("first <> _last").select("h", "first")
     found = cut(keys.join(shared, "h"), "colliding")
     centre = found.filter("cdk = first").groupBy("h").agg(F.min("same").alias("csame"))
     links = cut(found.join(centre, "h").select("same", "csame", "cdk", "last").distinct(), "links")
-    member = cut(here.select("same", "dk", "pos", "size", "doc_id").join(
+    member = cut(here.select("same", "around", "dk", "pos", "size", "doc_id").join(
         links.select("same", "cdk").distinct(), "same"), "members")
     # a class is compared, and met by others, at its first place in its smallest document
     place = cut(member.filter("dk = cdk").groupBy("same", "dk").agg(F.min("pos").alias("pos")), "places")
@@ -364,7 +381,7 @@ def passages(docs: DataFrame) -> DataFrame:
     keeper = nodes.groupBy("component").agg(F.min("k").alias("k"))
     nodes = nodes.drop("k").join(keeper, "component").select(
         "same", "component", F.col("k.doc_id").alias("kept_id"), F.col("k.dk").alias("kept_dk"), "partners")
-    owner = cut(member.drop("cdk").distinct().join(nodes, "same").select(
+    owner = cut(member.drop("cdk", "around").distinct().join(nodes, "same").select(
         "dk", "doc_id", "pos", "size", "same", "component", "kept_id", "kept_dk", F.inline_outer("partners")), "owner")
     # neighbours that agree with one document are one passage
     rows, island = _islands(texts, owner.filter("dk <> cdk"))
@@ -376,7 +393,7 @@ def passages(docs: DataFrame) -> DataFrame:
         & (F.col("w1") >= F.least(F.col("pos") + MIN_WORDS, "size"))).alias("whole"))
     unsettled = reach.filter("NOT whole").select("same").distinct()
     sides = _sides(island).union(_sides(_grown(texts, _run_islands(
-        texts, cut(member.select("same", "dk", "pos").distinct().join(unsettled, "same"), "unsettled")))))
+        texts, cut(member.drop("cdk", "size").distinct().join(unsettled, "same"), "unsettled")))))
     sides = sides.filter(F.col("w1") - F.col("w0") >= MIN_WORDS).withColumn("removed", F.col("dk") != F.col("kept_dk"))
     # overlapping spans of one document with one verdict are one row
     w = Window.partitionBy("dk", "removed").orderBy("w0", "w1", "component")
