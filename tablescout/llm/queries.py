@@ -7,19 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm import (
+    alignment,
     decontamination,
     html_extraction,
     language_id,
     near_dedup,
     packing,
+    periodic_runs,
     substring_dedup,
     token_counts,
+    token_files,
     topk_search,
     toxicity,
     url_filters,
 )
+from tablescout.session import cut, new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +91,45 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, per_cent=85)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = cut(found.withColumn("groups_sha256", groups).drop("groups"), "aligned")
+    return alignment.weighed(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` in which every tenth text goes on periodically from some word, as the digest query wants it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.expr("h div 10")
+    words = docs.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    words = words.withColumn("n", F.nullif(F.size("w").cast("long"), F.lit(0).cast("long")))
+    words = words.withColumn("a", g % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    altered = F.expr("array_join(transform(w, (x, i) -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return words.select("doc_id", F.when(F.col("p").isNotNull(), altered).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # equal quotients give equal doubles, and different ones of less than 2^26 words different doubles
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"] / r["period"]).alias("x"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), folder, end_id=2)
+    return token_files.read_ids(spark, folder)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk_search, op2_html_extraction, op3_token_counts, op4_language_id, op5_toxicity, op6_substring_dedup,
-    op7_url_filters, op8_packing, op9_decontamination, op10_near_dedup)}
+    op7_url_filters, op8_packing, op9_decontamination, op10_near_dedup, op11_alignment, op12_periodic_runs, op13_token_files)}
 
 
 def _url_sql() -> str:
