@@ -9,22 +9,27 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.csr import Csr, ones, product_blocks, transposed
 from tablescout.llm.pretokens import Interner
-from tablescout.llm.texts import list_column, pieces, signed
+from tablescout.llm.texts import list_column, pieces, signed, utf8
 from tablescout.session import cut
 
-KEPT_BYTES = 48 << 20  # about the bytes of aligned segments that a task keeps before it starts anew
+KEPT = 300_000  # aligned segments that a task keeps, some 90 MB, before it gives up the rare ones
+OFTEN = 3  # times a segment must have been seen to be kept on
 AT_ONCE = 1 << 18  # segments of one text that are looked up at once
+PIECE = 1 << 20  # text bytes handled at once
+LONG = 1 << 20  # characters of a text that are cut into segments at once
 HEAD = 1 << 18  # most frequent id pairs that every task holds: 17 bytes each, 4.5 MB
 SEGMENT = re.compile(r" \s*(?:\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?)?")
+CUT = re.compile(r"\S(?= )")
 
 
 def _byte_signs() -> dict[str, int]:
@@ -79,7 +84,9 @@ def incidence(lengths: np.ndarray) -> Csr:
 def groups_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, Csr, Csr]:
     """Ends of the groups, and tokens by groups for both sides, from token lengths that cover the same bytes."""
     end_a, end_b = np.cumsum(a), np.cumsum(b)
-    ends = np.intersect1d(end_a, end_b)
+    ended = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, bool)
+    ended[end_a] = True
+    ends = end_b[ended[end_b]]
 
     def of(end):
         return ones(np.arange(len(end) + 1), np.searchsorted(ends, end), len(ends))
@@ -87,24 +94,65 @@ def groups_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, Csr, Csr]:
     return ends, of(end_a), of(end_b)
 
 
+class Spelling:
+    """The bytes of many tokens at once."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        of = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.size = np.array([len(x) for x in of])
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(of), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        return self.bytes[np.arange(int(size.sum())) + np.repeat(self.start[ids] - (np.cumsum(size) - size), size)]
+
+
+def _strings(values: pa.Array, counts: np.ndarray, sign: str) -> pa.Array:
+    """Stretches of ``values`` of the given lengths, joined."""
+    return pc.binary_join(list_column(values, counts), sign)
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for many[0] places, then the same for the next."""
+    return np.arange(int(many.sum())) + np.repeat(start - (np.cumsum(many) - many), many)
+
+
 class Aligner:
     """Aligned segments by number, each distinct one aligned once while it is kept."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ByteBpe(a_path), PieceBpe(b_path)
-        self.size_a, self.size_b = (np.array([len(side.bytes.get(i, b"")) for i in range(max(side.bytes) + 1)]) for side in (self.a, self.b))
-        self._forget()
-
-    def _forget(self):
+        self.sides = [ByteBpe(a_path), PieceBpe(b_path)]
+        self.spelling = [Spelling(side.bytes) for side in self.sides]
         self.known: dict[str, int] = {}
-        self.kept = 0
-        self.names: list[str] = []
-        self.counts = np.zeros((0, 6), np.int64)  # valid, tokens of a and of b, groups, links, shared
-        self.pairs, self.times, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.seen = Interner()
-
-    def segments(self, text: str) -> Iterator[str]:
-        return (m.group() for m in SEGMENT.finditer(" " + text)) if self.b.one_by_one else iter([" " + text])
+        self.times_seen = np.zeros(0, np.int32)
+        self.names = pa.array([], pa.string())
+        self.counts = np.zeros((0, 6), np.int32)  # valid, tokens of a and of b, groups, links, shared
+        self.pairs, self.times, self.many = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.pair_numbers = Interner()
+
+    def _give_up_rare(self) -> None:
+        keep = self.times_seen >= OFTEN
+        kept = np.flatnonzero(keep)
+        self.pairs, self.times = (x[np.repeat(keep, self.many)] for x in (self.pairs, self.times))
+        self.counts, self.many, self.names = self.counts[kept], self.many[kept], self.names.take(pa.array(kept))
+        to = (np.cumsum(keep) - 1).tolist()
+        keep = keep.tolist()
+        self.known = {s: to[i] for s, i in self.known.items() if keep[i]}
+        self.times_seen = np.zeros(len(kept), np.int32)
+        self.pair_numbers = Interner()
+
+    def segments(self, text: str) -> Iterator[list[str]]:
+        """The segments of a text after its space, in bounded lists."""
+        text, at = " " + text, 0
+        if not self.sides[1].one_by_one:
+            yield [text]
+            return
+        while at < len(text):
+            to = CUT.search(text, at + LONG) if len(text) - at > LONG else None
+            end = to.end() if to else len(text)
+            yield SEGMENT.findall(text, at, end)
+            at = end
 
     def number(self, segments: list[str]) -> np.ndarray:
         fresh = list(set(segments) - self.known.keys())
@@ -113,89 +161,95 @@ class Aligner:
         return np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
 
     def _align(self, fresh: list[str]) -> None:
-        ids_a, ids_b = self.a.encode(fresh), self.b.encode(fresh)
-        a_bytes, b_bytes = self.a.bytes, self.b.bytes
-        good = np.array([b"".join([a_bytes[i] for i in x]) == (raw := s.encode()) and b"".join([b_bytes[i] for i in y]) == raw
-                         for s, x, y in zip(fresh, ids_a, ids_b)])
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, good)] for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
-        # all segments lie one after the other, each ends a group
-        len_a, len_b = self.size_a[flat_a], self.size_b[flat_b]
-        of_a, of_b = np.repeat(np.arange(len(fresh)), n_a), np.repeat(np.arange(len(fresh)), n_b)
-        ends, group_a, group_b = groups_of(len_a, len_b)
-        links = np.zeros(len(fresh), np.int64)
-        shared = np.zeros(len(fresh), np.int64)
-        segment, pair = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, block in product_blocks(incidence(len_a), transposed(incidence(len_b))):
+        total = len(fresh)
+        raw, ends = utf8(pa.array(fresh, pa.large_string()))
+        of, flat, size = [], [], []
+        for side, spelling in zip(self.sides, self.spelling):
+            ids = side.encode(fresh)
+            of.append(np.repeat(np.arange(total), [len(x) for x in ids]))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64, len(of[-1])))
+            size.append(spelling.size[flat[-1]])
+        length = np.diff(ends)
+        good = np.logical_and(*(np.bincount(o, z, total) == length for o, z in zip(of, size)))
+        place = np.repeat(np.arange(total), length)
+        for k, spelling in enumerate(self.spelling):  # sides of equal length, byte by byte
+            there = good[of[k]]
+            wrong = spelling.spell(flat[k][there]) != raw[good[place]]
+            good = good & (np.bincount(place[good[place]][wrong], minlength=total) == 0)
+        for k in (0, 1):
+            there = good[of[k]]
+            of[k], flat[k], size[k] = of[k][there], flat[k][there], size[k][there]
+        # all segments lie one after the other, and each ends a group
+        group_ends, *group = groups_of(*size)
+        group_of = np.searchsorted(np.cumsum(length * good), group_ends)
+        n_groups = np.bincount(group_of, minlength=total)
+        shared, segment, pair = np.zeros(total, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, block in product_blocks(incidence(size[0]), transposed(incidence(size[1]))):
             row = first + block.row_of()
-            segment.append(of_a[row])
-            pair.append(flat_a[row] << 32 | flat_b[block.column])
-        for first, block in product_blocks(group_a, transposed(group_b)):
-            shared += np.bincount(of_a[first + block.row_of()], minlength=len(fresh))
+            segment.append(of[0][row])
+            pair.append(flat[0][row] << 32 | flat[1][block.column])
+        for first, block in product_blocks(group[0], transposed(group[1])):
+            shared += np.bincount(of[0][first + block.row_of()], minlength=total)
         segment, pair = np.concatenate(segment), np.concatenate(pair)
-        links += np.bincount(segment, minlength=len(fresh))
-        self.seen.number(pair.view(np.uint64))
+        links = np.bincount(segment, minlength=total)
         order = np.lexsort((pair, segment))
         segment, pair = segment[order], pair[order]
         new = np.ones(len(pair), bool)
         new[1:] = (np.diff(segment) != 0) | (np.diff(pair) != 0)
         once = np.flatnonzero(new)
-        per = np.bincount(segment[once], minlength=len(fresh))
-        cuts_a, cuts_b = np.searchsorted(group_a.column, np.arange(len(ends) + 1)).tolist(), np.searchsorted(group_b.column, np.arange(len(ends) + 1)).tolist()
-        said_a, said_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        said = [",".join(said_a[i:j]) + "|" + ",".join(said_b[k:m]) for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-        owner = of_a[np.array(cuts_a[:-1], np.int64)] if len(ends) else np.zeros(0, np.int64)
-        n_groups = np.bincount(owner, minlength=len(fresh))
-        stop = np.cumsum(n_groups).tolist()
-        self.names += [";".join(said[a:b]) for a, b in zip([0, *stop[:-1]], stop)]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        self.counts = np.concatenate([self.counts, np.stack([good.astype(np.int64), n_a, n_b, n_groups, links, shared], axis=1)])
+        said = [_strings(pa.array(ids).cast(pa.string()), np.bincount(g.column, minlength=len(group_ends)), ",") for ids, g in zip(flat, group)]
+        names = _strings(pc.binary_join_element_wise(*said, "|"), n_groups, ";")
+        self.names = pa.concat_arrays([self.names, names])
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + total)))
+        counts = [good, np.bincount(of[0], minlength=total), np.bincount(of[1], minlength=total), n_groups, links, shared]
+        self.counts = np.concatenate([self.counts, np.stack(counts, axis=1).astype(np.int32)])
         self.pairs = np.concatenate([self.pairs, pair[once]])
-        self.times = np.concatenate([self.times, np.diff(np.append(once, len(pair)))])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(per)])
-        self.kept += sum(len(s) for s in fresh) * 8 + 400 * len(fresh)
+        self.times = np.concatenate([self.times, np.diff(np.append(once, len(pair))).astype(np.int32)])
+        self.many = np.concatenate([self.many, np.bincount(segment[once], minlength=total)])
+        self.times_seen = np.concatenate([self.times_seen, np.zeros(total, np.int32)])
 
     def texts(self, texts: list[str]):
-        """Per text: whether both sides give it back, the five counts, the group listing; and distinct pairs with their times."""
-        if self.kept > KEPT_BYTES:
-            self._forget()
-        number, count, waiting, per_text = [], [], [], []
+        """Per text the five counts and the group listing; and its distinct pairs with their times and number.
+
+        A text that one of the sides does not give back byte by byte has none of them.
+        """
+        if len(self.known) > KEPT:
+            self._give_up_rare()
+        number, count, waiting = [], [], []
         for text in texts:
-            own, parts = 0, self.segments(text) if text else iter([])
-            while some := list(islice(parts, AT_ONCE)):
+            own = 0
+            for some in self.segments(text) if text else ():
                 waiting += some
                 own += len(some)
-                if len(waiting) >= AT_ONCE:
+                if len(waiting) > AT_ONCE:
                     number.append(self.number(waiting))
                     waiting = []
             count.append(own)
         number.append(self.number(waiting))
         number, text_of = np.concatenate(number), np.repeat(np.arange(len(texts)), count)
+        self.times_seen += np.bincount(number, minlength=len(self.known)).astype(np.int32)
         bad = np.bincount(text_of[self.counts[number, 0] == 0], minlength=len(texts)) > 0
         number, text_of = number[~bad[text_of]], text_of[~bad[text_of]]
-        totals = np.zeros((len(texts), 5), np.int64)
-        np.add.at(totals, text_of, self.counts[number, 1:])
-        stop = np.searchsorted(text_of, np.arange(len(texts)), "right").tolist()
-        listing = [";".join([self.names[i] for i in number[a:b].tolist()]) for a, b in zip([0, *stop[:-1]], stop)]
-        many = self.begin[number + 1] - self.begin[number]
-        entry = np.arange(int(many.sum())) + np.repeat(self.begin[number] - (np.cumsum(many) - many), many)
-        name, _ = self.seen.number(self.pairs[entry].view(np.uint64))
-        key, where = np.unique(np.repeat(text_of, many) * (len(self.seen) + 1) + name, return_inverse=True)
-        times = np.bincount(where, self.times[entry], minlength=len(key)).astype(np.int64)
-        pairs = signed(self.seen.keys)[key % (len(self.seen) + 1)]
-        return totals, listing, pairs, times, np.bincount(key // (len(self.seen) + 1), minlength=len(texts))
+        totals = np.stack([np.bincount(text_of, self.counts[number, i], len(texts)).astype(np.int64) for i in range(1, 6)], axis=1)
+        listing = _strings(self.names.take(pa.array(number)), np.bincount(text_of, minlength=len(texts)), ";")
+        many = self.many[number]
+        entry = _ranges((np.cumsum(self.many) - self.many)[number], many)
+        name, _ = self.pair_numbers.number(self.pairs[entry].view(np.uint64))
+        width = len(self.pair_numbers) + 1
+        key, where = np.unique(np.repeat(text_of, many) * width + name, return_inverse=True)
+        times = np.bincount(where, self.times[entry], len(key)).astype(np.int32)
+        return totals, listing, signed(self.pair_numbers.keys)[key % width], times, np.bincount(key // width, minlength=len(texts))
 
 
 def _aligner(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_path, b_path)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 totals, listing, pairs, times, per = aligner.texts(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), *(pa.array(totals[:, i]) for i in range(5)), pa.array(listing, pa.string()),
-                     list_column(pa.array(pairs), per), list_column(pa.array(times.astype(np.int32)), per)],
+                    [part.column("row"), part.column("doc_id"), *(pa.array(totals[:, i]) for i in range(5)), listing,
+                     list_column(pa.array(pairs), per), list_column(pa.array(times), per)],
                     names=["row", "doc_id", *COUNTS, "groups", "pairs", "times"])
     return run
 

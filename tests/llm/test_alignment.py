@@ -78,13 +78,28 @@ def test_odd_rows(spark, odd, none):
 def test_segments_do_not_change_the_ids():
     aligner = alignment.Aligner(A, B)
     r = random.Random(4)
-    ta = aligner.a.tokenizer
+    a, b = aligner.sides
     for _ in range(3000):
         text = "".join(r.choice(SIGNS.replace("▁", "")) for _ in range(r.randint(1, 25)))  # a text with that sign has no tokens
-        parts = list(aligner.segments(text))
+        parts = sum(aligner.segments(text), [])
         assert "".join(parts) == " " + text
-        assert sum(aligner.a.encode(parts), []) == ta.encode(" " + text, add_special_tokens=False).ids
-        assert sum(aligner.b.encode(parts), []) == aligner.b.model.encode(text)
+        assert sum(a.encode(parts), []) == a.tokenizer.encode(" " + text, add_special_tokens=False).ids
+        assert sum(b.encode(parts), []) == b.model.encode(text)
+
+
+def test_long_texts_and_segments_given_up(monkeypatch):
+    words = [f" w{i % 700}é." for i in range(3000)]
+    text = "".join(words)[1:]
+    whole = alignment.Aligner(A, B).texts([text, "a b", "x▁"])
+    for name in ("LONG", "AT_ONCE", "KEPT"):
+        monkeypatch.setattr(alignment, name, 50)
+    aligner = alignment.Aligner(A, B)
+    for _ in range(3):
+        assert sum(aligner.segments(text), []) == words
+        again = aligner.texts([text, "a b", "x▁"])
+        assert (again[0] == whole[0]).all() and again[1].equals(whole[1])
+        assert dict(zip(again[2].tolist(), again[3].tolist())) == dict(zip(whole[2].tolist(), whole[3].tolist()))
+    assert len(aligner.known) < 3000 and whole[0][2].sum() == 0
 
 
 @pytest.mark.parametrize("products", [1, 7, 1 << 20])
