@@ -108,6 +108,22 @@ class Splitter:
         return codes, start, end, value, np.searchsorted(start, offs)
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary: printable Latin-1 signs for themselves, the others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ſ]+")  # letters in any Unicode version, each one sign of its own
+_SIGNS = byte_signs()
+
+
+def spelled(word: str) -> str:
+    """The bytes of a word in the signs of a byte-level vocabulary."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
+
+
 def text_of(codes: np.ndarray, start: int, end: int) -> str:
     return codes[start:end].tobytes().decode("utf-32-le")
 

@@ -30,25 +30,26 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = np.cumsum(sizes)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-    place, stop = np.arange(n), np.repeat(ends, sizes)
-    need = np.searchsorted(MASKS[:WIDEST + 1], values)  # narrowest selector; one more is an escape
-    choice = np.full(n, ESCAPE)
-    fit = np.flatnonzero(need <= WIDEST)
-    for s in range(WIDEST, -1, -1):
+    place, stop = np.arange(n, dtype=np.int32), np.repeat(ends.astype(np.int32), sizes)
+    need = np.searchsorted(MASKS[:WIDEST + 1], values).astype(np.int8)  # narrowest selector; one more is an escape
+    widest = int(need.max())
+    choice = np.full(n, widest if widest <= WIDEST else ESCAPE, np.int8)
+    fit = np.flatnonzero(need < choice).astype(np.int32)
+    for s in range(min(widest - 1, WIDEST), -1, -1):
         fit = fit[need[fit] <= s]
         if not len(fit):
             break
         breaks = np.flatnonzero(np.diff(fit) > 1)
         runs = np.diff(np.concatenate([[-1], breaks, [len(fit) - 1]]))
         wide = np.repeat(np.append(fit[breaks], fit[-1]) + 1, runs)  # the next number too wide
-        choice[fit[np.minimum(fit + COUNTS[s], stop[fit]) <= wide]] = s
-    after = np.minimum(place + COUNTS[choice], stop).tolist()
+        choice[fit[np.minimum(fit + int(COUNTS[s]), stop[fit]) <= wide]] = s
+    after = np.minimum(place + COUNTS.astype(np.int32)[choice], stop).tolist()
     first, at = [], 0
     while at < n:
         first.append(at)
         at = after[at]
     first = np.array(first)
-    kind = choice[first]
+    kind = choice[first].astype(np.int64)
     filled = np.diff(np.append(first, n))
     block = np.searchsorted(ends, first, "right")
     shift = (place - np.repeat(first, filled)).astype(np.uint64) * np.repeat(WIDTHS[kind], filled)

@@ -9,12 +9,15 @@ Any document can be decoded on its own from its blocks' offsets.
 from __future__ import annotations
 
 import json
+import os
 import re
+import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +32,20 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from tablescout.llm.pretokens import LATIN, spelled
 from tablescout.llm.simple8b import pack, unpack
 from tablescout.llm.texts import list_column, pieces
-from tablescout.session import cut
-
 BLOCK = 4096  # ids of a block
-FILE_IDS = 1 << 24  # ids of a file, on average
+FILE_BYTES = 64 << 20  # text bytes behind one file, on average
 STEP_IDS = 1 << 20  # ids decoded at once
-KEPT_BYTES = 16 << 20  # bytes of words whose ids a task keeps before it starts anew
-LONG = 4 << 20  # a longer text is split into words window by window
+KEPT = 300_000  # words whose ids a task keeps, some 60 MB, before it gives up the rare ones
+OFTEN = 3  # times a word must have been seen to be kept on
+AT_ONCE = 8192  # words encoded in one call
+PIECE = 1 << 20  # text bytes handled at once
+LONG = 1 << 20  # a longer text is split into words window by window
+SIGNS = ".,;:!?"
+SIGN_BEHIND = re.compile(rb"(?<=[A-Za-z])([.,;:!?])(?=[\x20\x09-\x0D]|\Z)")
+LOWEST = -1 << 63  # stands for null where rows are put in order
 MAGIC = b"tokens8b"
 TRAILER = "<QQQ8s"  # documents, blocks, place of the index
 LISTING = "_files.json"
@@ -47,55 +55,86 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space, each distinct word encoded once while it is kept.
 
     White space ends every word of such a tokenizer, so a text's ids are those of its words
-    one after the other; other tokenizers are refused.
+    one after the other; other tokenizers are refused. Where the tokenizer takes both cases for
+    one and parts a word from the sign behind it, plain texts are so changed first, which leaves
+    fewer distinct words.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        letters, self.bare = string.ascii_lowercase, False
         apart = self._ids(["a"])[0] + self._ids(["b"])[0]
         if any(x != apart for x in self._ids([f"a{s}b" for s in (" ", "\t", "\n", "\v", "\f", "\r", " \n ")] + [" a b "])):
             raise ValueError(f"{path} keeps white space")
-        self._forget()
+        self.one_case = self._ids(list(letters)) == self._ids(list(letters.upper())) and self._ids([letters]) == self._ids([letters.upper()])
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda _: []
+        shape = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.bare = self.one_case and parts(letters + "éß") == [(spelled(letters + "éß"), (0, 28))] and shape("aÉẞ\u0301e") == "aéß\u0301e"
+        self.parts_signs = all([b for _, (_, b) in parts(c + sign)] == [1, 2] for c in letters + letters.upper() for sign in SIGNS)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, int] = {}
+        self.seen = np.zeros(0, np.int32)
+        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
+        if self.bare:  # Latin letters pass the steps before the model in a known way, and model calls are cheaper
+            pieces_of, latin = self.tokenizer.model.tokenize, LATIN.fullmatch
+            out = [[t.id for t in pieces_of(spelled(w.lower()))] if latin(w) else None for w in words]
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
+            return out
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _forget(self):
-        self.known: dict[bytes, int] = {}
-        self.kept = 0
-        self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _plain(self, text: bytes) -> bytes:
+        folded = text.lower()
+        if any(s.lower() in folded for s in self.special):
+            return text
+        if self.one_case and text.isascii():
+            text = folded
+        return SIGN_BEHIND.sub(rb" \1", text) if self.parts_signs else text
+
+    def _give_up_rare(self) -> None:
+        keep = self.seen >= OFTEN
+        self.flat, self.length = self.flat[np.repeat(keep, self.length)], self.length[keep]
+        to, keep = (np.cumsum(keep) - 1).tolist(), keep.tolist()
+        self.known = {w: to[i] for w, i in self.known.items() if keep[i]}
+        self.seen = np.zeros(len(self.length), np.int32)
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each word's number of ids."""
-        if self.kept > KEPT_BYTES:
-            self._forget()
+        if len(self.known) > KEPT or len(self.flat) > 16 * KEPT:
+            self._give_up_rare()
         fresh = list(set(words) - self.known.keys())
-        if fresh:
-            ids = self._ids([w.decode() for w in fresh])
-            size = np.array([len(x) for x in ids], np.int64)
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-            self.length = np.concatenate([self.length, size])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-            self.kept += sum(map(len, fresh)) + 64 * len(fresh)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.length[number]
+        flat, length = [self.flat], [self.length]
+        for at in range(0, len(fresh), AT_ONCE):
+            ids = self._ids([w.decode() for w in fresh[at:at + AT_ONCE]])
+            length.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(length[-1].sum())))
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        self.flat, self.length = np.concatenate(flat), np.concatenate(length)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        self.seen = np.concatenate([self.seen, np.zeros(len(fresh), np.int32)])
+        self.seen += np.bincount(number, minlength=len(self.seen)).astype(np.int32)
+        begin = np.cumsum(self.length, dtype=np.int64) - self.length
+        size = self.length[number].astype(np.int64)
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
-        return self.flat[np.repeat(self.begin[number] - (stop - size), size) + np.arange(total)], size
+        return self.flat[np.repeat(begin[number] - (stop - size), size) + np.arange(total)], size
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and each text's number of ids."""
         if len(texts) == 1 and len(texts[0]) > LONG:
-            ids = [self._words(part.split())[0] for part in windows(texts[0], LONG)]
+            ids = [self._words(part.split())[0] for part in windows(self._plain(texts[0]), LONG)]
             return np.concatenate(ids), np.array([sum(map(len, ids))])
         words, count = [], []
         for text in texts:
-            own = text.split()
+            own = self._plain(text).split()
             words += own
             count.append(len(own))
         ids, size = self._words(words)
@@ -113,11 +152,11 @@ def windows(text: bytes, limit: int) -> Iterator[bytes]:
         at = to
 
 
-def _encoder(path: str, end_id: int):
+def _encoder(path: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 ids, size = encoder.encode(part.column("text").cast(pa.binary()).to_pylist())
                 ids, size = np.insert(ids, np.cumsum(size), np.uint32(end_id)), size + 1
                 blocks = -(-size // BLOCK)
@@ -126,11 +165,14 @@ def _encoder(path: str, end_id: int):
                 coded, words, extra = pack(ids, block)
                 ends = np.cumsum(np.add.reduceat(words + extra, np.cumsum(blocks) - blocks))
                 data = coded.astype("<u8").tobytes()
+                data = [data[8 * a:8 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                check = np.fromiter(map(zlib.crc32, data), np.int64, len(data))
+                doc = part.column("doc_id").fill_null(LOWEST).to_numpy()
+                low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size),
-                     pa.array([data[8 * a:8 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary()),
+                    [pa.array((low + check % (high - low + 1)).astype(np.int32)), pa.array(check), part.column("doc_id"), pa.array(size), pa.array(data, pa.binary()),
                      list_column(pa.array(words.astype(np.int32)), blocks), list_column(pa.array(extra.astype(np.int32)), blocks)],
-                    names=["doc_id", "n", "data", "words", "extra"])
+                    names=["range", "tie", "doc_id", "n", "data", "words", "extra"])
     return run
 
 
@@ -301,12 +343,14 @@ class TokenIds(DataSource):
         return _Writer(self.options["path"])
 
 
-def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_ids: int = FILE_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs`` by the tokenizer file ``path``, end each with ``end_id``, and write them in ascending doc_id order.
 
-    ``folder`` is any place that pyarrow and all executors can reach. Each file is written by
-    one task under a name of its own; only the listing, written last, makes files count, so a
-    task that is run again leaves none twice. Rows of one doc_id may lie in several files.
+    ``folder`` is any place that pyarrow and all executors can reach. Ids are coded where the
+    text is read, and only codes are shuffled, to ranges of doc_id with about equally many rows;
+    an id that many rows share takes several ranges. Each file is written by one task under a
+    name of its own; only the listing, written last, makes files count, so a task that is run
+    again leaves none twice.
 
     A null or empty text is the end id alone; null ids come first; repeated rows are written
     each, in the order of their checksums; other columns are ignored; an empty table gives no
@@ -314,14 +358,16 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_ids
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    coded = cut(texts.mapInArrow(_encoder(path, end_id), "doc_id long, n long, data binary, words array<int>, extra array<int>"), "coded")
-    total = coded.agg(F.sum("n")).first()[0] or 0
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-size // file_bytes))
+    shares = [i / files for i in range(1, files)]
+    bounds = texts.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(LOWEST)), shares, max(10_000, 20 * files))).first()[0] if shares else []
+    coded = texts.mapInArrow(_encoder(path, end_id, np.array(bounds or [], np.int64)),
+                             "range int, tie long, doc_id long, n long, data binary, words array<int>, extra array<int>")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("data")]
     spark.dataSource.register(TokenIds)
-    order = [F.col("doc_id").asc_nulls_first(), F.crc32("data"), F.monotonically_increasing_id()]
-    ranged = coded.select("doc_id", "n", "data", "words", "extra", order[1].alias("tie"), order[2].alias("row"))
-    order = [order[0], F.col("tie"), F.col("row")]
-    (ranged.repartitionByRange(max(1, -(-total // file_ids)), *order).sortWithinPartitions(*order)
-     .drop("tie", "row").write.format("token_ids").mode("append").save(folder))
+    (coded.repartitionById(files, F.col("range")).sortWithinPartitions(*order)
+     .drop("range", "tie").write.format("token_ids").mode("append").save(folder))
 
 
 def read_ids(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:

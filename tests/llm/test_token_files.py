@@ -8,11 +8,12 @@ import pytest
 from pyarrow.fs import FileSystem
 from tokenizers import Tokenizer
 
+from tablescout.llm import token_files
 from tablescout.llm.simple8b import pack, unpack
 from tablescout.llm.token_files import LISTING, TokenFile, WordEncoder, read_ids, windows, write_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-SIGNS = " \n\t'abstrelvmdABΣ019.,!é́ ⅷ日<|>\x0b\x1c\u0085　"
+SIGNS = " \n\t'abstrelvmdABΣß019.,!éÀİıſ́ ⅷ日<|>\x0b\x1c\u0085　"
 
 
 def test_coding_is_a_round_trip():
@@ -29,9 +30,9 @@ def test_coding_is_a_round_trip():
     assert len(pack(np.ones(120), np.array([120]))[0]) == 2  # sixty one-bit numbers a word
 
 
-def test_ids_equal_the_library():
+def test_ids_equal_the_library(monkeypatch):
     tokenizer, encoder, r = Tokenizer.from_file(PATH), WordEncoder(PATH), random.Random(1)
-    texts = ["", " ", "it's I'll", "ΑΣ ΑΣ, x<|endoftext|>y <|ENDOFTEXT|> <|startoftext|>", "é é é ́ x", "x" * 5000]
+    texts = ["", " ", "it's I'll", "J̌a. H̱B, İ. İ; ǰ AB. Ab! aB? a.̈ 'S. X's, 1. é. a;b a...", "ΑΣ ΑΣ, x<|endoftext|>y <|ENDOFTEXT|> <|startoftext|>", "é é é ́ x", "x" * 5000]
     texts += ["".join(r.choice(SIGNS) for _ in range(r.randint(0, 40))) for _ in range(2000)]
     ids, size = encoder.encode([t.encode() for t in texts])
     stop = np.cumsum(size)
@@ -39,6 +40,12 @@ def test_ids_equal_the_library():
         assert list(ids[a:b]) == tokenizer.encode(text, add_special_tokens=False).ids, text
     with pytest.raises(ValueError):
         WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"Aa{i % 90}B. c" for i in range(400)]
+    for name in ("KEPT", "AT_ONCE"):
+        monkeypatch.setattr(token_files, name, 50)
+    for part in (texts[:100], texts[100:], texts):
+        ids, size = encoder.encode([t.encode() for t in part])
+        assert ids.tolist() == sum((tokenizer.encode(t, add_special_tokens=False).ids for t in part), [])
     text = b"ab  c\n" * 20 + b"x" * 100 + b" y"
     assert b"".join(windows(text, 7)) == text and sum((p.split() for p in windows(text, 7)), []) == text.split()
 
@@ -47,12 +54,13 @@ def key(doc_id):
     return (doc_id is not None, doc_id or 0)
 
 
-@pytest.mark.parametrize("file_ids", [40, 1 << 24])
-def test_files(spark, odd, none, tmp_path, file_ids):
+@pytest.mark.parametrize("file_bytes", [300, 1 << 26])
+def test_files(spark, odd, none, tmp_path, file_bytes):
     r = random.Random(2)
     docs = odd.select("doc_id", "text", "n").union(spark.createDataFrame(
         [(r.randint(-50, 50) * 1000, "".join(r.choice(SIGNS) for _ in range(r.randint(0, 200))), 0) for _ in range(40)], "doc_id long, text string, n int"))
-    write_ids(docs, PATH, f"file://{tmp_path}/ids", file_ids=file_ids)
+    docs = docs.unionByName(spark.createDataFrame([(77, "a b", 0)] * 300 + [(None, f"c {i}", 0) for i in range(300)], "doc_id long, text string, n int"))
+    write_ids(docs, PATH, f"file://{tmp_path}/ids", file_bytes=file_bytes)
     tokenizer = Tokenizer.from_file(PATH)
     want = sorted(str((x.doc_id, (ids := tokenizer.encode(x.text or "", add_special_tokens=False).ids + [2]), zlib.crc32(np.array(ids, "<u4").tobytes())))
                   for x in docs.collect())
