@@ -7,6 +7,7 @@ those of its segments one after the other. Each distinct segment is aligned once
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -18,42 +19,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.csr import Csr, ones, product_blocks, transposed
-from tablescout.llm.pretokens import Interner
+from tablescout.llm.pretokens import LATIN, Interner, byte_signs, spelled
 from tablescout.llm.texts import list_column, pieces, signed, utf8
 from tablescout.session import cut
 
 KEPT = 300_000  # aligned segments that a task keeps, some 90 MB, before it gives up the rare ones
 OFTEN = 3  # times a segment must have been seen to be kept on
 AT_ONCE = 1 << 18  # segments of one text that are looked up at once
+FRESH = 16_384  # new segments aligned at once
 PIECE = 1 << 20  # text bytes handled at once
 LONG = 1 << 20  # characters of a text that are cut into segments at once
 HEAD = 1 << 18  # most frequent id pairs that every task holds: 17 bytes each, 4.5 MB
+SIGNS = ".,;:!?"
 SEGMENT = re.compile(r" \s*(?:\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?)?")
 CUT = re.compile(r"\S(?= )")
 
 
-def _byte_signs() -> dict[str, int]:
-    """The byte each sign of a byte-level vocabulary stands for: printable Latin-1 signs for themselves, the others in order from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteBpe:
     """Token ids and token bytes of a byte-level BPE file; its special strings are plain text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        signs = _byte_signs()
+        signs = {sign: b for b, sign in byte_signs().items()}
         self.bytes = {i: bytes(signs.get(c, 63) for c in token) for token, i in self.tokenizer.get_vocab().items()}
 
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bare = self.tokenizer.normalizer is None and parts(" aé,") == [("Ġ" + spelled("aé"), (0, 3)), (",", (3, 4))]
+
     def encode(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        if not self.bare:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        # a space, letters and perhaps one sign are cut in a known way, and model calls are cheaper
+        pieces_of, latin, out, rest = self.tokenizer.model.tokenize, LATIN.fullmatch, [], []
+        for i, s in enumerate(segments):
+            word, sign = (s[1:-1], s[-1]) if s[-1] in SIGNS else (s[1:], "")
+            if latin(word):
+                out.append([t.id for t in pieces_of("Ġ" + spelled(word))] + [t.id for t in pieces_of(sign) if sign])
+            else:
+                out.append(None)
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
 
 class PieceBpe:
@@ -156,8 +169,8 @@ class Aligner:
 
     def number(self, segments: list[str]) -> np.ndarray:
         fresh = list(set(segments) - self.known.keys())
-        if fresh:
-            self._align(fresh)
+        for at in range(0, len(fresh), FRESH):
+            self._align(fresh[at:at + FRESH])
         return np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
 
     def _align(self, fresh: list[str]) -> None:

@@ -9,11 +9,12 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tablescout.llm import alignment
+from tablescout.llm.pretokens import byte_signs
 from tablescout.llm.csr import ones, product_blocks, transposed
 from tablescout.session import cut
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-SIGNS = " \n\t'abstrelvmd019.,!é ⅷ日<|> \r▁😀　​"
+SIGNS = " \n\t'abstrelvmdß019.,!éÀſ ⅷ日<|> \r▁😀　​"
 TEXTS = ["it's I'll you've  's \n 't", "a  b   c\n\nd \t e ", "x<|endoftext|>y <s> </s>", " ", "  ", " \n", "\n", "", "a ", "a  ", " a", "▁", "日本語 テスト", "naïve—“quotes”…",
          "line one.\n  line two\n\n\tline three \n", "<0x41> <unk>", "x" * 3000, "\u0085z\x1c\x1d y \x00 z"]
 
@@ -22,7 +23,7 @@ def brute(rows):
     """Rows of the contract, by comparing all byte ranges."""
     ta, sp = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     ta.encode_special_tokens = True
-    signs = alignment._byte_signs()
+    signs = {sign: b for b, sign in byte_signs().items()}
     out, links_of = [], []
     for doc_id, text in rows:
         text = text or ""
