@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.csr import Csr, ones, product_blocks, transposed
-from tablescout.llm.pretokens import LATIN, Interner, byte_signs, spelled
+from tablescout.llm.pretokens import LATIN, Interner, Numbers, byte_signs, spelled
 from tablescout.llm.texts import list_column, pieces, signed, utf8
 from tablescout.session import cut
 
-KEPT = 300_000  # aligned segments that a task keeps, some 90 MB, before it gives up the rare ones
+KEPT = 300_000  # aligned segments that a worker keeps from task to task, some 90 MB, before it gives up the rare ones
 OFTEN = 3  # times a segment must have been seen to be kept on
 AT_ONCE = 1 << 18  # segments of one text that are looked up at once
 FRESH = 16_384  # new segments aligned at once
@@ -137,7 +137,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.sides = [ByteBpe(a_path), PieceBpe(b_path)]
         self.spelling = [Spelling(side.bytes) for side in self.sides]
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.times_seen = np.zeros(0, np.int32)
         self.names = pa.array([], pa.string())
         self.counts = np.zeros((0, 6), np.int32)  # valid, tokens of a and of b, groups, links, shared
@@ -151,7 +151,7 @@ class Aligner:
         self.counts, self.many, self.names = self.counts[kept], self.many[kept], self.names.take(pa.array(kept))
         to = (np.cumsum(keep) - 1).tolist()
         keep = keep.tolist()
-        self.known = {s: to[i] for s, i in self.known.items() if keep[i]}
+        self.known = Numbers({s: to[i] for s, i in self.known.items() if keep[i]})
         self.times_seen = np.zeros(len(kept), np.int32)
         self.pair_numbers = Interner()
 
@@ -168,10 +168,11 @@ class Aligner:
             at = end
 
     def number(self, segments: list[str]) -> np.ndarray:
-        fresh = list(set(segments) - self.known.keys())
+        number, fresh = self.known.of(segments), self.known.fresh
         for at in range(0, len(fresh), FRESH):
             self._align(fresh[at:at + FRESH])
-        return np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        self.known.fresh = []
+        return number
 
     def _align(self, fresh: list[str]) -> None:
         total = len(fresh)
@@ -213,7 +214,6 @@ class Aligner:
         said = [_strings(pa.array(ids).cast(pa.string()), np.bincount(g.column, minlength=len(group_ends)), ",") for ids, g in zip(flat, group)]
         names = _strings(pc.binary_join_element_wise(*said, "|"), n_groups, ";")
         self.names = pa.concat_arrays([self.names, names])
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + total)))
         counts = [good, np.bincount(of[0], minlength=total), np.bincount(of[1], minlength=total), n_groups, links, shared]
         self.counts = np.concatenate([self.counts, np.stack(counts, axis=1).astype(np.int32)])
         self.pairs = np.concatenate([self.pairs, pair[once]])
@@ -254,9 +254,10 @@ class Aligner:
         return totals, listing, signed(self.pair_numbers.keys)[key % width], times, np.bincount(key // width, minlength=len(texts))
 
 
-def _aligner(a_path: str, b_path: str):
+def _aligner(kept, a_path: str, b_path: str):
+    """``kept``: a broadcast of an empty dict, of which each Python worker holds one copy for all its tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a_path, b_path)
+        aligner = kept.value.get("aligner") or kept.value.setdefault("aligner", Aligner(a_path, b_path))
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 totals, listing, pairs, times, per = aligner.texts(part.column("text").to_pylist())
@@ -286,7 +287,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_aligner(a_path, b_path), "row long, doc_id long, " + "".join(f"{c} long, " for c in COUNTS)
+    kept = docs.sparkSession.sparkContext.broadcast({})
+    return rows.mapInArrow(_aligner(kept, a_path, b_path), "row long, doc_id long, " + "".join(f"{c} long, " for c in COUNTS)
                            + "groups string, pairs array<long>, times array<int>")
 
 

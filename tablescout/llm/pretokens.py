@@ -128,6 +128,22 @@ def text_of(codes: np.ndarray, start: int, end: int) -> str:
     return codes[start:end].tobytes().decode("utf-32-le")
 
 
+class Numbers(dict):
+    """Numbers things in order of first sight; ``fresh`` are those seen since it was last emptied."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.fresh = []
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        self.fresh.append(key)
+        return number
+
+    def of(self, things: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, things), np.int64, len(things))
+
+
 class Interner:
     """Numbers 64-bit keys in order of first sight, many at a time."""
 

@@ -23,6 +23,22 @@ def _before(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _chain(after: np.ndarray) -> np.ndarray:
+    """0, after[0], after[after[0]], ... up to the end: eight steps at a time, then the seven between."""
+    n = len(after) - 1
+    two = after[after]
+    four = two[two]
+    eight = four[four].tolist()
+    heads, at = [], 0
+    while at < n:
+        heads.append(at)
+        at = eight[at]
+    heads = np.array(heads)
+    even = np.stack([heads, two[heads], four[heads], four[two[heads]]], axis=1)
+    all_steps = np.stack([even, after[even]], axis=2).ravel()
+    return all_steps[all_steps < n]
+
+
 def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code blocks of the given sizes: all words, words of each block, escapes of each block."""
     values, sizes = values.astype(np.uint64, copy=False), sizes.astype(np.int64, copy=False)
@@ -43,12 +59,7 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         runs = np.diff(np.concatenate([[-1], breaks, [len(fit) - 1]]))
         wide = np.repeat(np.append(fit[breaks], fit[-1]) + 1, runs)  # the next number too wide
         choice[fit[np.minimum(fit + int(COUNTS[s]), stop[fit]) <= wide]] = s
-    after = np.minimum(place + COUNTS.astype(np.int32)[choice], stop).tolist()
-    first, at = [], 0
-    while at < n:
-        first.append(at)
-        at = after[at]
-    first = np.array(first)
+    first = _chain(np.append(np.minimum(place + COUNTS.astype(np.int32)[choice], stop), np.int32(n)))
     kind = choice[first].astype(np.int64)
     filled = np.diff(np.append(first, n))
     block = np.searchsorted(ends, first, "right")

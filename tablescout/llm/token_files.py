@@ -32,13 +32,13 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tablescout.llm.pretokens import LATIN, spelled
+from tablescout.llm.pretokens import LATIN, Numbers, spelled
 from tablescout.llm.simple8b import pack, unpack
 from tablescout.llm.texts import list_column, pieces
 BLOCK = 4096  # ids of a block
 FILE_BYTES = 64 << 20  # text bytes behind one file, on average
 STEP_IDS = 1 << 20  # ids decoded at once
-KEPT = 300_000  # words whose ids a task keeps, some 60 MB, before it gives up the rare ones
+KEPT = 500_000  # words whose ids a worker keeps from task to task, some 100 MB, before it gives up the rare ones
 OFTEN = 3  # times a word must have been seen to be kept on
 AT_ONCE = 8192  # words encoded in one call
 PIECE = 1 << 20  # text bytes handled at once
@@ -77,7 +77,7 @@ class WordEncoder:
         self.bare = self.one_case and parts(letters + "éß") == [(spelled(letters + "éß"), (0, 28))] and shape("aÉẞ\u0301e") == "aéß\u0301e"
         self.parts_signs = all([b for _, (_, b) in parts(c + sign)] == [1, 2] for c in letters + letters.upper() for sign in SIGNS)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.seen = np.zeros(0, np.int32)
         self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
@@ -103,22 +103,21 @@ class WordEncoder:
         keep = self.seen >= OFTEN
         self.flat, self.length = self.flat[np.repeat(keep, self.length)], self.length[keep]
         to, keep = (np.cumsum(keep) - 1).tolist(), keep.tolist()
-        self.known = {w: to[i] for w, i in self.known.items() if keep[i]}
+        self.known = Numbers({w: to[i] for w, i in self.known.items() if keep[i]})
         self.seen = np.zeros(len(self.length), np.int32)
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each word's number of ids."""
         if len(self.known) > KEPT or len(self.flat) > 16 * KEPT:
             self._give_up_rare()
-        fresh = list(set(words) - self.known.keys())
+        number, fresh = self.known.of(words), self.known.fresh
         flat, length = [self.flat], [self.length]
         for at in range(0, len(fresh), AT_ONCE):
             ids = self._ids([w.decode() for w in fresh[at:at + AT_ONCE]])
             length.append(np.fromiter(map(len, ids), np.int32, len(ids)))
             flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(length[-1].sum())))
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        self.known.fresh = []
         self.flat, self.length = np.concatenate(flat), np.concatenate(length)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         self.seen = np.concatenate([self.seen, np.zeros(len(fresh), np.int32)])
         self.seen += np.bincount(number, minlength=len(self.seen)).astype(np.int32)
         begin = np.cumsum(self.length, dtype=np.int64) - self.length
@@ -152,9 +151,10 @@ def windows(text: bytes, limit: int) -> Iterator[bytes]:
         at = to
 
 
-def _encoder(path: str, end_id: int, bounds: np.ndarray):
+def _encoder(kept, path: str, end_id: int, bounds: np.ndarray):
+    """``kept``: a broadcast of an empty dict, of which each Python worker holds one copy for all its tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = kept.value.get("encoder") or kept.value.setdefault("encoder", WordEncoder(path))
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 ids, size = encoder.encode(part.column("text").cast(pa.binary()).to_pylist())
@@ -362,7 +362,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_byt
     files = max(1, -(-size // file_bytes))
     shares = [i / files for i in range(1, files)]
     bounds = texts.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(LOWEST)), shares, max(10_000, 20 * files))).first()[0] if shares else []
-    coded = texts.mapInArrow(_encoder(path, end_id, np.array(bounds or [], np.int64)),
+    kept = spark.sparkContext.broadcast({})
+    coded = texts.mapInArrow(_encoder(kept, path, end_id, np.array(bounds or [], np.int64)),
                              "range int, tie long, doc_id long, n long, data binary, words array<int>, extra array<int>")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("data")]
     spark.dataSource.register(TokenIds)
