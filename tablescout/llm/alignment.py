@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.csr import Csr, ones, product_blocks, transposed
-from tablescout.llm.pretokens import LATIN, Interner, Numbers, byte_signs, spelled
+from tablescout.llm.pretokens import PLAIN, Interner, Numbers, byte_signs, spelled
 from tablescout.llm.texts import list_column, pieces, signed, utf8
 from tablescout.session import cut
 
@@ -30,7 +31,6 @@ FRESH = 16_384  # new segments aligned at once
 PIECE = 1 << 20  # text bytes handled at once
 LONG = 1 << 20  # characters of a text that are cut into segments at once
 HEAD = 1 << 18  # most frequent id pairs that every task holds: 17 bytes each, 4.5 MB
-SIGNS = ".,;:!?"
 SEGMENT = re.compile(r" \s*(?:\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?)?")
 CUT = re.compile(r"\S(?= )")
 
@@ -49,18 +49,21 @@ class ByteBpe:
         signs = {sign: b for b, sign in byte_signs().items()}
         self.bytes = {i: bytes(signs.get(c, 63) for c in token) for token, i in self.tokenizer.get_vocab().items()}
 
-        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.bare = self.tokenizer.normalizer is None and parts(" aé,") == [("Ġ" + spelled("aé"), (0, 3)), (",", (3, 4))]
+        parts, signs = self.tokenizer.pre_tokenizer.pre_tokenize_str, "".join(c for c in string.punctuation if c != "'")
+        self.bare = self.tokenizer.normalizer is None and parts(" aéſ" + signs) == [("Ġ" + spelled("aéſ"), (0, 4)), (signs, (4, 4 + len(signs)))]
+        self.signs: dict[str, list[int]] = {}
 
     def encode(self, segments: list[str]) -> list[list[int]]:
         if not self.bare:
             return [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        # a space, letters and perhaps one sign are cut in a known way, and model calls are cheaper
-        pieces_of, latin, out, rest = self.tokenizer.model.tokenize, LATIN.fullmatch, [], []
+        # a space, letters and signs are cut in a known way, and model calls are cheaper
+        pieces_of, plain, signs, out, rest = self.tokenizer.model.tokenize, PLAIN.fullmatch, self.signs, [], []
         for i, s in enumerate(segments):
-            word, sign = (s[1:-1], s[-1]) if s[-1] in SIGNS else (s[1:], "")
-            if latin(word):
-                out.append([t.id for t in pieces_of("Ġ" + spelled(word))] + [t.id for t in pieces_of(sign) if sign])
+            if m := plain(s, 1):
+                ids = [t.id for t in pieces_of("Ġ" + spelled(m[1]))]
+                if m[2]:
+                    ids += signs[m[2]] if m[2] in signs else signs.setdefault(m[2], [t.id for t in pieces_of(m[2])])
+                out.append(ids)
             else:
                 out.append(None)
                 rest.append(i)

@@ -115,7 +115,8 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ſ]+")  # letters in any Unicode version, each one sign of its own
+# Latin letters, the same in any Unicode version and each one sign of its own, and ASCII signs behind them but apostrophes.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)")
 _SIGNS = byte_signs()
 
 

@@ -32,7 +32,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tablescout.llm.pretokens import LATIN, Numbers, spelled
+from tablescout.llm.pretokens import PLAIN, Numbers, spelled
 from tablescout.llm.simple8b import pack, unpack
 from tablescout.llm.texts import list_column, pieces
 BLOCK = 4096  # ids of a block
@@ -43,8 +43,6 @@ OFTEN = 3  # times a word must have been seen to be kept on
 AT_ONCE = 8192  # words encoded in one call
 PIECE = 1 << 20  # text bytes handled at once
 LONG = 1 << 20  # a longer text is split into words window by window
-SIGNS = ".,;:!?"
-SIGN_BEHIND = re.compile(rb"(?<=[A-Za-z])([.,;:!?])(?=[\x20\x09-\x0D]|\Z)")
 LOWEST = -1 << 63  # stands for null where rows are put in order
 MAGIC = b"tokens8b"
 TRAILER = "<QQQ8s"  # documents, blocks, place of the index
@@ -56,8 +54,7 @@ class WordEncoder:
 
     White space ends every word of such a tokenizer, so a text's ids are those of its words
     one after the other; other tokenizers are refused. Where the tokenizer takes both cases for
-    one and parts a word from the sign behind it, plain texts are so changed first, which leaves
-    fewer distinct words.
+    one, plain texts are lower-cased first, which leaves fewer distinct words.
     """
 
     def __init__(self, path: str):
@@ -72,20 +69,29 @@ class WordEncoder:
         if any(x != apart for x in self._ids([f"a{s}b" for s in (" ", "\t", "\n", "\v", "\f", "\r", " \n ")] + [" a b "])):
             raise ValueError(f"{path} keeps white space")
         self.one_case = self._ids(list(letters)) == self._ids(list(letters.upper())) and self._ids([letters]) == self._ids([letters.upper()])
-        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda _: []
         shape = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
-        self.bare = self.one_case and parts(letters + "éß") == [(spelled(letters + "éß"), (0, 28))] and shape("aÉẞ\u0301e") == "aéß\u0301e"
-        self.parts_signs = all([b for _, (_, b) in parts(c + sign)] == [1, 2] for c in letters + letters.upper() for sign in SIGNS)
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda _: []
+        whole, signs = letters + "éß", "".join(c for c in string.punctuation if c != "'")
+        self.bare = (self.one_case and parts(whole + signs) == [(spelled(whole), (0, 28)), (signs, (28, 28 + len(signs)))]
+                     and shape(whole.upper() + "ẞ" + signs) == letters + "éssß" + signs)
+        self.signs: dict[str, list[int]] = {}
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Numbers()
         self.seen = np.zeros(0, np.int32)
         self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
-        if self.bare:  # Latin letters pass the steps before the model in a known way, and model calls are cheaper
-            pieces_of, latin = self.tokenizer.model.tokenize, LATIN.fullmatch
-            out = [[t.id for t in pieces_of(spelled(w.lower()))] if latin(w) else None for w in words]
-            rest = [i for i, ids in enumerate(out) if ids is None]
+        if self.bare:  # plain words pass the steps before the model in a known way, and model calls are cheaper
+            pieces_of, plain, signs, out, rest = self.tokenizer.model.tokenize, PLAIN.fullmatch, self.signs, [], []
+            for i, w in enumerate(words):
+                if m := plain(w):
+                    ids = [t.id for t in pieces_of(spelled(m[1].lower()))]
+                    if m[2]:
+                        ids += signs[m[2]] if m[2] in signs else signs.setdefault(m[2], [t.id for t in pieces_of(m[2])])
+                    out.append(ids)
+                else:
+                    out.append(None)
+                    rest.append(i)
             for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
                 out[i] = e.ids
             return out
@@ -95,9 +101,7 @@ class WordEncoder:
         folded = text.lower()
         if any(s.lower() in folded for s in self.special):
             return text
-        if self.one_case and text.isascii():
-            text = folded
-        return SIGN_BEHIND.sub(rb" \1", text) if self.parts_signs else text
+        return folded if self.one_case and text.isascii() else text
 
     def _give_up_rare(self) -> None:
         keep = self.seen >= OFTEN
