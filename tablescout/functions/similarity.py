@@ -8,6 +8,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from tablescout.functions import letters
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word of bits per step."""
@@ -58,83 +60,117 @@ def best_names(names: pd.Series, options: pd.Series, threshold: float) -> pd.Dat
     return pd.DataFrame(out, columns=["at", "score"]).astype({"at": "Int32", "score": "Float64"})
 
 
+LEAF = 64  # seed values whose letter counts share one box
+
+
 class Tile:
     """Seed values of one tile, ready for many candidates."""
 
     def __init__(self, values: list[str], positions: list[int]):
-        order = sorted(range(len(values)), key=lambda i: (positions[i], values[i]))
+        tokens = [set(v.split()) for v in values]
+        texts = [" ".join(sorted(t)) for t in tokens]
+        bags = letters.counts(texts)
+        tree = letters.Splits(bags, max(0, (len(values) // LEAF).bit_length()))
+        order = np.lexsort((np.array(positions), tree.path(bags))) if values else np.zeros(0, np.int64)
         self.values = [values[i] for i in order]
-        self.positions = [positions[i] for i in order]
-        self.tokens = [set(v.split()) for v in self.values]
-        texts = [" ".join(sorted(t)) for t in self.tokens]
+        self.positions = np.array(positions, np.int64)[order]
+        self.tokens = [tokens[i] for i in order]
+        self.bags = bags[order]
+        texts = [texts[i] for i in order]
         self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.rank = np.empty(len(values), np.int64)  # among equal scores the first place wins, then the first text
+        self.rank[sorted(range(len(values)), key=lambda i: (self.positions[i], self.values[i]))] = np.arange(len(values))
+        first = np.arange(0, len(values), LEAF)
+        self.low, self.high = (f.reduceat(self.bags, first, axis=0) for f in (np.minimum, np.maximum)) if values else (bags, bags)
+        self.longest = np.maximum.reduceat(self.length, first) if values else self.length
         self.code = {ch: i + 1 for i, ch in enumerate(sorted(set("".join(texts))))}
-        self.grid = np.zeros((int(self.length.max(initial=0)), len(texts)), dtype=np.int64)
-        for j, text in enumerate(texts):
-            self.grid[: len(text), j] = [self.code[ch] for ch in text]
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.fromiter(map(self.code.__getitem__, "".join(texts)), np.int64, int(self.length.sum()))
         holders: dict[str, list[int]] = {}
         for j, toks in enumerate(self.tokens):
             for t in toks:
                 holders.setdefault(t, []).append(j)
         self.holders = {t: np.array(h) for t, h in holders.items()}
+        self.compared = 0
 
-    def _without_shared(self, text: str) -> np.ndarray:
-        """Scores against every value as if no token were shared."""
+    def _common(self, text: str, at: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence with each value of ``at``, 64 characters a word of bits."""
         n = len(text)
-        if n > 64:
-            common = np.array([common_length(text, " ".join(sorted(t))) for t in self.tokens])
-        else:
-            where = np.zeros(len(self.code) + 1, dtype=np.uint64)
-            for i, ch in enumerate(text):
-                if ch in self.code:
-                    where[self.code[ch]] |= np.uint64(1 << i)
-            full = np.uint64((1 << n) - 1)
-            row = np.full(len(self.values), full, dtype=np.uint64)
-            for codes in self.grid:
-                hit = row & where[codes]
-                row = (row + hit) | (row - hit)
-            common = n - np.bitwise_count(row & full).astype(np.int64)
-        return 100.0 * (1 - (n + self.length - 2 * common) / (n + self.length))
-
-    def best(self, value: str, threshold: float, letters: bool) -> tuple[int, float] | None:
-        """Index and score of the best value, the earliest among equals.
-
-        ``letters`` false: the tile's lengths are too far off for a match by letters.
+        words = -(-n // 64)
+        where = np.zeros((len(self.code) + 1, words), dtype=np.uint64)
+        for i, ch in enumerate(text):
+            if ch in self.code:
+                where[self.code[ch], i // 64] |= np.uint64(1 << i % 64)
+        full = np.full(words, np.iinfo(np.uint64).max)
+        full[-1] >>= np.uint64(64 * words - n)
+        row = np.tile(full, (len(at), 1))
+        length, start = self.length[at], self.start[at]
+        order = np.argsort(-length, kind="stable")  # rows that have ended stay behind
+        row, length, start = row[order], length[order], start[order]
+        for step in range(int(length.max(initial=0))):
+            on = int(np.searchsorted(-length, -step, "left"))
+            open_row = row[:on]
+            hit = open_row & where[self.flat[start[:on] + step]]
+            total = open_row + hit
+            carry = total < hit
+            for k in range(1, words):  # what overflows one word goes on to the next
+                total[:, k] += carry[:, k - 1]
+                carry[:, k] |= carry[:, k - 1] & (total[:, k] == 0)
+            row[:on] = total | (open_row & ~hit)
+        out = np.empty(len(at), np.int64)
+        out[order] = n - np.bitwise_count(row & full).astype(np.int64).sum(axis=1)
+        return out
+
+    def best(self, value: str, threshold: float, by_letters: bool) -> tuple[int, float] | None:
+        """Index and score of the best value that scores ``threshold`` or more, the earliest among equals.
+
+        ``by_letters`` false: only what shared tokens alone are worth is looked at.
         """
         mine = set(value.split())
-        if not mine:
+        if not mine or not self.values:
             return None
         text = " ".join(sorted(mine))
+        n = len(text)
         shared = np.zeros(len(self.values), dtype=np.int64)
         for t in mine:
             if t in self.holders:
                 shared[self.holders[t]] += len(t) + 1
-        has = shared > 0
-        score = np.where(has, 0.0, self._without_shared(text)) if letters else np.zeros(len(self.values))
-        if has.any():
-            idx = np.flatnonzero(has)
-            sect, lb, la = shared[idx] - 1, self.length[idx], len(text)
-            low = 200.0 * sect / (sect + np.minimum(la, lb))
-            low[(sect == la) | (sect == lb)] = 100.0
-            score[idx] = low
-            if letters:
-                most = 200.0 * np.minimum(la, lb) / (la + lb)
-                bar = max(threshold, float(score.max()))
-                for k in idx[(most >= bar - 1e-6) & (low < 100.0)]:
-                    score[k] = ratio(mine, self.tokens[k])
-        score = np.round(score, 6)
-        top = int(np.argmax(score))
-        return (top, float(score[top])) if score[top] >= threshold else None
-
-
-def match_tile(cands: pd.DataFrame, seeds: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One row per candidate value that finds a match in the tile."""
+        score = np.zeros(len(self.values))
+        idx = np.flatnonzero(shared)
+        sect = shared[idx] - 1
+        score[idx] = np.round(200.0 * sect / (sect + np.minimum(n, self.length[idx])), 6)
+        bar = max(threshold, float(score.max()))
+        if by_letters and bar < 100:
+            bag = letters.counts([text])[0]
+            leaves = np.flatnonzero(letters.bound(bag, n, self.low, self.high, self.longest) >= bar - 1e-6)
+            at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
+            at = at[at < len(self.values)]
+            at = at[letters.bound(bag, n, self.bags[at], self.bags[at], self.length[at]) >= bar - 1e-6]
+            self.compared += len(at)
+            whole = at[shared[at] == 0]
+            score[whole] = np.round(200.0 * self._common(text, whole) / (n + self.length[whole]), 6)
+            for k in at[shared[at] > 0]:
+                score[k] = round(ratio(mine, self.tokens[k]), 6)
+        most = score.max()
+        if most < threshold:
+            return None
+        top = np.flatnonzero(score == most)
+        top = int(top[np.argmin(self.rank[top])])
+        return top, float(most)
+
+
+def match_tile(cands: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+    """One row per candidate value that finds a match in the tile at its ``bar`` or above.
+
+    ``compared`` on each row: the values whose letters were compared one by one.
+    """
     out = []
     if len(cands) and len(seeds):
         tile = Tile(seeds["seed_norm"].tolist(), seeds["seed_pos"].tolist())
-        for key, value, letters in zip(cands["domain"], cands["norm"], cands["letters"]):
-            hit = tile.best(value, threshold, bool(letters))
-            if hit:
-                j, score = hit
-                out.append((key, value, tile.values[j], tile.positions[j], score))
-    return pd.DataFrame(out, columns=["domain", "norm", "seed_norm", "seed_pos", "score"])
+        for key, value, bar, by_letters in zip(cands["domain"], cands["norm"], cands["bar"], cands["letters"]):
+            tile.compared = 0
+            hit = tile.best(value, bar, bool(by_letters))
+            j, score = hit or (None, None)
+            out.append((key, value, None if hit is None else tile.values[j], None if hit is None else tile.positions[j], score, tile.compared))
+    return pd.DataFrame(out, columns=["domain", "norm", "seed_norm", "seed_pos", "score", "compared"]).astype(
+        {"seed_pos": "Int64", "score": "Float64", "compared": "int64"})

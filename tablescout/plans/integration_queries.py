@@ -300,6 +300,29 @@ ORACLES["int_entity_resolve"] = f"""WITH sv AS (SELECT {norm_value_sql("p_name")
   cv AS (SELECT DISTINCT {norm_value_sql(_NOISE)} AS norm FROM part), {_resolve_sql("sv", "cv", "best")}
   SELECT norm, seed_norm, round(score, 4) AS score FROM best"""
 
+# Words of the benchmark, each without its second letter, against the words of all documents.
+
+
+def _words(s, sf, name, word, pos):
+    text = table(s, sf, name).select(pos.alias("pos"), F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
+    return text.filter("w <> ''").groupBy(F.lit("word").alias("domain"), word.alias("norm")).agg(F.min("pos").alias("pos"))
+
+
+def _word_domains(s, sf):
+    seeds = _words(s, sf, "documents", F.col("w"), F.col("doc_id"))
+    typo = F.concat(F.substring("w", 1, 1), F.expr("substring(w, 3)"))
+    return seeds, _words(s, sf, "benchmark", typo, F.lit(0)).select("domain", "norm")
+
+
+def _word_visits(s, sf):
+    *_, opened = en.resolve_with_visits(*_word_domains(s, sf))
+    return en.visit_report(opened)
+
+
+# Too many pairs for SQL; tests hold the operator against brute force.
+QUERIES["int_entity_words"] = lambda s, sf: en.resolve(*_word_domains(s, sf)).select("norm", "seed_norm", F.round("score", 4).alias("score"))
+QUERIES["int_entity_visits"] = _word_visits
+
 # --- Execution: orders enriched with customers -------------------------------------------
 PAGE = "http://example.org/customers"
 _SEED = {"order_id": "o_orderkey", "cust_id": "CASE WHEN o_orderkey % 50 > 0 THEN o_custkey END",
