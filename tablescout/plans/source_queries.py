@@ -49,14 +49,44 @@ QUERIES["src_tsv"] = _delimited("\t", tb.read_tsv)
 ORACLES["src_csv"] = ORACLES["src_tsv"] = BACK_SQL
 
 
+# Whole documents as cells, with all their line breaks and quotes.
+def _quoted(sep, reader):
+    def run(s, sf):
+        path = new_folder(s, "table")
+        table(s, sf, "documents").select("doc_id", "text", "source").write.options(
+            header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        return reader(s, path, sep, position="pos").select("doc_id", "text", "source", (F.col("pos") >= 0).alias("placed"))
+    return run
+
+
+QUERIES["src_csv_quoted"] = _quoted(",", tb.read_delimited)
+QUERIES["src_tsv_quoted"] = _quoted("\t", tb.read_delimited)
+ORACLES["src_csv_quoted"] = ORACLES["src_tsv_quoted"] = f"""SELECT doc_id, CASE WHEN text NOT IN ({", ".join("'" + t + "'" for t in fv.NA_TOKENS)}) THEN text END AS text,
+  source, true AS placed FROM documents"""
+
+
+def one_document(before, after):
+    """Lines of one file: the texts of a partition as the elements of one JSON document."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sign = before
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array([sign]), batch.column(0).slice(at, 1), "")], names=["value"])
+                sign = ","
+        yield pa.RecordBatch.from_arrays([pa.array([after if sign == "," else before + after])], names=["value"])
+    return run
+
+
 def _json(s, sf):
-    """Envelopes: one document per event, its list in the second member."""
+    """Envelopes: one document per part of the events, its records in the third member."""
     path = new_folder(s, "json")
     table(s, sf, "events").selectExpr(
-        "event_id", """to_json(named_struct('n', 2, 'rows', array(named_struct('id', event_id, 'kind', event_type, 'k', props),
-        named_struct('id', -event_id, 'kind', concat(event_type, '!'), 'k', props)), 'other', array(1, 2))) AS doc""").select(
-        F.explode(tb.json_records(F.col("doc"))).alias("value")).write.text(path)
-    return s.read.json(path).select("id", "kind", F.from_json("k", "k bigint")["k"].alias("k"))
+        "explode(array(named_struct('id', event_id, 'kind', event_type, 'k', props), named_struct('id', -event_id, 'kind', concat(event_type, '!'), 'k', props))) AS r").select(
+        F.to_json("r").alias("value")).mapInArrow(one_document('{"n": 2, "note": {"of": [1, 2]}, "rows": [', '], "other": [3]}'), "value string").write.text(path)
+    return tb.read_json(s, path).select("id", "kind", F.from_json("k", "k bigint")["k"].alias("k"))
 
 
 QUERIES["src_json"] = _json
@@ -293,7 +323,7 @@ QUERIES["src_connector_errors"] = lambda s, sf: pl.errors(_ckan(s, sf), "CKAN").
     "query_id", "connector", "source_name", "discovery_error", "is_error").unionByName(
     pl.errors(_ckan(s, sf).withColumn("source_url", F.concat(F.lit("u"), F.col("query_id") % 5)), "DCAT", True).select(
         "query_id", "connector", "source_name", "discovery_error", "is_error"))
-ORACLES["src_connector_errors"] = f"""WITH bad AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 17 = 0 THEN 'HTTP 500' ELSE 'HTTP 200' END AS discovery_error
+ORACLES["src_connector_errors"] = f"""WITH bad AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 17 = 0 THEN 'HTTP 500' ELSE 'unreadable answer' END AS discovery_error
     FROM part WHERE NOT ({GOOD}))
   SELECT query_id, 'CKAN' AS connector, 'Portal' AS source_name, discovery_error, true AS is_error FROM bad UNION ALL
   SELECT query_id, 'DCAT', 'Portal', discovery_error, true FROM bad QUALIFY row_number() OVER (PARTITION BY query_id % 5 ORDER BY query_id) = 1"""

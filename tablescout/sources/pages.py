@@ -15,11 +15,28 @@ from tablescout.sources.payloads import STRINGS, either, flat_text, json_list, m
 
 SCRIPT = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+NUMBERED = r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _numbered(text: Column) -> Column:
+    """Numeric character references, decimal or hexadecimal, as the characters they name."""
+    def one(part):
+        mark = F.regexp_extract(part, NUMBERED, 0)
+        digits = F.regexp_extract(mark, "[0-9a-fA-F]+", 0)
+        code = F.when(F.lower(F.substring(mark, 1, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        named = (mark != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(named, F.concat(sign, F.substring(part, F.length(mark) + 1, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    return F.when(F.contains(text, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(
+        F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
+    text = _numbered(text)
     for mark, ch in ENTITIES.items():
         text = F.replace(text, F.lit(mark), F.lit(ch))
     return text
@@ -27,7 +44,7 @@ def unescape(text: Column) -> Column:
 
 def links(html: Column, first: int | None = None) -> Column:
     """Distinct absolute links in page order."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), 1), unescape)
+    found = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), 1), lambda u: unescape(F.regexp_replace(u, "^[\"']|[\"']$", "")))
     kept = F.array_distinct(F.filter(found, lambda u: F.startswith(u, F.lit("http"))))
     return F.slice(kept, 1, first) if first else kept
 

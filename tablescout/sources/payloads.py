@@ -15,6 +15,7 @@ from tablescout.functions import fixed_values as fv
 from tablescout.operators.order import top_k
 
 STRINGS = "array<string>"
+MEMBERS = "map<string,string>"
 CANDIDATE = ["connector", "source_name", "source_url", "dataset_id", "title", "description",
              "landing_page", "keywords", "download_urls", "field_names", "raw_metadata"]
 
@@ -36,21 +37,30 @@ def json_list(text: Column) -> Column:
     )
 
 
-def flat_text(text: Column, depth: int = 3) -> Column:
-    """The scalars of a JSON value joined by blanks; a text that only looks like JSON stays."""
-    if depth == 0:
-        return F.coalesce(text, F.lit(""))
+# Stand for an escaped backslash and an escaped quote while strings are told apart; no text holds them.
+_SLASH, _QUOTE = "﷐", "﷑"
+# A string with the colon that makes it a name, or another scalar, or an empty list or object.
+_TOKEN = r'"[^"]*"(?:\s*:)?|-?[0-9][0-9.eE+\-]*|true|false|null|\[\s*\]|\{\s*\}'
+
+
+def scalars(text: Column) -> Column:
+    """The scalars of a JSON value of any depth, in document order; null and empty lists and objects count as empty.
+
+    Read off the text itself: no level is parsed into a value of its own.
+    """
+    slashes, quote = F.lit("\\\\"), F.lit('\\"')
+    masked = F.replace(F.replace(text, slashes, F.lit(_SLASH)), quote, F.lit(_QUOTE))
+    found = F.filter(F.regexp_extract_all(masked, F.lit(_TOKEN), 0), lambda t: ~F.endswith(t, F.lit(":")) | ~F.startswith(t, F.lit('"')))
+    found = F.transform(found, lambda t: F.when(t.rlike(r"^(null|\[\s*\]|\{\s*\})$"), F.lit('""')).otherwise(t))
+    whole = F.concat(F.lit("["), F.array_join(found, ","), F.lit("]"))
+    return F.from_json(F.replace(F.replace(whole, F.lit(_QUOTE), quote), F.lit(_SLASH), slashes), STRINGS)
 
-    def inner(x):
-        return flat_text(x, depth - 1)
-    return (
-        F.when(text.isNull(), "")
-        .when(F.startswith(text, F.lit("[")), F.coalesce(F.array_join(
-            F.transform(F.from_json(text, STRINGS), inner), " "), text))
-        .when(F.startswith(text, F.lit("{")), F.coalesce(F.array_join(
-            F.transform(F.map_values(F.from_json(text, "map<string,string>")), inner), " "), text))
-        .otherwise(text)
-    )
+
+def flat_text(text: Column) -> Column:
+    """The scalars of a JSON value of any depth joined by blanks; a text that only looks like JSON stays."""
+    is_json = F.when(F.startswith(text, F.lit("[")), F.from_json(text, STRINGS).isNotNull()).when(
+        F.startswith(text, F.lit("{")), F.from_json(text, MEMBERS).isNotNull())
+    return F.when(text.isNull(), "").when(is_json, F.array_join(scalars(text), " ")).otherwise(text)
 
 
 def some(values: Column) -> Column:
@@ -62,28 +72,39 @@ def metadata(**parts: Column) -> Column:
     return F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("string"))])
 
 
-def is_failure() -> Column:
-    bad_json = F.try_parse_json("body").isNull()
-    return (F.coalesce("status", F.lit(0)) >= 400) | F.col("body").isNull() | bad_json
+def answer(landed: DataFrame) -> DataFrame:
+    """``landed`` with the members of each answer in ``_top``, null where it failed or is no JSON object.
+
+    This one parse decides whether an answer can be read, so no size limit of its own applies.
+    """
+    return landed.withColumn("_top", F.when(F.coalesce("status", F.lit(0)) < 400, F.from_json("body", MEMBERS)))
 
 
 def errors(landed: DataFrame, connector: str, once_per_source: bool = False) -> DataFrame:
     """Error rows of failed answers; catalogs fetched once report once, at their first query."""
-    bad = landed.filter(is_failure()).select(
+    failed = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    bad = answer(landed).filter("_top is null").select(
         F.lit(connector).alias("connector"), "source_name", "source_url",
-        F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status").cast("string")),
-                   F.lit("unreadable answer")).alias("discovery_error"),
+        F.coalesce("error", failed, F.lit("unreadable answer")).alias("discovery_error"),
         "query", "query_id", F.lit(True).alias("is_error"))
     if once_per_source:
         bad = top_k(bad, ["source_url"], [F.asc("query_id")], 1, "_rn").drop("_rn")
     return bad
 
 
-def _items(landed: DataFrame, path: str, schema: str, limit: int | None) -> DataFrame:
+def _listed(text: Column) -> Column:
+    """The items of a JSON list; null if it is none or empty."""
+    items = F.when(F.startswith(text, F.lit("[")), F.from_json(text, STRINGS))
+    return F.when(F.size(items) > 0, items)
+
+
+def _items(landed: DataFrame, path: list[str], schema: str, limit: int | None) -> DataFrame:
     """The first ``limit`` items of each good answer, parsed, with their 1-based place."""
-    good = landed.filter(~is_failure())
-    texts = F.from_json(F.get_json_object("body", path), STRINGS)
-    rows = good.withColumn("_texts", F.slice(texts, 1, limit) if limit else texts).select(
+    place = F.col("_top")
+    for name in path[:-1]:
+        place = F.from_json(place[name], MEMBERS)
+    texts = _listed(place[path[-1]])
+    rows = answer(landed).withColumn("_texts", F.slice(texts, 1, limit) if limit else texts).select(
         "query_id", "query", F.col("source_name").alias("_source"), F.col("source_url").alias("_url"),
         F.posexplode("_texts").alias("_at", "_item"))
     return rows.withColumn("pos", F.col("_at") + 1).withColumn("i", F.from_json("_item", schema))
@@ -95,7 +116,7 @@ def _candidates(items: DataFrame, connector: str, **parts: Column) -> DataFrame:
 
 
 def ckan(landed: DataFrame, limit: int = fv.PER_QUERY_LIMIT) -> DataFrame:
-    d = _items(landed, "$.result.results", (
+    d = _items(landed, ["result", "results"], (
         "id string, name string, title string, notes string, organization struct<title:string>, "
         "metadata_modified string, license_title string, tags string, "
         "resources array<struct<url:string, schema:struct<fields:array<struct<name:string>>>>>"), limit)
@@ -121,14 +142,10 @@ def dcat_entries(landed: DataFrame) -> DataFrame:
 
     ``landed``: catalog_pos, source_name, source_url, status, error, body.
     """
-    good = landed.filter(~is_failure())
-
-    def listed(path):
-        text = F.get_json_object("body", path)
-        return F.when(F.startswith(text, F.lit("[")) & (text != "[]"), F.from_json(text, STRINGS))
-    d = good.select(
+    top = F.col("_top")
+    d = answer(landed).select(
         "catalog_pos", F.col("source_name").alias("_source"), F.col("source_url").alias("_url"),
-        F.posexplode(F.coalesce(listed("$.dataset"), listed("$.datasets"))).alias("entry_pos", "_item"))
+        F.posexplode(F.coalesce(_listed(top["dataset"]), _listed(top["datasets"]))).alias("entry_pos", "_item"))
     d = d.withColumn("i", F.from_json("_item", (
         "title string, description string, keyword string, identifier string, `@id` string, "
         "landingPage string, accessURL string, distribution string, dataDictionary string, "
@@ -155,7 +172,7 @@ def dcat_entries(landed: DataFrame) -> DataFrame:
 
 
 def socrata(landed: DataFrame, limit: int = fv.PER_QUERY_LIMIT) -> DataFrame:
-    d = _items(landed, "$.results", (
+    d = _items(landed, ["results"], (
         "permalink string, resource struct<id:string, name:string, description:string, "
         "columns_name:array<string>, updatedAt:string, createdAt:string, attribution:string>, "
         "metadata struct<domain:string, domain_tags:string, license:string>"), limit)
@@ -179,7 +196,7 @@ def socrata(landed: DataFrame, limit: int = fv.PER_QUERY_LIMIT) -> DataFrame:
 
 
 def arcgis(landed: DataFrame, limit: int = fv.PER_QUERY_LIMIT) -> DataFrame:
-    d = _items(landed, "$.results", (
+    d = _items(landed, ["results"], (
         "id string, owner string, title string, snippet string, description string, tags string, "
         "typeKeywords string, type string, modified string, access string, licenseInfo string"), limit)
     key = either(F.col("i.id"))
@@ -198,7 +215,7 @@ def arcgis(landed: DataFrame, limit: int = fv.PER_QUERY_LIMIT) -> DataFrame:
 
 
 def datacite(landed: DataFrame, limit: int = fv.PER_QUERY_LIMIT) -> DataFrame:
-    d = _items(landed, "$.data", (
+    d = _items(landed, ["data"], (
         "attributes struct<doi:string, titles:array<struct<title:string>>, "
         "descriptions:array<struct<description:string>>, subjects:string, contentUrl:string, "
         "publisher:string, publicationYear:string, version:string, rightsList:string>"), limit)

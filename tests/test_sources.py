@@ -3,6 +3,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablescout.functions import files as fi
@@ -152,3 +153,125 @@ def test_texts_that_look_like_json_stay(spark):
     assert [r["f"] for r in got] == ["[DEPRECATED] Road data", "{x} notes", "[a b", "a b", ""]
     assert [r["l"] for r in got][:3] == [["[DEPRECATED] Road data"], ["{x} notes"], ["[a b"]]
     assert got[4]["l"] == []
+
+
+def test_nested_values_of_any_depth(spark):
+    deep = "x"
+    for i in range(12):
+        deep = {"k": [deep, i]} if i % 2 else [deep, {"n": None, "e": [], "o": {}, 'q"': 'a \\" : [b', "s": "\\"}]
+    rows = [(json.dumps(deep),), ('{"a": [1, 2.5, true, "", null], "b": "c:", "d\\\\": {"e": ["\\u00e9\\n"]}}',), ('{"a": [1}',)]
+
+    def flat(v):
+        if isinstance(v, (list, dict)):
+            return " ".join(flat(x) for x in (v.values() if isinstance(v, dict) else v))
+        return "" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    got = [r["f"] for r in spark.createDataFrame(rows, "t string").select(pl.flat_text(F.col("t")).alias("f")).collect()]
+    assert got == [flat(json.loads(rows[0][0])), flat(json.loads(rows[1][0])), rows[2][0]]
+
+
+def test_large_answers_are_read(spark):
+    entries = [{"title": f"t{i}", "description": "x" * 1000} for i in range(40_000)]  # 40 MB, over the limit of a variant
+    landed = spark.createDataFrame([(0, "P", "u", 200, None, json.dumps({"dataset": entries})), (1, "P", "u", 200, None, "[1]"), (2, "P", "u", None, None, '{"dataset": 3}')],
+                                   "catalog_pos int, source_name string, source_url string, status int, error string, body string")
+    assert pl.dcat_entries(landed).count() == 40_000
+    bad = landed.withColumn("query_id", F.col("catalog_pos")).withColumn("query", F.lit("q"))
+    assert [(r["query_id"], r["discovery_error"]) for r in pl.errors(bad, "DCAT").collect()] == [(1, "unreadable answer")]
+
+
+def test_links_without_quotes_and_numbered_signs(spark):
+    html = '<a href=http://a/1>1</a><a class=x href="http://a/?b=1&#38;c=&#x4E2D;&#0;&#xD800;&amp;#38;">2</a><A HREF=\'http://a/it"s\' >3</A><a href=/rel>'
+    got = spark.createDataFrame([(html,)], "h string").select(pg.links(F.col("h")).alias("l")).first()["l"]
+    assert got == ["http://a/1", "http://a/?b=1&c=中&#0;&#xD800;&#38;", 'http://a/it"s']
+
+
+def _random_table(r):
+    cell = "ab,\"\n;é \r"
+    rows = [["".join(r.choice(cell) if r.random() < 0.6 else "x" for _ in range(r.randint(0, 12))) for _ in range(3)] for _ in range(r.randint(1, 30))]
+    return [row if any(row) else ["z", "", ""] for row in rows]
+
+
+@pytest.mark.parametrize("block", ["37b", "1k"])
+def test_quoted_records_are_cut_by_many_tasks(spark, tmp_path, block):
+    import csv
+    import io
+    import random
+
+    from tablescout.sources import blocks
+
+    r = random.Random(block)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for t in range(5):
+            folder, want = tmp_path / str(t), []
+            folder.mkdir()
+            for f in range(r.randint(1, 3)):
+                rows = _random_table(r)
+                out = io.StringIO(newline="")
+                csv.writer(out, lineterminator=r.choice(["\n", "\r\n"])).writerows([["a", "b", "c"], *rows])
+                text = out.getvalue()
+                if r.random() < 0.5:
+                    text += '5" pipe,x,y"z\n'
+                    rows.append(['5" pipe', "x", 'y"z'])
+                (folder / f"{f}.csv").write_bytes(text.encode())
+                want += rows
+            assert block != "37b" or blocks.fragments(spark, str(folder), "\n").rdd.getNumPartitions() > 3
+            got = blocks.delimited_records(spark, str(folder), ",").orderBy("head", "pos").collect()
+            assert all(x["value"] == "a,b,c" for x in got if x["head"])
+            data = [x for x in got if not x["head"]]
+            assert [x["pos"] for x in data] == list(range(len(want)))
+            assert [next(csv.reader(io.StringIO(x["value"], newline=""))) for x in data] == want
+            table = tb.read_delimited(spark, str(folder), infer=False, position="p").orderBy("p").collect()
+            assert [[x["a"], x["b"], x["c"]] for x in table] == [[None if c == "" or c in tb.fv.NA_TOKENS else c for c in row] for row in want]
+            assert [x["p"] for x in table] == list(range(len(want)))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("block", ["37b", "1k"])
+def test_json_elements_are_cut_by_many_tasks(spark, tmp_path, block):
+    import random
+
+    from tablescout.sources import blocks
+
+    r = random.Random(block)
+
+    def value(depth=0):
+        k = r.random()
+        if depth > 3 or k < 0.4:
+            return r.choice([1, 2.5, None, True, 'a,"b', "\\", 'x\\"],[', "{", "é\n", "", '\\\\"'])
+        if k < 0.7:
+            return [value(depth + 1) for _ in range(r.randint(0, 4))]
+        return {r.choice('abcd,"[{') * r.randint(1, 2): value(depth + 1) for _ in range(r.randint(0, 4))}
+
+    def records(doc, strict):
+        if isinstance(doc, list):
+            return doc
+        lists = [v for v in doc.values() if isinstance(v, list) and (v or not strict)]
+        return lists[0] if lists else [] if strict else [doc]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for t in range(6):
+            folder, strict, want = tmp_path / str(t), t % 2 == 1, []
+            folder.mkdir()
+            for f in range(r.randint(1, 3)):
+                rows = [{"k": value()} for _ in range(r.randint(0, 20))]
+                doc = r.choice([rows, {"n": 1, "m": {"z": [1]}, "e": [], "rows": [*rows, {"k": 1}], "o": [1, 2], "p": "x"}, {"a": 1, "b": {"c": [1, 2]}}])
+                (folder / f"{f}.json").write_text(json.dumps(doc, indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5))
+                want += records(doc, strict)
+            got = blocks.json_elements(spark, str(folder), strict).orderBy("pos").collect()
+            assert [json.loads(x["value"]) for x in got] == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_json_columns_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"n": 1, "rows": [{"z": 1, "b": "x"}, {"a": [1], "z": 2}]}')
+    df = tb.read_json(spark, str(tmp_path / "a.json"), position="p")
+    assert df.columns == ["z", "b", "a", "p"]
+    assert [r["z"] for r in df.orderBy("p").collect()] == [1, 2]
