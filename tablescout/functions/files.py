@@ -21,8 +21,22 @@ def suffix(name: str) -> str:
     return PurePosixPath(name.split("?")[0].split("#")[0]).suffix.lower()
 
 
-def unpack(name: str, raw: bytes) -> tuple[str, bytes | None, str]:
-    """The innermost file of an archive: (member name, bytes, error)."""
+UNPACKED_BYTES = 512 << 20  # a file that unpacks to more is not read in a task
+
+
+class TooLarge(ValueError):
+    pass
+
+
+def _read(source, limit: int) -> bytes:
+    raw = source.read(limit + 1)
+    if len(raw) > limit:
+        raise TooLarge
+    return raw
+
+
+def unpack(name: str, raw: bytes, limit: int = UNPACKED_BYTES) -> tuple[str, bytes | None, str]:
+    """The innermost file of an archive: (member name, bytes, error). No more than ``limit`` bytes are unpacked."""
     seen = set()
     while True:
         is_zip = suffix(name) == ".zip" or raw[:4] == b"PK\x03\x04"
@@ -39,10 +53,14 @@ def unpack(name: str, raw: bytes) -> tuple[str, bytes | None, str]:
                     name = first_table(z.namelist())
                     if not name:
                         return "", None, "zip contains no tabular files"
-                    raw = z.read(name)
+                    with z.open(name) as member:
+                        raw = _read(member, limit)
             else:
-                raw = gzip.decompress(raw)
+                with gzip.open(io.BytesIO(raw)) as member:
+                    raw = _read(member, limit)
                 name = name[:-3] if name.lower().endswith(".gz") else name
+        except TooLarge:
+            return name, None, f"unpacked file exceeds {limit // (1024 * 1024)} MB"
         except zipfile.BadZipFile:
             return name, None, "not a valid ZIP file"
         except (OSError, EOFError, ValueError, RuntimeError, NotImplementedError, zlib.error) as e:

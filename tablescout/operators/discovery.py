@@ -231,6 +231,12 @@ def landed_answers(queries: DataFrame, landed: DataFrame, max_queries: int = fv.
     return salted_join(sent, hits, ["connector", "query"], F.col("seed_id"))
 
 
+def answers_met(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    """Queries beside what was landed for their connector and text; equal texts of many seeds meet it in many tasks."""
+    own = sent.withColumnRenamed("target_connector", "connector").filter(F.col("connector").isin(fv.REACHABLE_CONNECTORS))
+    return salted_join(own, answers, ["connector", "query"], F.col("seed_id"))
+
+
 def sorted_results(rows: DataFrame, dedupe: bool = False) -> DataFrame:
     """Non-error rows with their position by overall score, ties in found order.
 

@@ -116,7 +116,7 @@ def augmentation_metrics(cover: DataFrame, before: DataFrame, after: DataFrame)
 
 
 def findings(metrics: DataFrame) -> DataFrame:
-    """Messages from precision_at_10, download and join rate, coverage gain, new_columns."""
+    """Messages from precision_at_10, download and join rate, coverage gain, new_columns, candidates_downloaded."""
     p10, load = F.coalesce("precision_at_10", F.lit(0.0)), F.col("download_success_rate")
     join, cover = F.col("join_success_rate"), F.col("coverage_gain")
 
@@ -125,7 +125,7 @@ def findings(metrics: DataFrame) -> DataFrame:
         for slot, value in (
             ("{p10}", p10.cast("string")), ("{download}", F.round(load * 100, 0).cast("int").cast("string")),
             ("{gain}", F.round(cover * 100, 0).cast("int").cast("string")),
-            ("{columns}", F.col("new_columns").cast("string")),
+            ("{columns}", F.col("new_columns").cast("string")), ("{downloaded}", F.col("candidates_downloaded").cast("string")),
         ):
             if slot in fv.MESSAGES[name]:
                 text = F.replace(text, F.lit(slot), value)

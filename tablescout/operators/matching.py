@@ -39,12 +39,13 @@ def url_skip_reason(url: Column) -> Column:
         is_api_url(url) & ~table_like, F.lit("skipped API/service URL"))
 
 
-def content_skip_reason(content_type: Column, length: Column) -> Column:
+def content_skip_reason(content_type: Column, length: Column, max_bytes: int | None = fv.MAX_FILE_BYTES) -> Column:
+    """Why a fetched file is not read; without ``max_bytes`` its length is no reason."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
-    return F.when(kind.rlike("|".join(fv.SKIP_CONTENT_WORDS)), F.concat(
-        F.lit("skipped content-type: "), kind)).when(
-        length > fv.MAX_FILE_BYTES,
-        F.lit(f"skipped: file exceeds {fv.MAX_FILE_BYTES // (1024 * 1024)} MB"))
+    reason = F.when(kind.rlike("|".join(fv.SKIP_CONTENT_WORDS)), F.concat(F.lit("skipped content-type: "), kind))
+    if max_bytes is None:
+        return reason
+    return reason.when(length > max_bytes, F.lit(f"skipped: file exceeds {max_bytes // (1024 * 1024)} MB"))
 
 
 def eligible(ranked: DataFrame, threshold: float = fv.SCORE_THRESHOLD, k: int = fv.TOP_K) -> DataFrame:
@@ -192,9 +193,14 @@ def status_counts(rows: DataFrame) -> DataFrame:
         n("join_failed").alias("candidates_failed"))
 
 
+REPORTED = ["index", "dataset_id", "title", "connector", "source_name", "landing_page", "overall_score", "download_urls", "attempted_urls",
+            "usable_url", "status", "skip_reason"]
+
+
 def report(rows: DataFrame) -> DataFrame:
-    """One report row per seed with its candidates in order: at most those attempted."""
-    items = F.array_sort(F.collect_list(F.struct("dataset_id", "status", "skip_reason")))
+    """One report row per seed with its candidates in order, at most those attempted, and all that is known of each."""
+    known = [c for c in REPORTED if c in rows.columns]
+    items = F.array_sort(F.collect_list(F.struct(*known)))
     return status_counts(rows).join(rows.groupBy("seed_id").agg(items.alias("candidates")), "seed_id")
 
 

@@ -370,7 +370,8 @@ def q(name):
     """A message as an SQL expression with its numbers filled in."""
     text = "'" + fv.MESSAGES[name].replace("'", "''") + "'"
     for slot, expr in (("{p10}", "p10::VARCHAR"), ("{download}", "round(dl * 100, 0)::INT::VARCHAR"),
-                       ("{gain}", "round(cg * 100, 0)::INT::VARCHAR"), ("{columns}", "new_columns::VARCHAR")):
+                       ("{gain}", "round(cg * 100, 0)::INT::VARCHAR"), ("{columns}", "new_columns::VARCHAR"),
+                       ("{downloaded}", "candidates_downloaded::VARCHAR")):
         text = f"replace({text}, '{slot}', {expr})"
     return text
 
@@ -380,7 +381,7 @@ ORACLES["eval_findings"] = f"""WITH {CANDS_SQL}, {_RATES_SQL}, {_AUG_SQL},
   p AS (SELECT seed_id, round(avg(rel::INT), 4) AS p FROM ranked WHERE rank <= 10 GROUP BY 1),
   p10 AS (SELECT (ascii(seed_id) % 25)::BIGINT AS seed_id, max(p) AS p10 FROM p GROUP BY 1),
   m AS (SELECT seed_id, coalesce(p10, 0) AS p10, download_success_rate AS dl, join_success_rate AS jr, coverage_gain AS cg,
-    new_columns FROM rates JOIN aug USING (seed_id) LEFT JOIN p10 USING (seed_id))
+    new_columns, candidates_downloaded FROM rates JOIN aug USING (seed_id) LEFT JOIN p10 USING (seed_id))
   SELECT seed_id, array_to_string(list_filter([
     CASE WHEN p10 >= 0.5::DOUBLE THEN {q("retrieval_ok")} ELSE {q("retrieval_low")} END,
     CASE WHEN dl < 0.2::DOUBLE THEN {q("download_low")} END, CASE WHEN jr = 0 THEN {q("join_none")} END,
