@@ -38,12 +38,13 @@ from tablescout.llm.texts import list_column, pieces
 BLOCK = 4096  # ids of a block
 FILE_BYTES = 64 << 20  # text bytes behind one file, on average
 STEP_IDS = 1 << 20  # ids decoded at once
-KEPT = 500_000  # words whose ids a worker keeps from task to task, some 100 MB, before it gives up the rare ones
+KEPT = 800_000  # words whose ids a worker keeps from task to task, some 160 MB, before it gives up the rare ones
 OFTEN = 3  # times a word must have been seen to be kept on
 AT_ONCE = 8192  # words encoded in one call
 PIECE = 1 << 20  # text bytes handled at once
 LONG = 1 << 20  # a longer text is split into words window by window
 LOWEST = -1 << 63  # stands for null where rows are put in order
+FIRST_LOOK = 512  # ranks looked up before it is known how many files there are
 MAGIC = b"tokens8b"
 TRAILER = "<QQQ8s"  # documents, blocks, place of the index
 LISTING = "_files.json"
@@ -84,7 +85,9 @@ class WordEncoder:
         if self.bare:  # plain words pass the steps before the model in a known way, and model calls are cheaper
             pieces_of, plain, signs, out, rest = self.tokenizer.model.tokenize, PLAIN.fullmatch, self.signs, [], []
             for i, w in enumerate(words):
-                if m := plain(w):
+                if w.isascii() and w.isalpha():
+                    out.append([t.id for t in pieces_of(w.lower())])
+                elif m := plain(w):
                     ids = [t.id for t in pieces_of(spelled(m[1].lower()))]
                     if m[2]:
                         ids += signs[m[2]] if m[2] in signs else signs.setdefault(m[2], [t.id for t in pieces_of(m[2])])
@@ -347,6 +350,16 @@ class TokenIds(DataSource):
         return _Writer(self.options["path"])
 
 
+def _ranges(texts: DataFrame, file_bytes: int, places: int) -> tuple[np.ndarray, int]:
+    """Bounds of the ranges of doc_id, out of ``places`` evenly spaced ranks, and the number of files wanted."""
+    key = F.coalesce("doc_id", F.lit(LOWEST))
+    size, ranks = texts.agg(F.sum(F.octet_length("text")), F.percentile_approx(
+        key, [i / places for i in range(1, places)], max(10_000, 20 * places))).first()
+    files = max(1, -(-(size or 0) // file_bytes))
+    ranks = np.array(ranks or [], np.int64)
+    return ranks[np.arange(1, files) * places // files - 1] if len(ranks) and files <= places else ranks[:0], files
+
+
 def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs`` by the tokenizer file ``path``, end each with ``end_id``, and write them in ascending doc_id order.
 
@@ -362,12 +375,11 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_byt
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
-    shares = [i / files for i in range(1, files)]
-    bounds = texts.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(LOWEST)), shares, max(10_000, 20 * files))).first()[0] if shares else []
+    bounds, files = _ranges(texts, file_bytes, FIRST_LOOK)
+    if files > FIRST_LOOK:
+        bounds, files = _ranges(texts, file_bytes, files)
     kept = spark.sparkContext.broadcast({})
-    coded = texts.mapInArrow(_encoder(kept, path, end_id, np.array(bounds or [], np.int64)),
+    coded = texts.mapInArrow(_encoder(kept, path, end_id, bounds),
                              "range int, tie long, doc_id long, n long, data binary, words array<int>, extra array<int>")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("data")]
     spark.dataSource.register(TokenIds)
