@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.texts import BASE, KeyTable, pieces
+from tablescout.llm.texts import BASE, KeyTable, free_names, pieces, shared
 
 Q = 10
 BUDGET = 0.05  # edits per character of an item
@@ -181,7 +181,7 @@ def _find(index: Index, code: np.ndarray, regions) -> list[tuple[int, int, int,
 
 def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, folder = shared.value, Folder()
+        index, folder = shared(), Folder()
         for batch in batches:
             for part in pieces(batch, "text"):
                 doc, out = [], []
@@ -243,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([r[0] for r in own], [r[1] for r in own]))
+        index = shared(spark, Index([r[0] for r in own], [r[1] for r in own]))
         found = texts.mapInArrow(_scanner(index), "doc_id long, item_id long, start int, end int, edits int")
         out = found if out is None else out.union(found)
     return out
@@ -251,6 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item occurs, with their own columns."""
-    keyed = docs.withColumn("_at", F.xxhash64("doc_id", "text"))
-    bad = contaminated(keyed.select(F.col("_at").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_at")).distinct()
-    return keyed.join(bad, "_at", "left_anti").select(*docs.columns)
+    at, = free_names(docs, "at")
+    keyed = docs.withColumn(at, F.xxhash64("doc_id", "text"))
+    bad = contaminated(keyed.select(F.col(at).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(at)).distinct()
+    return keyed.join(bad, at, "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.pretokens import Interner, Splitter, text_of
-from tablescout.llm.texts import pieces
+from tablescout.llm.texts import pieces, shared
 from tablescout.session import cut
 
 GROUP = 1024  # pieces that one differencing run takes
@@ -66,9 +66,9 @@ class Encoder:
         return out, np.concatenate([bounds[np.searchsorted(row, np.arange(len(texts)))], bounds[-1:]])
 
 
-def _cutter(shared, capacity: int, end_id: int):
+def _cutter(encoder_of, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        encoder = encoder_of()
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids, offs = encoder.encode(part.column("text").to_pylist())
@@ -166,8 +166,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0) ->
     their own; other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(path))
-    cuts = cut(texts.mapInArrow(_cutter(shared, capacity, end_id),
+    cuts = cut(texts.mapInArrow(_cutter(shared(docs.sparkSession, Encoder(path)), capacity, end_id),
                                 "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "cuts")
     rows = cuts.withColumn("row", F.monotonically_increasing_id())
     full = rows.filter(F.col("length") == capacity).select(

@@ -65,8 +65,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(_rest(3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taught = docs.filter(~held).select("doc_id", "text").join(labels, "doc_id")
-    out = toxicity.score_toxicity(docs.select("doc_id", "text", held.alias("held_out")), taught)
+    out = toxicity.score_toxicity(docs.select("doc_id", "text", held.alias("held_out")), docs.filter(~held).select("doc_id", "text"), labels)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 

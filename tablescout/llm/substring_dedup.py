@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.components import components
 from tablescout.llm.near_dedup import _open_pairs, parity
-from tablescout.llm.texts import BASE, Words, list_column, mix, pieces, signed, utf8
+from tablescout.llm.texts import BASE, Words, free_names, list_column, mix, pieces, signed, utf8
 from tablescout.session import cut
 
 LENGTH, STEP = 26, 24
@@ -417,16 +417,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is such a column, counts the new text. Rows of which nothing
     but white space is left go; other rows stay, with their text cut or whole.
     """
-    gone = passages(docs).filter("removed").groupBy("dk").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    key, spans = free_names(docs, "dk", "spans")
+    gone = passages(docs).filter("removed").groupBy(F.col("dk").alias(key)).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("dk", F.xxhash64(F.col("doc_id").cast("long"), text)).join(gone, "dk", "left")
-    rest = F.expr("""concat_ws('', transform(sequence(0, size(spans)), i -> substring(
-        text, if(i = 0, 0, get(spans, i - 1).end) + 1,
-        greatest(if(i = size(spans), length(text), get(spans, i).start) - if(i = 0, 0, get(spans, i - 1).end), 0))))""")
-    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest))
-    out = out.filter(F.col("spans").isNull() | (F.length(F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " "))) > 0))
+    out = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text)).join(gone, key, "left")
+    rest = F.expr(f"""concat_ws('', transform(sequence(0, size({spans})), i -> substring(
+        text, if(i = 0, 0, get({spans}, i - 1).end) + 1,
+        greatest(if(i = size({spans}), length(text), get({spans}, i).start) - if(i = 0, 0, get({spans}, i - 1).end), 0))))""")
+    out = out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(rest))
+    out = out.filter(F.col(spans).isNull() | (F.length(F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " "))) > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(
             F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -6,9 +6,37 @@ different words or shingles meet with a chance of about n^2 / 2^65.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+
+def free_names(df, *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no column of ``df`` is called so, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shared(spark, thing):
+    """A function that gives ``thing`` inside tasks; each Python worker unpacks it once for all its tasks.
+
+    Classes travel with it, so that workers need no copy of this package.
+    """
+    held = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(thing)})
+
+    def get():
+        if "thing" not in held.value:
+            held.value["thing"] = pickle.loads(held.value.pop("packed"))
+        return held.value["thing"]
+    return get
+
 
 PIECE_BYTES = 2 << 20  # text bytes handled at once; one longer text is handled alone
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -15,23 +15,24 @@ from tablescout.llm.texts import KeyTable, list_column, pieces, signed
 from tablescout.session import cut
 
 HEAD = 1 << 18  # most frequent pre-tokens that every task holds: 12 bytes each, 3 MB
+PIECE = 1 << 20  # text bytes handled at once
 FLUSH = 1 << 19  # distinct pre-tokens a task gathers before it hands them on
 
 
 def _vocabulary(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen, words, count = Splitter(path), Interner(), [], np.zeros(0, np.int64)
+        splitter, seen, words, count = Splitter(path), Interner(), [], np.zeros(0, np.int64)  # words: Arrow arrays, a few bytes a word
 
         def handed():
             return pa.RecordBatch.from_arrays(
-                [pa.array(signed(seen.keys)), pa.array(words, pa.string()), pa.array(count)], names=["h", "word", "n"])
+                [pa.array(signed(seen.keys)), pa.concat_arrays(words), pa.array(count)], names=["h", "word", "n"])
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 parts, _, _ = splitter.segments(part.column("text").to_pylist())
                 codes, start, end, value, _ = splitter.split(parts)
                 number, fresh = seen.number(value)
-                words.extend(text_of(codes, start[i], end[i]) for i in fresh)
+                words.append(pa.array([text_of(codes, start[i], end[i]) for i in fresh], pa.string()))
                 count = np.concatenate([count, np.zeros(len(seen) - len(count), np.int64)])
                 count += np.bincount(number, minlength=len(count))
                 if len(seen) > FLUSH:
@@ -54,11 +55,12 @@ def _piece_counter(path: str):
     return run
 
 
-def _frequencies(path: str, head_keys: np.ndarray, head_pieces: np.ndarray):
+def _frequencies(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_keys, head_pieces = shared.value
         splitter, head = Splitter(path), KeyTable(head_keys.view(np.uint64))
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 texts = part.column("text").to_pylist()
                 parts, row, after = splitter.segments(texts)
                 _, start, _, value, first = splitter.split(parts)
@@ -102,7 +104,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.mapInArrow(
-        _frequencies(path, top.column("h").to_numpy(), top.column("pieces").to_numpy().astype(np.int64)),
+        _frequencies(path, spark.sparkContext.broadcast((top.column("h").to_numpy(), top.column("pieces").to_numpy().astype(np.int64)))),
         "row long, doc_id long, n_bytes long, head long, tail array<long>, times array<int>")
     found = cut(found, "frequencies")
     rare = (found.filter("size(tail) > 0").select("row", F.explode(F.arrays_zip("tail", "times")).alias("t"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.llm.texts import BASE, list_column, mix, pieces
+from tablescout.llm.texts import BASE, list_column, mix, pieces, shared
 from tablescout.session import cut
 
 BITS = 20  # feature hashes; the weights take 4 MB whatever the corpus
@@ -209,9 +209,9 @@ def _chains(shared):
     return run
 
 
-def _tagged(shared):
+def _tagged(tagger_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger, reader = shared.value, TokenReader()
+        tagger, reader = tagger_of(), TokenReader()
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -238,8 +238,7 @@ def tagged(rows: DataFrame, tagger: Tagger) -> DataFrame:
     schema = T.StructType([
         rows.schema["row"], T.StructField("tokens", T.LongType()), T.StructField("mass", T.DoubleType()), T.StructField("peak", T.DoubleType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    shared = rows.sparkSession.sparkContext.broadcast(tagger)
-    return rows.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_tagged(shared), schema)
+    return rows.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_tagged(shared(rows.sparkSession, tagger)), schema)
 
 
 def _signs():
@@ -259,9 +258,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, training: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``docs`` with score and spans added; ``training`` has doc_id, text, toxic (0 or 1).
 
+    ``labels``: doc_id and toxic, where ``training`` has no such column. Then the rows to learn
+    from are chosen by their ids alone, and only their texts are fetched.
+
     The model is fitted on about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` training rows with the
     smallest id hashes; every row is scored on its whole text. ``spans`` are code point
     offsets of tokens whose marginal is 0.5 or more, neighbours joined.
@@ -273,14 +275,24 @@ def score_toxicity(docs: DataFrame, training: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("score", "spans")]
-    known = training.select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int")).filter("text IS NOT NULL AND toxic IN (0, 1)")
+    rows = training.filter("text IS NOT NULL")
+    known = rows.select("doc_id", F.col("toxic").cast("int")) if labels is None else rows.select("doc_id").join(
+        labels.select("doc_id", F.col("toxic").cast("int")), "doc_id")
+    known = known.filter("toxic IN (0, 1)")
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(n) < 2:
         empty = F.array().cast("array<struct<start:int,end:int>>")
         return docs.select(*names, F.lit(1.0 if n.get(1) else 0.0).alias("score"), empty.alias("spans"))
     share = {1: min(1.0, TOXIC_ROWS / n[1]), 0: min(1.0, CLEAN_ROWS / n[0])}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = cut(known.filter(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])), "labelled")
+    chosen = place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    if labels is None:
+        sample = rows.select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int")).filter("toxic IN (0, 1)").filter(chosen)
+    else:  # few ids, by the two bounds
+        ids = cut(labels.select("doc_id", F.col("toxic").cast("int")).filter("toxic IN (0, 1)").filter(chosen).join(
+            rows.select("doc_id").distinct(), "doc_id", "left_semi"), "chosen")
+        sample = rows.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
+    sample = cut(sample, "labelled")
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     stats = sample.select("text", "toxic").mapInArrow(_feature_counts(), "place long, clean long, toxic long").groupBy("place").agg(
         F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
