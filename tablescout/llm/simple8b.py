@@ -19,6 +19,14 @@ LOW = np.uint64((1 << 60) - 1)
 MASKS = (np.uint64(1) << WIDTHS) - np.uint64(1)
 
 
+def _need(values: np.ndarray) -> np.ndarray:
+    """The narrowest selector of each number; one more is an escape."""
+    return np.searchsorted(MASKS[:WIDEST + 1], values).astype(np.int8)
+
+
+_NEED = _need(np.arange(1 << 16, dtype=np.uint64))
+
+
 def _before(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
@@ -47,7 +55,7 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not n:
         return np.zeros(0, np.uint64), np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
     place, stop = np.arange(n, dtype=np.int32), np.repeat(ends.astype(np.int32), sizes)
-    need = np.searchsorted(MASKS[:WIDEST + 1], values).astype(np.int8)  # narrowest selector; one more is an escape
+    need = _NEED[values] if int(values.max()) < len(_NEED) else _need(values)
     widest = int(need.max())
     choice = np.full(n, widest if widest <= WIDEST else ESCAPE, np.int8)
     fit = np.flatnonzero(need < choice).astype(np.int32)

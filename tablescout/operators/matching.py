@@ -13,6 +13,7 @@ from tablescout.functions import fixed_values as fv
 from tablescout.functions.similarity import best_names
 from tablescout.functions.text import norm_col, norm_value, number_text
 from tablescout.operators.order import top_k
+from tablescout.session import cut
 
 
 def url_extension(url: Column) -> Column:
@@ -140,28 +141,26 @@ def first_owner(attributes: DataFrame) -> DataFrame:
     """Columns that survive when candidates are applied in rank order.
 
     ``attributes``: seed_id, dataset_id, rank, col, cand_pos, norm. An earlier candidate owns
-    the normal name of its columns and of their ``__source`` columns. Per seed the list is
-    bounded by the attempted candidates and their columns.
+    the normal name of its columns and of their ``__source`` columns.
+
+    Of a name the smallest rank survives, unless an earlier survivor's ``__source`` column has
+    that name. The latter's name is the former's without its last word, so names are settled
+    by their number of such words, a join per number, and no seed's columns meet in one row.
     """
-    per_cand = attributes.groupBy("seed_id", "rank", "dataset_id").agg(F.array_sort(
-        F.collect_list(F.struct("cand_pos", "col", "norm"))).alias("cols"))
-    per_seed = per_cand.groupBy("seed_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "dataset_id", "cols"))).alias("cands"))
-    kind = per_seed.schema["cands"].dataType.simpleString()
-
-    def step(state, cand):
-        free = F.filter(cand["cols"], lambda c: ~F.array_contains(state["names"], c["norm"]))
-        owned = F.flatten(F.transform(free, lambda c: F.array(
-            c["norm"], norm_col(F.concat(c["col"], F.lit("__source"))))))
-        kept = F.struct(cand["rank"].alias("rank"), cand["dataset_id"].alias("dataset_id"),
-                        free.alias("cols"))
-        return F.struct(F.concat(state["names"], owned).alias("names"),
-                        F.concat(state["kept"], F.array(kept)).alias("kept"))
-
-    start = F.struct(F.array().cast("array<string>").alias("names"),
-                     F.array().cast(kind).alias("kept"))
-    folded = per_seed.select("seed_id", F.inline(F.aggregate("cands", start, step)["kept"]))
-    return folded.select("seed_id", "rank", "dataset_id", F.inline("cols"))
+    tail = F.regexp_extract(F.concat(F.lit(" "), F.col("norm")), r"((?: source)+)$", 1)
+    names = attributes.groupBy("seed_id", "norm").agg(F.min("rank").alias("rank")).withColumn(
+        "depth", (F.length(tail) / len(" source")).cast("int")).withColumn(
+        "owner", F.trim(F.regexp_replace(F.concat(F.lit(" "), F.col("norm")), " source$", "")))
+    names = cut(names, "names")
+    deepest = names.agg(F.max("depth")).first()[0] or 0
+    kept = names.filter("depth = 0").select("seed_id", "norm", "rank")
+    level = kept
+    for depth in range(1, deepest + 1):
+        owners = level.select("seed_id", F.col("norm").alias("owner"), F.col("rank").alias("owner_rank"))
+        level = names.filter(F.col("depth") == depth).join(owners, ["seed_id", "owner"], "left").filter(
+            F.col("owner_rank").isNull() | (F.col("rank") <= F.col("owner_rank"))).select("seed_id", "norm", "rank")
+        kept = kept.unionByName(level)
+    return attributes.join(kept, ["seed_id", "norm", "rank"]).select("seed_id", "rank", "dataset_id", "cand_pos", "col", "norm")
 
 
 def statuses(cands: DataFrame, keys: DataFrame, owned: DataFrame) -> DataFrame:

@@ -86,24 +86,85 @@ def columns_table(df: DataFrame) -> DataFrame:
         rows, "col_pos int, name string, kind string, base_dtype string")
 
 
-def cells(df: DataFrame, pos: str | None = None) -> DataFrame:
-    """Non-null cells as ``(pos, col_pos, value, num)``."""
+def _typed_cells(df: DataFrame, pos: str | None) -> DataFrame:
+    """Non-null cells as ``(pos, col_pos, text, whole, frac)``: a number is no text, so it travels as eight bytes."""
     items = []
     for i, f in enumerate(fields(df)):
         c, kind = clean(df, f.name), kind_of(f.dataType)
-        text = F.to_json(c) if kind == "nested" else c.cast("string")
-        num = c.cast("double") if kind in ("int", "float") else F.lit(None).cast("double")
-        items.append(F.struct(F.lit(i).alias("col_pos"), text.alias("value"), num.alias("num")))
+        decimal = isinstance(f.dataType, T.DecimalType)
+        number = {"whole": kind == "int", "frac": kind == "float" and not decimal}
+        text = F.lit(None) if any(number.values()) else F.to_json(c) if kind == "nested" else c
+        items.append(F.struct(
+            F.lit(i).alias("col_pos"), text.cast("string").alias("text"),
+            (c if number["whole"] else F.lit(None)).cast("bigint").alias("whole"),
+            (c if number["frac"] else c if decimal else F.lit(None)).cast("double").alias("frac")))
     where = F.col(f"`{pos}`").cast("bigint") if pos else F.lit(None).cast("bigint")
     return (
-        df.select(where.alias("pos"), F.explode(F.array(*items)).alias("c"))
-        .select("pos", "c.*").filter(F.col("value").isNotNull())
+        df.select(where.alias("pos"), F.explode(F.array(*items)).alias("c")).select("pos", "c.*")
+        .filter(F.coalesce("text", F.col("whole").cast("string"), F.col("frac").cast("string")).isNotNull())
     )
 
 
+def _as_values(df: DataFrame, single: list[int]) -> DataFrame:
+    """Typed cells with ``value`` as text and ``num`` as a number; ``single``: columns of single precision."""
+    frac = F.when(F.col("col_pos").isin(single), F.col("frac").cast("float").cast("string")).otherwise(F.col("frac").cast("string"))
+    return df.withColumn("value", F.coalesce("text", F.col("whole").cast("string"), frac)).withColumn(
+        "num", F.coalesce(F.col("frac"), F.col("whole").cast("double"))).drop("text", "whole", "frac")
+
+
+def _singles(df: DataFrame) -> list[int]:
+    return [i for i, f in enumerate(fields(df)) if isinstance(f.dataType, T.FloatType)]
+
+
+def cells(df: DataFrame, pos: str | None = None) -> DataFrame:
+    """Non-null cells as ``(pos, col_pos, value, num)``."""
+    return _as_values(_typed_cells(df, pos), _singles(df)).select("pos", "col_pos", "value", "num")
+
+
 def frequency_table(df: DataFrame, pos: str | None = None) -> DataFrame:
-    return cells(df, pos).groupBy("col_pos", "value").agg(
-        F.first("num").alias("num"), F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    """Distinct values per column with their count and first place. Numbers are grouped and shuffled as numbers."""
+    counted = _typed_cells(df, pos).groupBy("col_pos", "text", "whole", "frac").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    return _as_values(counted, _singles(df)).select("col_pos", "value", "num", "cnt", "first_pos")
+
+
+def sketches(df: DataFrame, lg_k: int = 14, k: int = 800) -> DataFrame:
+    """col_pos, distinct_sketch, number_sketch: mergeable sketches of every column, from one scan and without a shuffle of values.
+
+    ``distinct_sketch`` is a HyperLogLog of 2^``lg_k`` registers (standard error 1.04 / 2^(lg_k / 2)), over
+    the column's texts; ``number_sketch`` a KLL of size ``k`` (rank error about 2.3 / k), null for other columns.
+    Sketches of parts or days of a table are merged by ``merged``.
+    """
+    parts = []
+    for i, f in enumerate(fields(df)):
+        c, kind = clean(df, f.name), kind_of(f.dataType)
+        text = F.to_json(c) if kind == "nested" else c.cast("string")
+        number = F.kll_sketch_agg_double(c.cast("double"), k) if kind in ("int", "float") else F.lit(None).cast("binary")
+        parts.append(F.struct(F.lit(i).alias("col_pos"), F.hll_sketch_agg(text, lg_k).alias("distinct_sketch"), number.alias("number_sketch")))
+    return df.agg(F.array(*parts).alias("s")).select(F.inline("s"))
+
+
+def merged(sketched: DataFrame) -> DataFrame:
+    """One pair of sketches per column from those of several parts."""
+    return sketched.groupBy("col_pos").agg(
+        F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
+        F.when(F.count("number_sketch") > 0, F.kll_merge_agg_double("number_sketch")).alias("number_sketch"))
+
+
+STEPS = 200  # parts of the rank scale at which the share of outliers is read off
+
+
+def estimates(sketched: DataFrame) -> DataFrame:
+    """col_pos, unique_estimate, q1, median, q3 and the share of numbers outside the 1.5 IQR fences, to 1 / ``STEPS``."""
+    places = F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)])
+    out = sketched.select(
+        "col_pos", F.hll_sketch_estimate("distinct_sketch").alias("unique_estimate"),
+        F.when(F.col("number_sketch").isNotNull(), F.kll_sketch_get_quantile_double("number_sketch", places)).alias("q"))
+    q1, q2, q3 = (F.get("q", F.lit(STEPS * i // 4)) for i in (1, 2, 3))
+    fence = (F.col("q3") - F.col("q1")) * 1.5
+    outside = F.filter("q", lambda x: (x < F.col("q1") - fence) | (x > F.col("q3") + fence))
+    return out.select("*", q1.alias("q1"), q2.alias("median"), q3.alias("q3")).withColumn(
+        "outlier_share", F.when(F.col("q1").isNotNull(), F.size(outside) / (STEPS + 1))).drop("q")
 
 
 def wide_stats(df: DataFrame) -> DataFrame:
@@ -317,30 +378,45 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return per_group.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_row_count"))
 
 
+SKETCH = 1 << 8  # one in so many combinations, by hash, is in the sketch that tells repeating pairs
+
+
 def composite_keys(df: DataFrame, ids: list[str], limit: int = 5) -> DataFrame:
     """Column pairs whose non-null combinations never repeat, first ``limit`` in order.
 
-    All pairs are counted in one shuffle on (pair, values); a pair that repeats anywhere
-    is settled by map-side counts before its rows travel twice.
+    A sketch holds the combinations with the smallest hashes of every pair. Two equal ones in it
+    prove that a pair repeats, so pairs that repeat often are settled by a small part of the
+    rows. Only the others are counted in full, one after the other until ``limit`` are found.
     """
     cols = ids or [f.name for f in fields(df)][:10]
     pairs = list(combinations(cols, 2))
     spark = df.sparkSession
+    schema = "pair_pos int, col_a string, col_b string"
     if not pairs:
-        return spark.createDataFrame([], "pair_pos int, col_a string, col_b string")
-    items = F.array(*[
-        F.struct(F.lit(i).alias("pair_pos"),
-                 clean(df, a).cast("string").alias("a"), clean(df, b).cast("string").alias("b"))
-        for i, (a, b) in enumerate(pairs)])
-    counted = (
-        df.select(F.explode(items).alias("p")).select("p.*")
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("pair_pos", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("pair_pos").distinct()
-    )
-    names = spark.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair_pos int, col_a string, col_b string")
-    return names.join(counted, "pair_pos", "left_anti").orderBy("pair_pos").limit(limit)
+        return spark.createDataFrame([], schema)
+
+    def key(i):
+        a, b = (clean(df, c) for c in pairs[i])
+        return F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(F.lit(i), a, b))
+
+    marks = F.filter(F.array(*[F.struct(F.lit(i).alias("pair_pos"), key(i).alias("h")) for i in range(len(pairs))]),
+                     lambda m: F.pmod(m["h"], F.lit(SKETCH)) == 0)
+    sketch = df.select(F.explode(marks).alias("m"), *[clean(df, c).alias(f"_{j}") for j, c in enumerate(cols)])
+    # equal hashes of different values must not settle a pair: the values are compared as well
+    values = F.array(*[F.when(F.col("m.pair_pos") == i, F.to_json(F.struct(*[F.col(f"_{cols.index(c)}").alias(str(n)) for n, c in enumerate(p)])))
+                       for i, p in enumerate(pairs)])
+    repeated = {r["pair_pos"] for r in sketch.groupBy(F.col("m.pair_pos").alias("pair_pos"), F.concat_ws("", values).alias("v")).agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select("pair_pos").distinct().collect()}  # at most one row per pair
+    found = []
+    for i, (a, b) in enumerate(pairs):
+        if i in repeated or len(found) == limit:
+            continue
+        x, y = clean(df, a), clean(df, b)
+        again = df.select(x.alias("a"), y.alias("b")).filter("a is not null and b is not null").groupBy("a", "b").agg(
+            F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if not again.head(1):
+            found.append((i, a, b))
+    return spark.createDataFrame(found, schema)
 
 
 def concepts(names_text: Column) -> Column:

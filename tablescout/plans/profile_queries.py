@@ -275,6 +275,20 @@ ORACLES["prof_high_missing"] = f"""SELECT name FROM ({stats_sql("customer")})
   WHERE (n_rows - non_null) / n_rows > 0.2::DOUBLE"""
 
 
+def _sketches(s, sf):
+    """Estimates from sketches of four parts of the lines, merged, beside the exact values."""
+    df = view(s, sf, "lineitem")
+    parts = reduce(lambda a, b: a.unionByName(b), [pr.sketches(df.filter(F.pmod("l_orderkey", F.lit(4)) == i)) for i in range(4)])
+    near = pr.estimates(pr.merged(parts))
+    freq = pr.frequency_table(df)
+    exact = pr.unique_stats(freq).join(pr.quantiles(freq).withColumnsRenamed({"q1": "exact_q1", "median": "exact_median", "q3": "exact_q3"}), "col_pos")
+    return _named(df, near.join(exact, "col_pos")).select(
+        "name", "unique_count", "unique_estimate", "exact_q1", "q1", "exact_median", "median", "exact_q3", "q3", F.round("outlier_share", 4).alias("outlier_share"))
+
+
+QUERIES["prof_sketches"] = _sketches  # estimates: tests hold their errors against exact values
+
+
 def _outliers(s, sf):
     def one(n):
         df, freq = _freq(s, sf, n)

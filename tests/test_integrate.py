@@ -2,6 +2,7 @@ import pytest
 
 from tablescout.operators import evaluate as ev
 from tablescout.operators import integrate as it
+from tablescout.operators import matching as ma
 from tablescout.operators import ranking as rk
 
 
@@ -68,3 +69,58 @@ def test_ranking_filter_treats_missing_as_kept(spark):
     df = spark.createDataFrame([("s", 1, None, 0.9, 0.9), ("s", 2, 1, 0.9, 0.8), ("s", 3, 3, 0.9, 0.9), ("s", 4, 2, None, 0.9)],
                                "seed_id string, i int, priority int, relevance_score double, metadata_completeness_score double")
     assert [r["i"] for r in rk.keep(df).orderBy("i").collect()] == [1, 3, 4]
+
+
+def test_first_owner_equals_applying_candidates_in_turn(spark):
+    """Random names with ``__source`` endings, against the rule applied candidate by candidate."""
+    import random
+
+    r = random.Random(4)
+    norm = lambda c: " ".join(c.lower().replace("_", " ").split())
+    rows = []
+    for seed in range(40):
+        for rank in range(1, r.randint(2, 7)):
+            rows += [(f"s{seed}", f"d{rank}", rank, c, i, norm(c)) for i, c in enumerate(
+                r.choice(["a", "A", "b", "x y"]) + "".join(r.choice(["__source", " Source", ""]) for _ in range(r.randint(0, 3))) for _ in range(r.randint(1, 4)))]
+    rows = [x for x in rows if x[5]]
+    want = set()
+    for seed in {x[0] for x in rows}:
+        owned = set()
+        for rank in sorted({x[2] for x in rows if x[0] == seed}):
+            free = [x for x in rows if x[0] == seed and x[2] == rank and x[5] not in owned]
+            want |= {x[:5] for x in free}
+            owned |= {n for x in free for n in (x[5], norm(x[3] + "__source"))}
+    df = spark.createDataFrame(rows, "seed_id string, dataset_id string, rank int, col string, cand_pos int, norm string")
+    got = {(x["seed_id"], x["dataset_id"], x["rank"], x["col"], x["cand_pos"]) for x in ma.first_owner(df).collect()}
+    assert got == want and len(want) < len(rows)
+
+
+def test_composite_keys_equal_counting_every_pair(spark):
+    import random
+    from itertools import combinations
+
+    from tablescout.operators import profile as pr
+
+    r = random.Random(1)
+    rows = [(i // 30, i % 30, i if i % 7 else None, r.randrange(5), f"{i * 7919 % 3000}", float(r.randrange(40))) for i in range(3000)]
+    names = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e string, f double")
+    want = []
+    for i, (x, y) in enumerate(combinations(range(6), 2)):
+        seen = [(t[x], t[y]) for t in rows if t[x] is not None and t[y] is not None]
+        if len(seen) == len(set(seen)):
+            want.append((i, names[x], names[y]))
+    assert [tuple(t) for t in pr.composite_keys(df, names).collect()] == want[:5] and len(want) > 5
+
+
+def test_sketches_are_near_the_exact_values(spark):
+    from tablescout.operators import profile as pr
+
+    df = spark.range(40_000).selectExpr("id", "id % 977 AS k", "cast(pmod(id * 7919, 40000) AS double) / 7 AS x", "concat('t', id % 12345) AS t")
+    parts = pr.sketches(df.filter("id % 2 = 0")).unionByName(pr.sketches(df.filter("id % 2 = 1")))
+    got = {r["col_pos"]: r for r in pr.estimates(pr.merged(parts)).collect()}
+    for at, n in enumerate((40_000, 977, 40_000, 12_345)):
+        assert abs(got[at]["unique_estimate"] - n) <= 0.04 * n
+    for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert abs(got[2][q] * 7 / 40_000 - p) <= 0.01
+    assert got[3]["median"] is None and got[2]["outlier_share"] == 0
