@@ -113,15 +113,24 @@ QUERIES["disc_extract_years"] = lambda s, sf: table(s, sf, "orders").select("o_o
 ORACLES["disc_extract_years"] = f"""SELECT o_orderkey, coalesce(list_aggregate({years_sql(_YEAR_TEXT)},
   'string_agg', '|'), '') AS years FROM orders"""
 
-# Row by row: the score of each conversation turn against its predecessor's words.
-QUERIES["disc_token_overlap"] = lambda s, sf: table(s, sf, "conversations").select(
-    "conv_id", "turn", tx.token_overlap(F.col("role"), F.concat_ws(" ", "role", "text")).alias("with_role"),
-    tx.token_overlap(F.substring_index("text", ".", 1), F.substring_index("text", ".", -2)).alias("score"))
-_Q, _H = "string_split(text, '.')[1]", "array_to_string(string_split(text, '.')[-2:], '.')"
-ORACLES["disc_token_overlap"] = f"""SELECT conv_id, turn,
-  round(len(list_intersect(list_distinct({_tok("role")}), {_tok("role || ' ' || text")})) / len(list_distinct({_tok("role")})), 4) AS with_role,
+# The score of each conversation turn against its role and against the whole turn before it.
+
+
+def _overlaps(s, sf):
+    turns = table(s, sf, "conversations").select("conv_id", "turn", "role", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return turns.join(before, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", tx.token_overlap(F.col("role"), F.concat_ws(" ", "role", "text")).alias("with_role"),
+        tx.token_overlap(F.coalesce("text", F.lit("")), F.coalesce("before", F.lit(""))).alias("score"))
+
+
+QUERIES["disc_token_overlap"] = _overlaps
+_Q, _H = "coalesce(a.text, '')", "coalesce(b.text, '')"
+ORACLES["disc_token_overlap"] = f"""SELECT a.conv_id, a.turn,
+  round(len(list_intersect(list_distinct({_tok("a.role")}), {_tok("a.role || ' ' || coalesce(a.text, '')")})) / len(list_distinct({_tok("a.role")})), 4) AS with_role,
   CASE WHEN len({_tok(_Q)}) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(list_distinct({_tok(_Q)}), {_tok(_H)}))
-    / len(list_distinct({_tok(_Q)})), 4) END AS score FROM conversations"""
+    / len(list_distinct({_tok(_Q)})), 4) END AS score
+  FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1"""
 
 QUERIES["disc_catalog_search"] = lambda s, sf: _found(s, sf).select("query_id", "entry_id", "score", "pos")
 ORACLES["disc_catalog_search"] = f"WITH {SEARCH_SQL} SELECT item_id AS query_id, entry_id, score, pos FROM found"

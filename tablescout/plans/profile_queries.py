@@ -152,15 +152,15 @@ ORACLES["prof_dtype"] = f"""SELECT name, {RAW_SQL} AS raw_dtype FROM ({stats_sql
 
 def _samples(s, sf):
     df, freq = _freq(s, sf, "part", "p_partkey")
-    return _named(df, pr.sample_values(freq.filter(F.col("col_pos").isin(1, 2, 3)))).select(
+    return _named(df, pr.sample_values(freq)).select(
         "name", F.array_join("sample_values", "|").alias("sample_values"))
 
 
 QUERIES["prof_samples"] = _samples
 ORACLES["prof_samples"] = " UNION ALL ".join(
-    f"""SELECT '{c}' AS name, string_agg(v, '|' ORDER BY p) AS sample_values FROM
-    (SELECT {c} AS v, min(p_partkey) AS p FROM part GROUP BY 1 ORDER BY p LIMIT 5)"""
-    for c in ("p_name", "p_brand", "p_type"))
+    f"""SELECT '{c}' AS name, string_agg(v::VARCHAR, '|' ORDER BY p) AS sample_values FROM
+    (SELECT {e} AS v, min(p_partkey) AS p FROM part GROUP BY 1 ORDER BY p LIMIT 5)"""
+    for c, (e, _) in VIEWS["part"][1].items())
 
 
 def _numeric(s, sf):
@@ -192,15 +192,14 @@ ORACLES["prof_datetime_range"] = """SELECT 'o_orderdate' AS name, min(o_orderdat
 
 def _tops(s, sf):
     df, freq = _freq(s, sf, "part")
-    kept = pr.top_values(freq.filter(F.col("col_pos").isin(1, 2, 3)))
-    return _named(df, kept).select("name", "value", "cnt", "rn")
+    return _named(df, pr.top_values(freq)).select("name", "value", "cnt", "rn")
 
 
 QUERIES["prof_top_values"] = _tops
 ORACLES["prof_top_values"] = " UNION ALL ".join(
-    f"""SELECT * FROM (SELECT '{c}' AS name, {c} AS value, count(*)::BIGINT AS cnt,
-    row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS rn FROM part GROUP BY {c}) WHERE rn <= 10"""
-    for c in ("p_name", "p_brand", "p_type"))
+    f"""SELECT * FROM (SELECT '{c}' AS name, ({e})::VARCHAR AS value, count(*)::BIGINT AS cnt,
+    row_number() OVER (ORDER BY count(*) DESC, ({e})::VARCHAR)::INT AS rn FROM part GROUP BY {e}) WHERE rn <= 10"""
+    for c, (e, _) in VIEWS["part"][1].items())
 
 
 def _sniff(s, sf):

@@ -110,15 +110,16 @@ _FILE_URL = f"concat('http://files.example.org/', doc_id, element_at(array({', '
 _FILE_URL_SQL = f"'http://files.example.org/' || doc_id || list_extract({lits(_EXT)}, (doc_id % 8 + 1)::INT)"
 _LAND = {
     "path": "cast(doc_id as string)", "status": "CASE WHEN doc_id % 10 = 3 THEN 404 ELSE 200 END",
-    "content_type": "CASE WHEN doc_id % 9 = 2 THEN 'text/html' ELSE 'text/plain' END", "length": "n_chars * 2000",
+    "content_type": "CASE WHEN doc_id % 9 = 2 THEN 'text/html' ELSE 'text/plain' END", "length": "octet_length(text)",
 }
+LARGEST = 1 << 20
 QUERIES["src_landed_files"] = lambda s, sf: la.gate(table(s, sf, "documents").selectExpr(
-    "doc_id", f"{_FILE_URL} AS url", *[f"{e} AS {c}" for c, e in _LAND.items()])).select("doc_id", "skip_reason")
-ORACLES["src_landed_files"] = f"""WITH m AS (SELECT doc_id, {_FILE_URL_SQL} AS url, n_chars * 2000 AS length FROM documents)
+    "doc_id", f"{_FILE_URL} AS url", *[f"{e} AS {c}" for c, e in _LAND.items()]), LARGEST).select("doc_id", "skip_reason")
+ORACLES["src_landed_files"] = f"""WITH m AS (SELECT doc_id, {_FILE_URL_SQL} AS url, strlen(text) AS length FROM documents)
   SELECT doc_id, CASE WHEN doc_id % 8 = 5 THEN 'skipped non-tabular extension: .pdf'
     WHEN doc_id % 8 = 7 THEN 'skipped API/service URL' WHEN doc_id % 10 = 3 THEN 'HTTP error: 404'
     WHEN doc_id % 9 = 2 THEN 'skipped content-type: text/html'
-    WHEN length > 10485760 THEN 'skipped: file exceeds 10 MB' END AS skip_reason FROM m"""
+    WHEN length > {LARGEST} THEN 'skipped: file exceeds 1 MB' END AS skip_reason FROM m"""
 
 
 def packed(batches):
@@ -144,33 +145,39 @@ def packed(batches):
         yield pdf.assign(content=[pack(u, t) for u, t in zip(pdf["url"], pdf["body"])])[["doc_id", "url", "content"]]
 
 
-# Each document becomes a two-column table of its lines, in the format of its URL.
-_ROWS = "transform(split(text, '\\n'), (l, i) -> concat(i, {sep}, length(l)))"
+# Each document becomes a two-column table of its lines, whole, in the format of its URL.
+_ROWS = "transform(split(text, '\\n'), (l, i) -> concat(i, {sep}, '\"', replace(l, '\"', '\"\"'), '\"'))"
+_CSV = f"concat('line,text\\n', array_join({_ROWS.format(sep="','")}, '\\n'))"
 _BODY = f"""CASE doc_id % 8
-  WHEN 1 THEN concat('line;chars\\n', array_join({_ROWS.format(sep="';'")}, '\\n'))
-  WHEN 2 THEN concat('{{"n":1,"rows":[', array_join(transform(split(text, '\\n'), (l, i) -> concat('{{"line":', i, ',"chars":', length(l), '}}')), ','), ']}}')
-  WHEN 6 THEN concat('line\\tchars\\n', array_join({_ROWS.format(sep="'\\t'")}, '\\n'))
-  WHEN 5 THEN 'only' WHEN 7 THEN text
-  ELSE concat('line,chars\\n', array_join({_ROWS.format(sep="','")}, '\\n')) END"""
-
-
-def _files(s, sf):
-    d = table(s, sf, "documents").selectExpr("doc_id", f"{_FILE_URL} AS url", f"{_BODY} AS body")
-    return d.mapInPandas(packed, "doc_id bigint, url string, content binary")
-
-
-QUERIES["src_archive_member"] = lambda s, sf: la.archive_members(_files(s, sf).filter(
-    "url like '%.gz' or url like '%.zip'")).select("url", "member", F.octet_length("content").cast("bigint").alias("bytes"), "error")
-_CSV_SQL = "'line,chars' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: (i - 1) || ',' || length(l)), chr(10))"
-ORACLES["src_archive_member"] = f"""SELECT {_FILE_URL_SQL} AS url, CASE WHEN doc_id % 8 = 4 THEN 'data/a.csv' ELSE
-  'http://files.example.org/' || doc_id || '.csv' END AS member, strlen({_CSV_SQL})::BIGINT AS bytes, '' AS error
-  FROM documents WHERE doc_id % 8 IN (3, 4)"""
-
-_BYTES = "CASE doc_id % 3 WHEN 0 THEN encode(text, 'UTF-8') WHEN 1 THEN encode(concat('caf', chr(233), ' ', lang), 'ISO-8859-1') ELSE concat(unhex('EFBBBF'), encode(text, 'UTF-8')) END"
+  WHEN 1 THEN concat('line;text\\n', array_join({_ROWS.format(sep="';'")}, '\\n'))
+  WHEN 2 THEN to_json(named_struct('n', 1, 'rows', transform(split(text, '\\n'), (l, i) -> named_struct('line', i, 'text', l))))
+  WHEN 6 THEN concat('line\\ttext\\n', array_join({_ROWS.format(sep="'\\t'")}, '\\n'))
+  WHEN 5 THEN 'only' ELSE {_CSV} END"""
+_CELL_URL = _FILE_URL.replace("/api/x", "/x.csv")
+_CELL_URL_SQL = _FILE_URL_SQL.replace("/api/x", "/x.csv")
+
+
+def _packed(s, sf, url, body):
+    return table(s, sf, "documents").selectExpr("doc_id", f"{url} AS url", f"{body} AS body").mapInPandas(
+        packed, "doc_id bigint, url string, content binary")
+
+
+# Every document in an archive of its own, gzip or zip in turn.
+_ARCHIVE = "concat('http://files.example.org/', doc_id, if(doc_id % 2 = 0, '.csv.gz', '.zip'))"
+QUERIES["src_archive_member"] = lambda s, sf: la.archive_members(_packed(s, sf, _ARCHIVE, _CSV)).select(
+    "url", "member", F.octet_length("content").cast("bigint").alias("bytes"), "error")
+_CSV_SQL = """'line,text' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: (i - 1) || ',"' || replace(l, '"', '""') || '"'), chr(10))"""
+ORACLES["src_archive_member"] = f"""SELECT 'http://files.example.org/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.csv.gz' ELSE '.zip' END AS url,
+  CASE WHEN doc_id % 2 = 0 THEN 'http://files.example.org/' || doc_id || '.csv' ELSE 'data/a.csv' END AS member, strlen({_CSV_SQL})::BIGINT AS bytes, '' AS error
+  FROM documents"""
+
+# Whole texts in UTF-8, in ISO-8859-1 (other signs than ASCII as one letter), and in UTF-8 with its mark.
+_LATIN = "concat(chr(233), ' ', regexp_replace(text, '[^\\\\x00-\\\\x7F]', chr(233)))"
+_BYTES = f"CASE doc_id % 3 WHEN 0 THEN encode(text, 'UTF-8') WHEN 1 THEN encode({_LATIN}, 'ISO-8859-1') ELSE concat(unhex('EFBBBF'), encode(text, 'UTF-8')) END"
 QUERIES["src_charset"] = lambda s, sf: table(s, sf, "documents").selectExpr("doc_id", f"{_BYTES} AS content").select(
     "doc_id", la.charset(F.col("content")).alias("charset"), la.decoded(F.col("content")).alias("decoded"))
 ORACLES["src_charset"] = """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'ISO-8859-1' ELSE 'UTF-8' END AS charset,
-  CASE WHEN doc_id % 3 = 1 THEN 'caf' || chr(233) || ' ' || lang ELSE text END AS decoded FROM documents"""
+  CASE WHEN doc_id % 3 = 1 THEN chr(233) || ' ' || regexp_replace(text, '[^\\x00-\\x7F]', chr(233), 'g') ELSE text END AS decoded FROM documents"""
 QUERIES["src_delimited_sniff"] = lambda s, sf: table(s, sf, "documents").select("doc_id", la.sniffed_separator(
     F.expr("CASE WHEN doc_id % 3 = 0 THEN replace(text, ',', ';') WHEN doc_id % 3 = 1 THEN replace(text, ',', '|') ELSE text END")).alias("sep"))
 ORACLES["src_delimited_sniff"] = """WITH h AS (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN replace(text, ',', ';')
@@ -180,14 +187,14 @@ ORACLES["src_delimited_sniff"] = """WITH h AS (SELECT doc_id, string_split(CASE
 
 
 def _cells(s, sf):
-    return la.candidate_cells(_files(s, sf).filter("url not like '%/api/x'"))
+    return la.candidate_cells(_packed(s, sf, _CELL_URL, _BODY))
 
 
 QUERIES["src_candidate_cells"] = lambda s, sf: _cells(s, sf).select("url", "row_id", "col_pos", "col", "value", "error")
-ORACLES["src_candidate_cells"] = f"""WITH d AS (SELECT doc_id, {_FILE_URL_SQL} AS url, string_split(text, chr(10)) AS ls FROM documents),
-  l AS (SELECT doc_id, url, unnest(range(len(ls)))::BIGINT AS row_id, unnest(list_transform(ls, lambda l: length(l))) AS chars FROM d WHERE doc_id % 8 NOT IN (5, 7))
+ORACLES["src_candidate_cells"] = f"""WITH d AS (SELECT doc_id, {_CELL_URL_SQL} AS url, string_split(text, chr(10)) AS ls FROM documents),
+  l AS (SELECT doc_id, url, unnest(range(len(ls)))::BIGINT AS row_id, unnest(ls) AS line FROM d WHERE doc_id % 8 <> 5)
   SELECT url, row_id, 0::INT AS col_pos, 'line' AS col, row_id::VARCHAR AS value, '' AS error FROM l
-  UNION ALL SELECT url, row_id, 1, 'chars', chars::VARCHAR, '' FROM l
+  UNION ALL SELECT url, row_id, 1, 'text', CASE WHEN doc_id % 8 = 2 OR line NOT IN ({", ".join("'" + t + "'" for t in fv.NA_TOKENS)}) THEN line END, '' FROM l
   UNION ALL SELECT url, NULL, NULL, NULL, NULL, 'only 1 column(s)' FROM d WHERE doc_id % 8 = 5"""
 
 # --- URL choice: every page offers three URLs ---------------------------------------------
@@ -398,11 +405,9 @@ def _w_queries(s, sf, path):
     return path
 
 
-QUERIES["sink_queries"] = _written(_w_queries, lambda s, p: si.queries_header(s.read.json(
-    p, schema="seed_id bigint, id int, query string, concept string, identifier string, target_connector string")).select(
-    "seed_id", "total_queries", F.array_join("target_connectors", "|").alias("target_connectors")))
-ORACLES["sink_queries"] = f"""{qq.HEAD_SQL}, {qq._dedupe_sql(qq.NORMAL)} SELECT seed_id, count(*) AS total_queries,
-  string_agg(DISTINCT target_connector, '|' ORDER BY target_connector) AS target_connectors FROM numbered GROUP BY 1"""
+QUERIES["sink_queries"] = _written(_w_queries, lambda s, p: s.read.json(
+    p, schema="seed_id bigint, id int, query string, target_connector string, strategy string, priority int"))
+ORACLES["sink_queries"] = f"""{qq.HEAD_SQL}, {qq._dedupe_sql(qq.NORMAL)} SELECT seed_id, id::INT AS id, query, target_connector, strategy, priority::INT AS priority FROM numbered"""
 
 
 def _w_discovery(s, sf, path):
@@ -412,13 +417,15 @@ def _w_discovery(s, sf, path):
     return path
 
 
-QUERIES["sink_discovery"] = _written(_w_discovery, lambda s, p: s.read.parquet(f"{p}/header").select(
-    "seed_id", "total_candidates", "total_errors").join(s.read.parquet(f"{p}/results").groupBy("seed_id").agg(
-        F.count("*").alias("results")), "seed_id").join(s.read.parquet(f"{p}/errors").groupBy("seed_id").agg(
-            F.count("*").alias("errors")), "seed_id", "left"))
-ORACLES["sink_discovery"] = """SELECT user_id % 20 AS seed_id, count(*) FILTER (event_type <> 'error') AS total_candidates,
-  count(*) FILTER (event_type = 'error') AS total_errors, count(*) FILTER (event_type <> 'error') AS results,
-  nullif(count(*) FILTER (event_type = 'error'), 0) AS errors FROM events GROUP BY 1 HAVING results > 0"""
+def _read_discovery(s, p):
+    rows = s.read.parquet(f"{p}/results").unionByName(s.read.parquet(f"{p}/errors"))
+    return rows.join(s.read.parquet(f"{p}/header"), "seed_id").select("seed_id", "query_id", "is_error", "value", "total_candidates", "total_errors")
+
+
+QUERIES["sink_discovery"] = _written(_w_discovery, _read_discovery)
+ORACLES["sink_discovery"] = """SELECT user_id % 20 AS seed_id, event_id AS query_id, event_type = 'error' AS is_error, value,
+  count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id % 20) AS total_candidates,
+  count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id % 20) AS total_errors FROM events"""
 
 
 def _w_ranked(s, sf, path):
@@ -450,6 +457,7 @@ def _w_report(s, sf, path):
 
 
 QUERIES["sink_reports"] = _written(_w_report, lambda s, p: s.read.json(
-    p, schema="seed_id bigint, candidates_eligible bigint, candidates array<struct<dataset_id:bigint,status:string>>").select(
-    "seed_id", "candidates_eligible", F.size("candidates").cast("bigint").alias("listed")))
-ORACLES["sink_reports"] = """SELECT o_custkey AS seed_id, count(*) AS candidates_eligible, count(*) AS listed FROM orders GROUP BY 1"""
+    p, schema="seed_id bigint, candidates_eligible bigint, candidates array<struct<dataset_id:bigint,status:string,skip_reason:string>>").select(
+    "seed_id", "candidates_eligible", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["dataset_id"].cast("string"), c["status"], c["skip_reason"])), "|").alias("candidates")))
+ORACLES["sink_reports"] = f"""WITH {iq.PLAN_SQL} SELECT seed_id, count(*) AS candidates_eligible,
+  string_agg(dataset_id || ':' || status || ':' || skip_reason, '|' ORDER BY dataset_id) AS candidates FROM outcome GROUP BY 1"""
