@@ -8,14 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions import fixed_values as fv
-from tablescout.functions.text import norm_value
 from tablescout.operators.entities import resolve
+from tablescout.operators.matching import domain_text
 from tablescout.operators.profile import kind_of
 from tablescout.session import cut
 
-# A candidate whose parsed file is known to be no larger than this is broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 @dataclass
 class JoinPlan:
@@ -25,7 +22,6 @@ class JoinPlan:
     keys: list[tuple[str, str]]
     new_columns: list[str]
     landing_page: str | None = None
-    parsed_bytes: int | None = None
     null_keys: str = "match"
     threshold: float = fv.MATCH_THRESHOLD
     # Column with the seed's row order; equal fuzzy scores go to the earliest seed value.
@@ -47,9 +43,9 @@ def entity_map(seed: DataFrame, cand: DataFrame, plan: JoinPlan,
     Without an order column equal scores go to the first seed value by text.
     """
     pos = _col(plan.seed_order).cast("bigint") if plan.seed_order else F.lit(0).cast("bigint")
-    cells = [F.struct(F.lit(c).alias("domain"), norm_value(_col(s)).alias("norm")) for c, s in pairs]
+    cells = [F.struct(F.lit(c).alias("domain"), domain_text(_col(s)).alias("norm")) for c, s in pairs]
     seeds = seed.select(pos.alias("pos"), F.explode(F.array(*cells)).alias("v")).select("v.*", "pos")
-    cells = [F.struct(F.lit(c).alias("domain"), norm_value(_col(c)).alias("norm")) for c, _ in pairs]
+    cells = [F.struct(F.lit(c).alias("domain"), domain_text(_col(c)).alias("norm")) for c, _ in pairs]
     return resolve(seeds, cand.select(F.explode(F.array(*cells)).alias("v")).select("v.*"), plan.threshold)
 
 
@@ -62,7 +58,7 @@ def key_type(seed: DataFrame, cand: DataFrame, c: str, s: str) -> str:
 
 
 def with_keys(seed: DataFrame, cand: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
-    """Both sides with their harmonised keys ``_l0.._ln`` and ``_r0.._rn``."""
+    """Both sides with their harmonised keys ``_l0.._ln`` and ``_r0.._rn``, in the normal form that the overlap was checked in."""
     texts = [(c, s) for c, s in plan.keys if not is_number(seed, s)]
     mapped = cut(entity_map(seed, cand, plan, texts), "entity-map") if texts else None
     left, right = seed, cand
@@ -70,12 +66,13 @@ def with_keys(seed: DataFrame, cand: DataFrame, plan: JoinPlan) -> tuple[DataFra
         kind = key_type(seed, cand, c, s)
         if kind != "text":
             left = left.withColumn(f"_l{i}", _col(s).cast(kind))
-            right = right.withColumn(f"_r{i}", _col(c).cast("string").try_cast(kind))
+            truth = kind_of(cand.schema[c].dataType) == "bool"  # a truth value is a number, its text is none
+            right = right.withColumn(f"_r{i}", _col(c).cast(kind) if truth else _col(c).cast("string").try_cast(kind))
             continue
-        left = left.withColumn(f"_l{i}", F.when(_col(s).isNotNull(), norm_value(_col(s))))
+        left = left.withColumn(f"_l{i}", F.when(_col(s).isNotNull(), domain_text(_col(s))))
         names = mapped.filter(F.col("domain") == c).select(
             F.col("norm").alias("_norm"), F.col("seed_norm").alias("_seed"))
-        own = F.when(_col(c).isNotNull(), norm_value(_col(c)))
+        own = F.when(_col(c).isNotNull(), domain_text(_col(c)))
         right = right.withColumn("_norm", own).join(names, "_norm", "left").withColumn(
             f"_r{i}", F.coalesce("_seed", "_norm")).drop("_norm", "_seed")
     return left, right
@@ -97,8 +94,6 @@ def join_candidate(seed: DataFrame, cand: DataFrame, plan: JoinPlan) -> DataFram
     left, right = with_keys(seed, cand, plan)
     n = len(plan.keys)
     right = right.select(*[f"_r{i}" for i in range(n)], *[_col(c) for c in plan.new_columns])
-    if plan.parsed_bytes is not None and plan.parsed_bytes <= BROADCAST_BYTES:
-        right = F.broadcast(right)
     joined = left_join(left, right, n, plan.null_keys)
     return joined.select(
         *[_col(c) for c in seed.columns],

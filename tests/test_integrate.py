@@ -44,13 +44,10 @@ def test_augment_and_completeness(spark, seed):
     assert shares == {"x": 0.4, "y": 0.2, "country": 0.8}
 
 
-def test_large_candidates_are_not_broadcast(spark, seed):
+def test_no_candidate_is_told_to_be_broadcast(spark, seed):
     cand = spark.createDataFrame([(1, 2)], "id int, x int")
-    plan = it.JoinPlan("d", [("id", "id")], ["x"])
-    big = it.join_candidate(seed, cand, plan)._jdf.queryExecution().optimizedPlan().toString()
-    plan.parsed_bytes = 1000
-    small = it.join_candidate(seed, cand, plan)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in big and "broadcast" in small
+    plan = it.join_candidate(seed, cand, it.JoinPlan("d", [("id", "id")], ["x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan
 
 
 def test_metrics_on_short_and_perfect_lists(spark):
@@ -124,3 +121,10 @@ def test_sketches_are_near_the_exact_values(spark):
     for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         assert abs(got[2][q] * 7 / 40_000 - p) <= 0.01
     assert got[3]["median"] is None and got[2]["outlier_share"] == 0
+
+
+def test_keys_join_in_the_form_they_are_checked_in(spark):
+    seed = spark.createDataFrame([("2020", True, 1), ("2021", False, 2)], "code string, flag boolean, id int")
+    cand = spark.createDataFrame([("2020.0", True, "x"), ("2021", False, "y")], "k string, f boolean, v string")
+    plan = it.JoinPlan("d", [("k", "code"), ("f", "flag")], ["v"], "http://p")
+    assert [(r["id"], r["v"]) for r in it.join_candidate(seed, cand, plan).orderBy("id").collect()] == [(1, "x"), (2, "y")]
