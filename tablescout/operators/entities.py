@@ -146,7 +146,23 @@ def _in_tiles(known: DataFrame, splits: letters.Splits) -> tuple[DataFrame, Data
 
 def _fuzzy(known: DataFrame, rest: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     kind = dict(known.dtypes)["domain"]
-    some = known.orderBy(F.xxhash64("norm")).limit(SAMPLE).select("norm").toPandas()
+    out = f"domain {kind}, norm string, seed_norm string, seed_pos bigint, score double, compared bigint"
+    if known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * TILE_SEEDS).head(1):
+        met = _in_two_steps(known, rest, threshold, kind, out)
+    else:  # each domain is one tile, in which all is found at once
+        zero = F.lit(0).cast("bigint").alias("tile")
+        visits = cut(rest.select("domain", "norm", zero, F.lit(True).alias("letters"), F.lit(float(threshold)).alias("bar")), "visits")
+        tiles = known.select("domain", zero, F.col("norm").alias("seed_norm"), F.col("pos").alias("seed_pos"))
+        met = cut(_meet(visits, tiles, "tile", match_tile, out), "found").withColumn("step", F.lit(1))
+    best = F.struct(-F.col("score"), F.col("seed_pos"), F.col("seed_norm"))
+    found = met.filter("seed_norm is not null").groupBy("domain", "norm").agg(
+        F.min_by("seed_norm", best).alias("seed_norm"), F.max("score").alias("score"))
+    return found, met.select("domain", "norm", "step", "compared")
+
+
+def _in_two_steps(known: DataFrame, rest: DataFrame, threshold: float, kind: str, out: str) -> DataFrame:
+    share = min(1.0, SAMPLE / max(1, known.count()))  # about SAMPLE values, by hash
+    some = known.filter(F.pmod(F.xxhash64("norm"), F.lit(1 << 30)) < int(share * (1 << 30))).select("norm").toPandas()
     splits = letters.Splits(letters.counts([" ".join(sorted(set(v.split()))) for v in some["norm"]]), DEPTH)
     seeds, cells = _in_tiles(known, splits)
 
@@ -157,27 +173,19 @@ def _fuzzy(known: DataFrame, rest: DataFrame, threshold: float) -> tuple[DataFra
     home = F.col("cell") * (1 << 24) + F.pmod(F.xxhash64("norm"), F.coalesce("tiles", F.lit(1)))
     rest = cut(rest.select("domain", "norm", "len", "bag", home.alias("home")), "cand-letters")
 
-    first = rest.select("domain", "norm", F.col("home").alias("tile"), F.lit(True).alias("letters"))
-    several = bool(cells.groupBy("domain").agg(F.sum("tiles").alias("n")).filter("n > 1").head(1))
-    if several:  # else each domain is one tile, in which all is found at once
-        by_token = _token_visits(seeds, rest, threshold / (200.0 - threshold))
-        first = by_token.unionByName(first).groupBy("domain", "norm", "tile").agg(F.max("letters").alias("letters"))
+    by_home = rest.select("domain", "norm", F.col("home").alias("tile"), F.lit(True).alias("letters"))
+    first = _token_visits(seeds, rest, threshold / (200.0 - threshold)).unionByName(by_home).groupBy(
+        "domain", "norm", "tile").agg(F.max("letters").alias("letters"))
     first = cut(first.withColumn("bar", F.lit(float(threshold))), "visits")
     tiles = seeds.select("domain", "tile", F.col("norm").alias("seed_norm"), F.col("pos").alias("seed_pos"))
-    out = f"domain {kind}, norm string, seed_norm string, seed_pos bigint, score double, compared bigint"
     near = cut(_meet(first, tiles, "tile", match_tile, out), "found")
-    met = near.withColumn("step", F.lit(1))
-    if several:
-        bars = near.groupBy("domain", "norm").agg(F.max("score").alias("bar"))
-        asking = rest.join(bars, ["domain", "norm"], "left").withColumn(
-            "bar", F.coalesce("bar", F.lit(float(threshold)))).filter(F.col("bar") < 100)
-        second = cut(_open_tiles(seeds, asking, kind).filter("node <> home").select(
-            "domain", "norm", F.col("node").alias("tile"), "bar", F.lit(True).alias("letters")), "visits")
-        met = met.unionByName(cut(_meet(second, tiles, "tile", match_tile, out), "found").withColumn("step", F.lit(2)))
-    best = F.struct(-F.col("score"), F.col("seed_pos"), F.col("seed_norm"))
-    found = met.filter("seed_norm is not null").groupBy("domain", "norm").agg(
-        F.min_by("seed_norm", best).alias("seed_norm"), F.max("score").alias("score"))
-    return found, met.select("domain", "norm", "step", "compared")
+    bars = near.groupBy("domain", "norm").agg(F.max("score").alias("bar"))
+    asking = rest.join(bars, ["domain", "norm"], "left").withColumn(
+        "bar", F.coalesce("bar", F.lit(float(threshold)))).filter(F.col("bar") < 100)
+    second = cut(_open_tiles(seeds, asking, kind).filter("node <> home").select(
+        "domain", "norm", F.col("node").alias("tile"), "bar", F.lit(True).alias("letters")), "visits")
+    far = cut(_meet(second, tiles, "tile", match_tile, out), "found")
+    return near.withColumn("step", F.lit(1)).unionByName(far.withColumn("step", F.lit(2)))
 
 
 def _token_visits(seeds: DataFrame, rest: DataFrame, share: float) -> DataFrame:
