@@ -58,9 +58,10 @@ def resolve_with_visits(seeds: DataFrame, cands: DataFrame, threshold: float = f
     known = cut(seeds.filter("norm <> ''").groupBy("domain", "norm").agg(F.min("pos").cast("bigint").alias("pos")),
                 "seed-values")
     asked = cut(cands.filter("norm <> ''").select("domain", "norm").distinct(), "cand-values")
-    exact = asked.join(known, ["domain", "norm"], "left_semi").select(
+    values = known.hint("merge")  # a text column unpacks to many times its files, so it is not sent through the driver
+    exact = asked.join(values, ["domain", "norm"], "left_semi").select(
         "domain", "norm", F.col("norm").alias("seed_norm"), F.lit(100.0).alias("score"))
-    rest = asked.join(known, ["domain", "norm"], "left_anti")
+    rest = asked.join(values, ["domain", "norm"], "left_anti")
     found, opened = _fuzzy(known, rest, threshold)
     return exact, found, opened
 
@@ -180,7 +181,7 @@ def _in_two_steps(known: DataFrame, rest: DataFrame, threshold: float, kind: str
     tiles = seeds.select("domain", "tile", F.col("norm").alias("seed_norm"), F.col("pos").alias("seed_pos"))
     near = cut(_meet(first, tiles, "tile", match_tile, out), "found")
     bars = near.groupBy("domain", "norm").agg(F.max("score").alias("bar"))
-    asking = rest.join(bars, ["domain", "norm"], "left").withColumn(
+    asking = rest.join(bars.hint("merge"), ["domain", "norm"], "left").withColumn(
         "bar", F.coalesce("bar", F.lit(float(threshold)))).filter(F.col("bar") < 100)
     second = cut(_open_tiles(seeds, asking, kind).filter("node <> home").select(
         "domain", "norm", F.col("node").alias("tile"), "bar", F.lit(True).alias("letters")), "visits")
