@@ -1,20 +1,26 @@
 """Search queries from seed signatures, many seeds at once.
 
-A signature row holds ``seed_id, columns, concepts, identifiers, samples``; every strategy
-reads the rows again, so pass a written table rather than a long plan. The fixed
-lists (topics, sources, synonyms, phrases) are literal arrays that each row explodes, so
-generation is a narrow step without joins. ``branch`` and ``pos`` carry the list order.
+A signature row holds ``seed_id, columns, concepts, identifiers, samples``; rows are counted
+first, so pass a written table rather than a long plan. The fixed lists (topics, sources,
+synonyms, phrases) are literal arrays that each row multiplies in place, so generation is a
+narrow step without joins. ``branch`` and ``pos`` carry the list order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions import fixed_values as fv
+from tablescout.functions.text import let
 from tablescout.operators.order import top_k
+from tablescout.session import cut
 
 OPTIONAL = ["concept", "topic", "source", "identifier", "region", "column", "synonym"]
+SIGNATURE = ["columns", "concepts", "identifiers", "samples"]
+SEEDS = 4096  # signatures a task multiplies at most, so that its queries fit its memory
 
 
 def _list(values) -> Column:
@@ -30,29 +36,58 @@ def _sources(names: list[str]) -> Column:
         "connector")) for n in names])
 
 
-def _start(sig: DataFrame) -> DataFrame:
-    return sig.withColumn("pos", F.array().cast("array<int>"))
+def _each(lists, item) -> Column:
+    """``item`` of every way through nested lists, with its places as ``pos``.
 
+    Each list is a function of the values before it; an absent list is an empty one.
+    """
+    def go(level: int, seen: list[Column], at: list[Column]) -> Column:
+        last = level + 1 == len(lists)
 
-def _each(df: DataFrame, name: str, values: Column) -> DataFrame:
-    return (
-        df.select("*", F.posexplode(values).alias("_at", name))
-        .withColumn("pos", F.concat("pos", F.array("_at"))).drop("_at")
-    )
+        def body(value: Column, i: Column) -> Column:
+            if last:
+                return item(*seen, value, pos=F.array(*at, i))
+            return go(level + 1, [*seen, value], [*at, i])
+        out = F.transform(lists[level](*seen), body)
+        return out if last else F.flatten(out)
+    return go(0, [], [])
+
+
+def _texts(values: Column) -> Column:
+    return F.coalesce(values, F.array().cast("array<string>"))
 
 
-def _finish(df: DataFrame, query: Column, strategy: str, priority: int, branch: int,
-            connector: Column, tier: int | None = None, **optional: Column) -> DataFrame:
-    return df.select(
-        "seed_id", query.alias("query"),
+def _item(query: Column, strategy: str, priority: int, branch: int, connector: Column, pos: Column,
+          tier: int | None = None, **optional: Column) -> Column:
+    return F.struct(
+        query.alias("query"),
         *[optional.get(c, F.lit(None)).cast("string").alias(c) for c in OPTIONAL],
         connector.alias("target_connector"), F.lit(strategy).alias("strategy"),
         F.lit(priority).alias("priority"), F.lit(tier).cast("int").alias("fallback_tier"),
-        F.lit(branch).alias("branch"), "pos")
+        F.lit(branch).alias("branch"), pos.cast("array<int>").alias("pos"))
 
 
-def _spaced(c: str) -> Column:
-    return F.replace(F.col(c), F.lit("_"), F.lit(" "))
+def _strategy(lists):
+    """A strategy as rows of a signature table; ``items`` is its list inside one signature."""
+    @functools.wraps(lists)
+    def rows(sig: DataFrame, *args, **more) -> DataFrame:
+        found = lists({c: F.col(c) for c in SIGNATURE}, *args, **more)
+        return _exploded(sig.select("seed_id", found.alias("list")), "list").drop("id")
+    rows.items = lists
+    return rows
+
+
+def _exploded(lists: DataFrame, name: str) -> DataFrame:
+    """Each item of a list as a row, with its number as ``id``.
+
+    By the outer form, for which Spark does not make the whole list twice more to ask whether it is empty.
+    """
+    rows = lists.select("seed_id", F.posexplode_outer(name).alias("at", "q")).filter("at is not null")
+    return rows.select("seed_id", "q.*", (F.col("at") + 1).alias("id"))
+
+
+def _spaced(c: Column) -> Column:
+    return F.replace(c, F.lit("_"), F.lit(" "))
 
 
 def _words(*parts) -> Column:
@@ -63,139 +98,167 @@ def _year_text(years: tuple[int, int]) -> str:
     return f"{years[0]} {years[1]}"
 
 
-def _topics(df: DataFrame, first: int | None = None) -> DataFrame:
-    topics = F.element_at(_map_of_lists(fv.CONCEPT_TOPICS), F.col("concept"))
-    return _each(_each(df, "concept", F.col("concepts")), "topic",
-                 F.slice(topics, 1, first) if first else topics)
+def _topics(s, first: int | None = None) -> list:
+    """The lists of concepts and of their topics."""
+    def topics(concept: Column) -> Column:
+        found = F.element_at(_map_of_lists(fv.CONCEPT_TOPICS), concept)
+        return _texts(F.slice(found, 1, first) if first else found)
+    return [lambda: _texts(s["concepts"]), topics]
+
+
+def _synonyms(s) -> list:
+    return [lambda: _texts(s["columns"]), lambda column: _texts(F.element_at(_map_of_lists(fv.SYNONYMS), column))]
 
 
-def _synonyms(df: DataFrame) -> DataFrame:
-    return _each(_each(df, "column", F.col("columns")), "synonym",
-                 F.element_at(_map_of_lists(fv.SYNONYMS), F.col("column")))
+def _id_terms(s) -> list:
+    return [lambda: _texts(s["identifiers"]), lambda i: _list(fv.JOIN_TERMS), lambda i, t: _sources(fv.SOURCES)]
 
 
-def direct_platform(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
+@_strategy
+def direct_platform(s, years=fv.YEAR_RANGE) -> Column:
     templates = F.array(*[
         F.struct(F.lit(t.replace("{years}", _year_text(years))).alias("text"),
                  F.lit(c).alias("connector")) for t, c in fv.DIRECT_TEMPLATES])
-    d = _each(_each(_start(sig), "concept", F.col("concepts")), "t", templates)
-    return _finish(d, F.replace(F.col("t.text"), F.lit("{concept}"), _spaced("concept")), "direct_platform",
-                   1, 0, F.col("t.connector"), concept=F.col("concept"))
-
-
-def concept_source(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
-    d = _each(_topics(_start(sig), 4), "s", _sources(fv.SOURCES))
-    return _finish(d, _words(F.col("topic"), F.col("s.source"), _year_text(years)),
-                   "concept_x_source", 1, 1, F.col("s.connector"), concept=F.col("concept"),
-                   topic=F.col("topic"), source=F.col("s.source"))
+    return _each([lambda: _texts(s["concepts"]), lambda c: templates], lambda concept, t, pos: _item(
+        F.replace(t["text"], F.lit("{concept}"), _spaced(concept)), "direct_platform",
+        1, 0, t["connector"], pos, concept=concept))
 
 
-def _id_terms(sig: DataFrame) -> DataFrame:
-    d = _each(_start(sig), "identifier", F.col("identifiers"))
-    return _each(_each(d, "term", _list(fv.JOIN_TERMS)), "s", _sources(fv.SOURCES))
+@_strategy
+def concept_source(s, years=fv.YEAR_RANGE) -> Column:
+    return _each([*_topics(s, 4), lambda c, t: _sources(fv.SOURCES)], lambda concept, topic, src, pos: _item(
+        _words(topic, src["source"], _year_text(years)), "concept_x_source", 1, 1, src["connector"], pos,
+        concept=concept, topic=topic, source=src["source"]))
 
 
-def joinability(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
-    text = _words(_spaced("identifier"), F.col("term"), F.col("s.source"), _year_text(years))
-    return _finish(_id_terms(sig), text, "joinability", 2, 2, F.col("s.connector"),
-                   identifier=F.col("identifier"), source=F.col("s.source"))
+@_strategy
+def joinability(s, years=fv.YEAR_RANGE) -> Column:
+    return _each(_id_terms(s), lambda identifier, term, src, pos: _item(
+        _words(_spaced(identifier), term, src["source"], _year_text(years)), "joinability", 2, 2,
+        src["connector"], pos, identifier=identifier, source=src["source"]))
 
 
-def entity_sample(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
-    names = F.element_at("samples", "country_name")
-    d = _each(_start(sig).filter(F.size(names) > 0), "s", _sources(fv.SOURCES[:2]))
+@_strategy
+def entity_sample(s, years=fv.YEAR_RANGE) -> Column:
+    names = F.element_at(s["samples"], "country_name")
+    sources = F.filter(_sources(fv.SOURCES[:2]), lambda _: F.size(_texts(names)) > 0)
     sample = F.array_join(F.slice(names, 1, 3), ", ")
-    text = _words("countries", sample, "cross-country dataset", F.col("s.source"), _year_text(years))
-    return _finish(d, text, "joinability_entity_sample", 2, 3, F.col("s.connector"))
+    return _each([lambda: sources], lambda src, pos: _item(
+        _words("countries", sample, "cross-country dataset", src["source"], _year_text(years)),
+        "joinability_entity_sample", 2, 3, src["connector"], pos))
 
 
-def augmentation(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
-    known = F.lower("topic").rlike("|".join(fv.COVERED_WORDS))
-    d = _topics(_start(sig)).filter(~known)
-    d = _each(d, "region", F.slice(F.element_at("samples", "region"), 1, 2))
-    d = _each(d, "s", _sources(fv.SOURCES[:2]))
-    text = _words(F.col("topic"), F.col("region"), F.col("s.source"), _year_text(years))
-    return _finish(d, text, "augmentation", 3, 4, F.col("s.connector"), concept=F.col("concept"),
-                   topic=F.col("topic"), region=F.col("region"))
+@_strategy
+def augmentation(s, years=fv.YEAR_RANGE) -> Column:
+    regions = F.slice(F.element_at(s["samples"], "region"), 1, 2)
+    known = "|".join(fv.COVERED_WORDS)
+    lists = [*_topics(s), lambda c, topic: F.filter(_texts(regions), lambda _: ~F.lower(topic).rlike(known)),
+             lambda c, t, r: _sources(fv.SOURCES[:2])]
+    return _each(lists, lambda concept, topic, region, src, pos: _item(
+        _words(topic, region, src["source"], _year_text(years)), "augmentation", 3, 4, src["connector"], pos,
+        concept=concept, topic=topic, region=region))
 
 
-def synonym(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
-    d = _each(_synonyms(_start(sig)), "s", _sources(fv.SOURCES))
-    text = _words(F.col("synonym"), "by country year", F.col("s.source"), _year_text(years))
-    return _finish(d, text, "synonym", 2, 5, F.col("s.connector"), column=F.col("column"),
-                   synonym=F.col("synonym"))
+@_strategy
+def synonym(s, years=fv.YEAR_RANGE) -> Column:
+    return _each([*_synonyms(s), lambda c, y: _sources(fv.SOURCES)], lambda column, other, src, pos: _item(
+        _words(other, "by country year", src["source"], _year_text(years)), "synonym", 2, 5, src["connector"], pos,
+        column=column, synonym=other))
 
 
-def tier1_topics(sig: DataFrame) -> DataFrame:
-    d = _each(_topics(_start(sig)), "s", _sources(fv.SOURCES))
-    return _finish(d, _words(F.col("topic"), F.col("s.source"), "country dataset"),
-                   "fallback_tier1_no_year", 4, 6, F.col("s.connector"), 1,
-                   concept=F.col("concept"), topic=F.col("topic"), source=F.col("s.source"))
+@_strategy
+def tier1_topics(s) -> Column:
+    return _each([*_topics(s), lambda c, t: _sources(fv.SOURCES)], lambda concept, topic, src, pos: _item(
+        _words(topic, src["source"], "country dataset"), "fallback_tier1_no_year", 4, 6, src["connector"], pos, 1,
+        concept=concept, topic=topic, source=src["source"]))
 
 
-def tier1_join(sig: DataFrame) -> DataFrame:
-    text = _words(_spaced("identifier"), F.col("term"), F.col("s.source"))
-    return _finish(_id_terms(sig), text, "fallback_tier1_join_no_year", 4, 7,
-                   F.col("s.connector"), 1, identifier=F.col("identifier"))
+@_strategy
+def tier1_join(s) -> Column:
+    return _each(_id_terms(s), lambda identifier, term, src, pos: _item(
+        _words(_spaced(identifier), term, src["source"]), "fallback_tier1_join_no_year", 4, 7,
+        src["connector"], pos, 1, identifier=identifier))
 
 
-def tier2(sig: DataFrame) -> DataFrame:
+@_strategy
+def tier2(s) -> Column:
     wide = _sources(fv.EXTENDED_SOURCES)
-    bare = _each(_topics(_start(sig)), "s", wide)
-    bare = _finish(bare, _words(F.col("topic"), "country dataset open data"),
-                   "fallback_tier2_extended_sources", 5, 8, F.col("s.connector"), 2,
-                   concept=F.col("concept"), topic=F.col("topic"), source=F.col("s.source"))
-    syn = _each(_synonyms(_start(sig)), "s", _sources(fv.EXTENDED_SOURCES[:3]))
-    syn = _finish(syn, _words(F.col("synonym"), "country open dataset"),
-                  "fallback_tier2_synonym_extended", 5, 9, F.col("s.connector"), 2,
-                  column=F.col("column"), synonym=F.col("synonym"))
-    ids = _each(_each(_start(sig), "identifier", F.col("identifiers")), "s", wide)
-    ids = _finish(ids, _words(_spaced("identifier"), "cross-country open data"),
-                  "fallback_tier2_join_extended", 5, 10, F.col("s.connector"), 2,
-                  identifier=F.col("identifier"))
-    return bare.unionByName(syn).unionByName(ids)
-
-
-def union_dedupe(*branches: DataFrame, per_connector: bool = False) -> DataFrame:
-    """All branches, keeping the first query per text and seed."""
-    rows = branches[0]
-    for b in branches[1:]:
-        rows = rows.unionByName(b)
-    # One shuffle by seed serves this step and the numbering that follows; a seed's
-    # queries are bounded by its column count.
-    rows = rows.repartition("seed_id")
-    text = F.lower(F.regexp_replace("query", r"^\s+|\s+$", ""))
-    keys = ["seed_id", "_text"] + (["target_connector"] if per_connector else [])
-    return top_k(rows.withColumn("_text", text), keys,
-                 [F.asc("branch"), F.asc("pos")], 1, "_rn").drop("_text", "_rn")
-
-
-def order_ids(rows: DataFrame) -> DataFrame:
-    """Number the queries of a seed by priority, then list order.
-
-    A seed's queries are bounded by its column count, so a seed fits one task.
+    bare = _each([*_topics(s), lambda c, t: wide], lambda concept, topic, src, pos: _item(
+        _words(topic, "country dataset open data"), "fallback_tier2_extended_sources", 5, 8, src["connector"], pos, 2,
+        concept=concept, topic=topic, source=src["source"]))
+    syn = _each([*_synonyms(s), lambda c, y: _sources(fv.EXTENDED_SOURCES[:3])], lambda column, other, src, pos: _item(
+        _words(other, "country open dataset"), "fallback_tier2_synonym_extended", 5, 9, src["connector"], pos, 2,
+        column=column, synonym=other))
+    ids = _each([lambda: _texts(s["identifiers"]), lambda i: wide], lambda identifier, src, pos: _item(
+        _words(_spaced(identifier), "cross-country open data"), "fallback_tier2_join_extended", 5, 10,
+        src["connector"], pos, 2, identifier=identifier))
+    return F.concat(bare, syn, ids)
+
+
+def union_dedupe(sig: DataFrame, *strategies, per_connector: bool = False) -> DataFrame:
+    """All lists of a seed, keeping the first query per text.
+
+    ``strategies``: functions from a signature to its list, such as ``direct_platform.items``, by priority and branch.
+    Signatures are shuffled, not queries: one row holds a seed's lists, which are bounded by its
+    column count, and only what is kept of them becomes rows.
     """
-    w = Window.partitionBy("seed_id").orderBy("priority", "branch", "pos")
-    return rows.withColumn("id", F.row_number().over(w))
+    return _exploded(_kept(sig, strategies, per_connector), "kept").drop("id")
+
+
+def _kept(sig: DataFrame, strategies, per_connector: bool = False) -> DataFrame:
+    """seed_id, kept: the queries of each seed by priority, then list order.
+
+    ``strategies`` come in order of their priority and branch.
+    """
+    names = [c for c in sig.columns if c in (*SIGNATURE, "relaxation_level")]
+    tasks = max(int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sig.count() // SEEDS))
+    seeds = sig.repartition(tasks, "seed_id").groupBy("seed_id").agg(F.collect_list(F.struct(*names)).alias("sigs"))
+    found = F.flatten(F.transform("sigs", lambda s: F.concat(*[f(s) for f in strategies])))
+    in_order = F.transform(F.sort_array(F.transform(found, lambda q: F.struct(
+        q["priority"].alias("priority"), q["branch"].alias("branch"), q["pos"].alias("pos"), q.alias("q")))), lambda e: e["q"])
+    found = F.when(F.size("sigs") > 1, in_order).otherwise(found)  # one signature's lists are in order as they are
+
+    def keyed(q: Column, i: Column) -> Column:
+        text = F.lower(F.regexp_replace(q["query"], r"^\s+|\s+$", ""))
+        connector = q["target_connector"] if per_connector else F.lit("")
+        return F.struct(text.alias("text"), connector.alias("connector"), q["branch"].alias("branch"), q["pos"].alias("pos"), i.alias("at"))
+
+    def first(rows: Column) -> Column:
+        def new(e: Column, i: Column) -> Column:
+            last = F.get(rows, i - 1)
+            same = last["e"]["text"].eqNullSafe(e["e"]["text"]) & last["e"]["connector"].eqNullSafe(e["e"]["connector"])
+            return (i == 0) | (last["h"] != e["h"]) | ~same
+        return F.filter(rows, new)
+
+    def once(queries: Column) -> Column:
+        hashed = F.transform(F.transform(queries, keyed), lambda e: F.struct(F.xxhash64(e["text"]).alias("h"), e.alias("e")))
+        places = F.sort_array(F.transform(let(F.sort_array(hashed), first), lambda e: e["e"]["at"]))
+        return F.transform(places, lambda at: F.get(queries, at))
+    return seeds.select("seed_id", let(found, once).alias("kept"))
+
+
+def order_ids(sig: DataFrame, *strategies) -> DataFrame:
+    """The kept queries of every seed, numbered by priority, then list order."""
+    return _exploded(_kept(sig, strategies), "kept")
 
 
 def generate(sig: DataFrame, years=fv.YEAR_RANGE) -> DataFrame:
-    return order_ids(union_dedupe(
-        direct_platform(sig, years), concept_source(sig, years), joinability(sig, years),
-        entity_sample(sig, years), augmentation(sig, years), synonym(sig, years)))
+    return order_ids(sig, *[lambda s, f=f: f.items(s, years) for f in (
+        direct_platform, concept_source, joinability, entity_sample, synonym, augmentation)])
 
 
 def feedback(tried: DataFrame, results: DataFrame) -> DataFrame:
     """Per seed: candidate counts, mean relevance and connectors without results.
 
-    ``tried``: seed_id, target_connector. ``results``: scored candidates.
+    ``tried``: seed_id, target_connector. ``results``: scored candidates. Every side holds rows
+    per seed, so none is sent through the driver, however small its files are.
     """
     found = results.groupBy("seed_id").agg(
         F.count(F.lit(1)).alias("total_candidates"),
         F.count_if(F.size("matched_join_fields") > 0).alias("joinable_count"),
         F.avg("relevance_score").alias("avg_relevance"))
     asked = tried.select("seed_id", F.col("target_connector").alias("connector")).distinct()
-    silent = asked.join(results.select("seed_id", "connector").distinct(),
+    silent = asked.join(results.select("seed_id", "connector").distinct().hint("merge"),
                         ["seed_id", "connector"], "left_anti")
     names = asked.groupBy("seed_id").agg(
         F.array_sort(F.collect_set("connector")).alias("connectors_tried"))
@@ -203,7 +266,7 @@ def feedback(tried: DataFrame, results: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("connector")).alias("failed_connectors"))
     none = F.array().cast("array<string>")
     return (
-        names.join(found, "seed_id", "left").join(failed, "seed_id", "left")
+        names.join(found.hint("merge"), "seed_id", "left").join(failed.hint("merge"), "seed_id", "left")
         .select("seed_id",
                 F.coalesce("total_candidates", F.lit(0)).alias("total_candidates"),
                 F.coalesce("joinable_count", F.lit(0)).alias("joinable_count"),
@@ -232,9 +295,11 @@ def sufficiency(fb: DataFrame) -> DataFrame:
 
 def fallback(sig: DataFrame, suff: DataFrame) -> DataFrame:
     """Relaxed queries: none at level 0, tier 1 at level 1, both tiers at level 2."""
-    levels = sig.join(suff.select("seed_id", "relaxation_level"), "seed_id")
-    mild, strong = levels.filter("relaxation_level >= 1"), levels.filter("relaxation_level >= 2")
-    return order_ids(union_dedupe(tier1_topics(mild), tier1_join(mild), tier2(strong)))
+    levels = sig.join(suff.select("seed_id", "relaxation_level").hint("merge"), "seed_id").filter("relaxation_level >= 1")
+
+    def strong(s):
+        return tier2.items({c: F.when(s["relaxation_level"] >= 2, s[c]) for c in SIGNATURE})
+    return order_ids(cut(levels.select("seed_id", *SIGNATURE, "relaxation_level"), "levels"), tier1_topics.items, tier1_join.items, strong)
 
 
 def summary(queries: DataFrame) -> DataFrame:

@@ -103,8 +103,7 @@ for _key, (_fn, _sql) in BRANCHES.items():
 
 
 def _normal(spark, sf):
-    sig = signatures(spark, sf)
-    return qg.union_dedupe(*[BRANCHES[n][0](sig) for n in NORMAL])
+    return qg.union_dedupe(signatures(spark, sf), *[BRANCHES[n][0].items for n in NORMAL])
 
 
 def _generated(spark, sf):
