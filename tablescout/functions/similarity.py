@@ -42,6 +42,14 @@ def ratio(a: set[str], b: set[str]) -> float:
     return 100.0 * best
 
 
+def text_ratio(a: str | None, b: str | None) -> float | None:
+    """Ratio of two texts; of an absent text it is unknown, unless the other one is without words."""
+    if a is None or b is None:
+        known = b if a is None else a
+        return 0.0 if known is not None and not known.split() else None
+    return ratio(set(a.split()), set(b.split()))
+
+
 def best_names(names: pd.Series, options: pd.Series, threshold: float) -> pd.DataFrame:
     """Per name the place and score of its best option, the earliest among equals.
 

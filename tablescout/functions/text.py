@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablescout.functions.similarity import text_ratio
+
 # Every character that Python's str.split() treats as a blank.
 BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
@@ -70,60 +73,11 @@ def token_overlap(query: Column, text: Column) -> Column:
         F.round(F.size(F.array_intersect(q, slug_tokens(text))) / F.size(q), 4)))
 
 
-def _common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, for names and short labels."""
-    letters = F.filter(F.split(b, ""), lambda x: x != "")
-
-    def next_row(row, ch):
-        def cell(done, j):
-            up, left = F.get(row, j + 1), F.element_at(done, -1)
-            hit = F.get(row, j) + 1
-            return F.concat(done, F.array(
-                F.when(F.get(letters, j) == ch, hit).otherwise(F.greatest(up, left))))
-
-        cols = F.when(F.size(letters) > 0, F.sequence(F.lit(0), F.size(letters) - 1)).otherwise(
-            F.array().cast("array<int>"))
-        return F.aggregate(cols, F.array(F.lit(0)), cell)
-
-    start = F.array_repeat(F.lit(0), F.size(letters) + 1)
-    chars = F.filter(F.split(a, ""), lambda x: x != "")
-    return F.element_at(F.aggregate(chars, start, next_row), -1)
-
-
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Similarity 0..100 of two texts seen as token sets."""
 
-    def words(text):
-        return F.array_distinct(F.filter(F.split(text, BLANKS), lambda w: w != ""))
-
-    parts = F.struct(words(a).alias("a"), words(b).alias("b"))
-
-    def split_parts(p):
-        def joined(arr):
-            return F.array_join(F.array_sort(arr), " ")
-
-        both = F.array_intersect(p["a"], p["b"])
-        return F.struct(
-            F.size(p["a"]).alias("na"), F.size(p["b"]).alias("nb"),
-            F.size(both).alias("nboth"),
-            F.length(joined(both)).alias("sect"),
-            joined(F.array_except(p["a"], p["b"])).alias("ab"),
-            joined(F.array_except(p["b"], p["a"])).alias("ba"),
-        )
-
-    def score(p):
-        gap = F.when(p["sect"] > 0, 1).otherwise(0)
-        len_ab, len_ba = F.length(p["ab"]), F.length(p["ba"])
-        total = 2 * (p["sect"] + gap) + len_ab + len_ba
-        dist = len_ab + len_ba - 2 * _common_subsequence(p["ab"], p["ba"])
-        base = 100.0 * (1 - dist / total)
-        with_ab = 100.0 * (1 - (gap + len_ab) / (2 * p["sect"] + gap + len_ab))
-        with_ba = 100.0 * (1 - (gap + len_ba) / (2 * p["sect"] + gap + len_ba))
-        return (
-            F.when((p["na"] == 0) | (p["nb"] == 0), F.lit(0.0))
-            .when((p["nboth"] > 0) & ((len_ab == 0) | (len_ba == 0)), F.lit(100.0))
-            .when(p["sect"] == 0, base)
-            .otherwise(F.greatest(base, with_ab, with_ba))
-        )
-
-    return let(let(parts, split_parts), score)
+    @F.pandas_udf("double")
+    def score(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([text_ratio(x, y) for x, y in zip(left, right)], dtype="float64")
+
+    return score(a, b)

@@ -67,3 +67,13 @@ def test_codes_are_no_numbers(spark):
     rows = [(x,) for x in ("10D", "1e1", "5f", "007", "10", "10.0", "-0.50", "1.0E10")]
     got = [r[0] for r in spark.createDataFrame(rows, "v string").select(tx.number_text(F.col("v"))).collect()]
     assert got == ["10D", "1e1", "5f", "007", "10", "10", "-0.5", "10000000000"]
+
+
+def test_ratio_is_one_step_in_a_worker(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [("gdp usd", None), ("", None), (None, None), ("gdp\x1cusd", "usd gdp"), (long, long + " x"), (long, long.replace("7", "8"))]
+    got = spark.createDataFrame(rows, "a string, b string").withColumn("s", tx.token_set_ratio(F.col("a"), F.col("b")))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()  # no table of letters in an expression
+    s = [r["s"] for r in got.collect()]
+    assert s[:5] == [None, 0.0, None, 100.0, 100.0]
+    assert s[5] == pytest.approx(ratio(long, long.replace("7", "8")), abs=1e-6)
