@@ -146,7 +146,9 @@ def first_owner(attributes: DataFrame) -> DataFrame:
     Of a name the smallest rank survives, unless an earlier survivor's ``__source`` column has
     that name. The latter's name is the former's without its last word, so names are settled
     by their number of such words, a join per number, and no seed's columns meet in one row.
+    The attributes are held as a table, as they are read for the names and for the result.
     """
+    attributes = cut(attributes, "attributes")
     tail = F.regexp_extract(F.concat(F.lit(" "), F.col("norm")), r"((?: source)+)$", 1)
     names = attributes.groupBy("seed_id", "norm").agg(F.min("rank").alias("rank")).withColumn(
         "depth", (F.length(tail) / len(" source")).cast("int")).withColumn(

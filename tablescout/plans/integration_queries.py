@@ -112,7 +112,8 @@ def _lines(s, sf):
 
 
 def _cand_cols(s, sf):
-    return _lines(s, sf).groupBy("seed_id", "dataset_id", "col").agg(F.min("l_linenumber").alias("cand_pos"))
+    """The candidate columns as the table that opening the candidates leaves behind; several steps read it."""
+    return cut(_lines(s, sf).groupBy("seed_id", "dataset_id", "col").agg(F.min("l_linenumber").alias("cand_pos")), "cand-cols")
 
 
 def _cand_pos(df):
@@ -131,12 +132,12 @@ def _priority(s, sf):
     return sig.select("seed_id", ma.priority_keys(F.col("identifiers"), years, ents).alias("columns"))
 
 
-def _mapping(s, sf):
-    return ma.match_columns(_seed_cols(s, sf), _cand_pos(_cand_cols(s, sf)))
+def _mapping(s, sf, cols=None):
+    return ma.match_columns(_seed_cols(s, sf), _cand_pos(cols if cols is not None else _cand_cols(s, sf)))
 
 
-def _pairs(s, sf):
-    return ma.match_columns(_priority(s, sf), _cand_pos(_cand_cols(s, sf))).select(
+def _pairs(s, sf, cols=None):
+    return ma.match_columns(_priority(s, sf), _cand_pos(cols if cols is not None else _cand_cols(s, sf))).select(
         "seed_id", "dataset_id", "col", "seed_col")
 
 
@@ -147,25 +148,26 @@ def _seed_values(s, sf):
         F.col("o_custkey").alias("seed_id"), name.alias("seed_col"), F.col("o_orderpriority").alias("value"))
 
 
-def _overlaps(s, sf):
-    return ma.value_overlap(_pairs(s, sf), _seed_values(s, sf), _lines(s, sf).select("dataset_id", "col", "value"))
+def _overlaps(s, sf, cols=None):
+    return ma.value_overlap(cut(_pairs(s, sf, cols), "pairs"), _seed_values(s, sf), _lines(s, sf).select("dataset_id", "col", "value"))
 
 
-def _keys(s, sf):
+def _keys(s, sf, cols=None):
     """The key verdicts as the table that planning leaves behind."""
-    return cut(ma.join_keys(_overlaps(s, sf)), "keys")
+    return cut(ma.join_keys(_overlaps(s, sf, cols)), "keys")
 
 
-def _new(s, sf, keys=None):
-    cols = _cand_pos(_cand_cols(s, sf))
-    keys = keys if keys is not None else _keys(s, sf)
-    return ma.new_attributes(cols, keys.filter("is_key"), _mapping(s, sf), _seed_cols(s, sf))
+def _new(s, sf, keys=None, cols=None):
+    cols = cols if cols is not None else _cand_cols(s, sf)
+    keys = keys if keys is not None else _keys(s, sf, cols)
+    return ma.new_attributes(_cand_pos(cols), keys.filter("is_key"), _mapping(s, sf, cols), _seed_cols(s, sf))
 
 
-def _owned(s, sf, keys=None):
-    keys = keys if keys is not None else _keys(s, sf)
+def _owned(s, sf, keys=None, cols=None):
+    cols = cols if cols is not None else _cand_cols(s, sf)
+    keys = keys if keys is not None else _keys(s, sf, cols)
     keyed = keys.filter("is_key").select("seed_id", "dataset_id").distinct()
-    return ma.first_owner(_new(s, sf, keys).join(keyed, ["seed_id", "dataset_id"], "left_semi").withColumn(
+    return ma.first_owner(_new(s, sf, keys, cols).join(keyed, ["seed_id", "dataset_id"], "left_semi").withColumn(
         "rank", F.col("dataset_id")))
 
 
@@ -173,8 +175,9 @@ def _statuses(s, sf):
     cands = table(s, sf, "orders").selectExpr(
         "o_custkey AS seed_id", "o_orderkey AS dataset_id", "o_orderkey % 6 AS n_urls",
         "CASE WHEN o_orderstatus <> 'P' THEN concat('http://example.org/', o_orderkey, '.csv') END AS usable_url")
-    keys = _keys(s, sf)
-    return ma.statuses(cands, keys, _owned(s, sf, keys))
+    cols = _cand_cols(s, sf)
+    keys = _keys(s, sf, cols)
+    return ma.statuses(cands, keys, _owned(s, sf, keys, cols))
 
 
 _CN_SQL = f"list_extract({lits(CAND_NAMES)}, (l_partkey % {len(CAND_NAMES)} + 1)::INT)"

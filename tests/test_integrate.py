@@ -128,3 +128,16 @@ def test_keys_join_in_the_form_they_are_checked_in(spark):
     cand = spark.createDataFrame([("2020.0", True, "x"), ("2021", False, "y")], "k string, f boolean, v string")
     plan = it.JoinPlan("d", [("k", "code"), ("f", "flag")], ["v"], "http://p")
     assert [(r["id"], r["v"]) for r in it.join_candidate(seed, cand, plan).orderBy("id").collect()] == [(1, "x"), (2, "y")]
+
+
+def test_lines_are_joined_once_for_all_steps(spark, monkeypatch, tmp_path):
+    from tablescout.plans import integration_queries as iq
+    spark.createDataFrame([(k, k % 3, "O", "1-URGENT") for k in range(40)],
+                          "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, n, 7 * k + n, "A") for k in range(40) for n in range(1, 5)],
+                          "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    times = []
+    made = iq._cand_cols
+    monkeypatch.setattr(iq, "_cand_cols", lambda s, sf: times.append(1) or made(s, sf))
+    assert iq._statuses(spark, str(tmp_path)).count() == 40
+    assert len(times) == 1
