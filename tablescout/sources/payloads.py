@@ -92,21 +92,31 @@ def errors(landed: DataFrame, connector: str, once_per_source: bool = False) ->
     return bad
 
 
-def _listed(text: Column) -> Column:
-    """The items of a JSON list; null if it is none or empty."""
-    items = F.when(F.startswith(text, F.lit("[")), F.from_json(text, STRINGS))
-    return F.when(F.size(items) > 0, items)
+def _list_texts(text: Column) -> Column:
+    """The items of a JSON list; null if it is none."""
+    return F.when(F.startswith(text, F.lit("[")), F.from_json(text, STRINGS))
+
+
+def _placed(rows: DataFrame, *columns: Column, texts: str, at: str) -> DataFrame:
+    """A row for each of ``texts``, its place in ``at`` and its JSON in ``_item``.
+
+    Spark would repeat the parse of the whole answer in a filter on its size before a plain explode.
+    """
+    return rows.select(*columns, F.posexplode_outer(texts).alias(at, "_item")).filter(F.col(at).isNotNull())
 
 
 def _items(landed: DataFrame, path: list[str], schema: str, limit: int | None) -> DataFrame:
-    """The first ``limit`` items of each good answer, parsed, with their 1-based place."""
-    place = F.col("_top")
+    """The first ``limit`` items of each good answer, parsed, with their 1-based place.
+
+    Each level is a column of its own, so that it is parsed once however often it is named.
+    """
+    rows = answer(landed)
     for name in path[:-1]:
-        place = F.from_json(place[name], MEMBERS)
-    texts = _listed(place[path[-1]])
-    rows = answer(landed).withColumn("_texts", F.slice(texts, 1, limit) if limit else texts).select(
-        "query_id", "query", F.col("source_name").alias("_source"), F.col("source_url").alias("_url"),
-        F.posexplode("_texts").alias("_at", "_item"))
+        rows = rows.withColumn("_top", F.from_json(F.col("_top")[name], MEMBERS))
+    rows = rows.withColumn("_list", F.col("_top")[path[-1]]).withColumn("_texts", _list_texts(F.col("_list")))
+    rows = _placed(
+        rows.withColumn("_texts", F.slice("_texts", 1, limit)) if limit else rows, F.col("query_id"), F.col("query"),
+        F.col("source_name").alias("_source"), F.col("source_url").alias("_url"), texts="_texts", at="_at")
     return rows.withColumn("pos", F.col("_at") + 1).withColumn("i", F.from_json("_item", schema))
 
 
@@ -143,9 +153,11 @@ def dcat_entries(landed: DataFrame) -> DataFrame:
     ``landed``: catalog_pos, source_name, source_url, status, error, body.
     """
     top = F.col("_top")
-    d = answer(landed).select(
-        "catalog_pos", F.col("source_name").alias("_source"), F.col("source_url").alias("_url"),
-        F.posexplode(F.coalesce(_listed(top["dataset"]), _listed(top["datasets"]))).alias("entry_pos", "_item"))
+    d = answer(landed).withColumn("_first", top["dataset"]).withColumn("_second", top["datasets"]).withColumn(
+        "_first", _list_texts(F.col("_first"))).withColumn(
+        "_texts", F.when(F.size("_first") > 0, F.col("_first")).otherwise(_list_texts(F.col("_second"))))
+    d = _placed(d, F.col("catalog_pos"), F.col("source_name").alias("_source"), F.col("source_url").alias("_url"),
+                texts="_texts", at="entry_pos")
     d = d.withColumn("i", F.from_json("_item", (
         "title string, description string, keyword string, identifier string, `@id` string, "
         "landingPage string, accessURL string, distribution string, dataDictionary string, "
@@ -153,10 +165,12 @@ def dcat_entries(landed: DataFrame) -> DataFrame:
 
     def members(text, *names):
         objects = F.filter(json_list(text), lambda o: F.startswith(o, F.lit("{")))
-        return some(F.transform(objects, lambda o: either(*[F.get_json_object(o, f"$.{n}") for n in names])))
+        # ``either`` would name, and so read, each member twice
+        return some(F.transform(objects, lambda o: F.get(some(F.array(*[F.get_json_object(o, f"$.{n}") for n in names])), F.lit(0))))
 
-    title, desc = flat_text(F.col("i.title")), flat_text(F.col("i.description"))
-    words = some(json_list(F.col("i.keyword")))
+    d = d.withColumns({"_title": flat_text(F.col("i.title")), "_desc": flat_text(F.col("i.description")),
+                       "_words": some(json_list(F.col("i.keyword")))})
+    title, desc, words = F.col("_title"), F.col("_desc"), F.col("_words")
     return d.select(
         "catalog_pos", "entry_pos", F.concat_ws("#", "_url", "entry_pos").alias("entry_id"),
         F.lit("DCAT").alias("connector"), F.col("_source").alias("source_name"),

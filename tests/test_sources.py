@@ -275,3 +275,27 @@ def test_json_columns_keep_their_order(spark, tmp_path):
     df = tb.read_json(spark, str(tmp_path / "a.json"), position="p")
     assert df.columns == ["z", "b", "a", "p"]
     assert [r["z"] for r in df.orderBy("p").collect()] == [1, 2]
+
+
+ANSWERS = "query_id int, query string, source_name string, source_url string, status int, error string, body string"
+
+
+def test_each_level_of_an_answer_is_parsed_once(spark):
+    bodies = ['{"result": {"results": [null, {"id": "a"}, {"id": "b"}]}}', '{"result": {"results": []}}', '{"result": {"results": {}}}', "no"]
+    landed = spark.createDataFrame([(i, "q", "P", "u", 200, None, b) for i, b in enumerate(bodies)], ANSWERS)
+    # the checkpoint keeps the rows from being folded into the plan
+    landed = landed.localCheckpoint()
+    found = pl.ckan(landed, 2).select("query_id", "pos", "dataset_id")
+    assert sorted(map(tuple, found.collect())) == [(0, 1, None), (0, 2, "a")]
+    for df, levels in ((pl.ckan(landed), 2), (pl.datacite(landed), 1), (pl.dcat_entries(landed.withColumnRenamed("query_id", "catalog_pos")), 1)):
+        plan = df.select("source_url", *[c for c in ("pos", "entry_pos") if c in df.columns])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(MapType") == levels, plan
+
+
+def test_answers_are_made_by_many_tasks(spark, tmp_path):
+    from tablescout.plans import source_queries as sq
+
+    spark.range(9000).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size").coalesce(1).write.parquet(
+        f"{tmp_path}/part.parquet")
+    landed = sq._answers(spark, str(tmp_path), sq.CKAN_ITEM, sq._CKAN_WRAP)
+    assert len(landed.inputFiles()) == 3 and landed.count() == 9000
