@@ -15,20 +15,22 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.llm.pretokens import Interner
 from tablescout.llm.texts import mix, pieces, shared
+from tablescout.operators.order import exact_quantiles
 from tablescout.session import cut
 
 ORDER = 4
 MODEL_BYTES = 256 << 20
 FLUSH = 1 << 20  # distinct n-grams a task gathers per language before it hands them on
 KNOWN = 1 << 20  # n-grams whose probabilities a task keeps before it starts anew
-CALIBRATION_ROWS = 1000  # labelled training rows per language that fit the score and the rejection
-MARGIN = 1.0  # nats per character above the calibration rows at which a text is rejected
+SHARPNESS = (1, 2, 4, 8, 16, 32, 64)  # candidates for the exponent of the score
+QUANTILE = 0.999  # of the training rows recognised as their own language
+MARGIN = 1.0  # nats per character above that quantile at which a text is rejected
 
 
 class Reader:
@@ -228,30 +230,22 @@ def losses(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_scorer(shared(rows.sparkSession, model)), schema)
 
 
-def calibrate(rows: DataFrame, model: Model) -> tuple[float, list[float]]:
-    """Sharpness of the score and the rejection bound of each language.
+def _likelihood(sharp: float) -> Column:
+    return F.aggregate(F.transform("loss", lambda x: F.exp(F.lit(float(sharp)) * (F.array_min("loss") - x))), F.lit(0.0), lambda a, b: a + b)
 
-    Fitted on the ``CALIBRATION_ROWS`` rows per language with the smallest id hashes.
-    """
-    few = [rows.filter(F.col("lang") == x).select("lang", "text", F.xxhash64("doc_id").alias("x")).orderBy("x", "text").limit(CALIBRATION_ROWS)
-           for x in model.langs]
-    sample = few[0]
-    for x in few[1:]:
-        sample = sample.union(x)
-    got = losses(sample.select(F.struct("lang").alias("row"), "text"), model).filter("letters > 0").collect()
-    truth = np.array([model.langs.index(r["row"]["lang"]) for r in got], int)
-    loss = np.array([r["loss"] for r in got]).reshape(-1, len(model.langs))
-    best, sharp = np.inf, 1.0
-    for beta in (1, 2, 4, 8, 16, 32, 64):
-        z = -beta * (loss - loss.min(axis=1, keepdims=True))
-        nll = -np.mean(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))) if len(z) else 0
-        if nll < best:
-            best, sharp = nll, float(beta)
-    bound = []
-    for i in range(len(model.langs)):
-        own = loss[(truth == i) & (loss.argmin(axis=1) == i), i]
-        bound.append(float(np.quantile(own, 0.999) + MARGIN) if len(own) else np.inf)
-    return sharp, bound
+
+def calibrate(rows: DataFrame, model: Model) -> tuple[float, list[float]]:
+    """Sharpness of the score and the rejection bound of each language, fitted on all training rows."""
+    truth = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("row.lang")).cast("int")
+    got = cut(losses(rows.select(F.struct("lang").alias("row"), "text"), model).filter("letters > 0").select(
+        truth.alias("truth"), "loss"), "losses")
+    own = F.element_at("loss", F.col("truth")) - F.array_min("loss")
+    fit = got.agg(*[F.avg(b * own + F.log(_likelihood(b))).alias(f"b{b}") for b in SHARPNESS]).head()
+    sharp = min(SHARPNESS, key=lambda b: np.inf if fit[f"b{b}"] is None else fit[f"b{b}"])
+    right = got.filter(F.array_position("loss", F.array_min("loss")) == F.col("truth")).groupBy(
+        "truth", F.array_min("loss").alias("value")).agg(F.count("*").alias("n"))
+    top = {r["truth"]: r["q"] for r in exact_quantiles(right, "truth", "value", "n", [QUANTILE]).collect()}
+    return float(sharp), [top[i] + MARGIN if i in top else np.inf for i in range(1, len(model.langs) + 1)]
 
 
 def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -276,12 +270,11 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     row = F.struct(*[docs[c] for c in names])
     out = losses(docs.select(row.alias("row"), docs["text"].cast("string").alias("text")), model)
     best = F.array_position("loss", F.array_min("loss")).cast("int")
-    total = F.aggregate(F.transform("loss", lambda x: F.exp(F.lit(sharp) * (F.array_min("loss") - x))), F.lit(0.0), lambda a, b: a + b)
     known = F.col("letters") > 0
     over = F.array_min("loss") > F.element_at(F.array(*[F.lit(b) for b in bound]), best)
     return out.select(
         "row.*", F.when(known, F.element_at(F.array(*[F.lit(x) for x in model.langs]), best)).otherwise("und").alias("lang_pred"),
-        F.when(known, 1 / total).otherwise(0.0).alias("score"), (~known | over).alias("rejected"), "loss")
+        F.when(known, 1 / _likelihood(sharp)).otherwise(0.0).alias("score"), (~known | over).alias("rejected"), "loss")
 
 
 def recognised(docs: DataFrame, training: DataFrame) -> DataFrame:
