@@ -40,7 +40,7 @@ def landed_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataF
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    return files.mapInPandas(unpacked, "url string, member string, content binary, error string")
+    return files.mapInArrow(unpacked, "url string, member string, content binary, error string")
 
 
 def charset(content: Column) -> Column:

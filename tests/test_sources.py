@@ -299,3 +299,18 @@ def test_answers_are_made_by_many_tasks(spark, tmp_path):
         f"{tmp_path}/part.parquet")
     landed = sq._answers(spark, str(tmp_path), sq.CKAN_ITEM, sq._CKAN_WRAP)
     assert len(landed.inputFiles()) == 3 and landed.count() == 9000
+
+
+def test_archives_are_handed_on_in_frames_of_bounded_size():
+    import pyarrow as pa
+
+    from tablescout.plans.source_queries import packed
+
+    body = "a,b\n" + "1,2\n" * 250_000
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(12)), "url": ["http://h/t.zip", "http://h/t.csv.gz"] * 6, "body": [body] * 12})
+    files = list(packed([texts]))
+    assert sum(f.num_rows for f in files) == 12 and max(f.nbytes for f in files) < fi.FRAME_BYTES + 2 * len(body)
+    found = list(fi.unpacked(files))
+    assert sum(f.num_rows for f in found) == 12 and max(f.nbytes for f in found) < fi.FRAME_BYTES + 2 * len(body)
+    assert {(m, len(c), e) for f in found for m, c, e in zip(*(f.column(n).to_pylist() for n in ("member", "content", "error")))} == {
+        ("data/a.csv", len(body), ""), ("http://h/t.csv", len(body), "")}
