@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.pretokens import Interner, Splitter, text_of
+from tablescout.llm.pretokens import Interner, Splitter, texts_of
 from tablescout.llm.texts import pieces, shared
 from tablescout.session import cut
 
@@ -47,13 +48,12 @@ class Encoder:
         codes, start, end, value, first = self.splitter.split(parts)
         number, fresh = self.seen.number(value)
         if len(fresh):
-            got = self.splitter.tokenizer.encode_batch_fast(
-                [text_of(codes, start[i], end[i]) for i in fresh], add_special_tokens=False)
+            got = self.splitter.tokenizer.encode_batch_fast(texts_of(codes, start[fresh], end[fresh]), add_special_tokens=False)
             ids = [e.ids for e in got]
-            size = np.array([len(x) for x in ids], np.int64)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.length = np.concatenate([self.length, size])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
         size = self.length[number]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0

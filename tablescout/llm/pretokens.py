@@ -8,6 +8,7 @@ places of all pre-tokens of a piece of text then follow from array operations.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -18,11 +19,16 @@ SPACE, LETTER, DIGIT, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
 
 class Splitter:
-    """Splits texts the way one tokenizer file does."""
+    """Splits texts the way one tokenizer file does.
+
+    Broadcast, a Python worker opens the file once and keeps what it learned from task to task.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -33,6 +39,9 @@ class Splitter:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
 
+    def __reduce__(self):
+        return Splitter, (self.path,)
+
     def _learn(self, codes: np.ndarray) -> None:
         for code in codes:
             c = chr(code)
@@ -125,8 +134,10 @@ def spelled(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
 
 
-def text_of(codes: np.ndarray, start: int, end: int) -> str:
-    return codes[start:end].tobytes().decode("utf-32-le")
+def texts_of(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The texts of many spans, all code points decoded at once."""
+    whole = codes.tobytes().decode("utf-32-le")
+    return [whole[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
 class Numbers(dict):

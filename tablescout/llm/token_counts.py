@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.pretokens import Interner, Splitter, text_of
+from tablescout.llm.pretokens import Interner, Splitter, texts_of
 from tablescout.llm.texts import KeyTable, list_column, pieces, signed
 from tablescout.session import cut
 
@@ -32,7 +32,7 @@ def _vocabulary(path: str):
                 parts, _, _ = splitter.segments(part.column("text").to_pylist())
                 codes, start, end, value, _ = splitter.split(parts)
                 number, fresh = seen.number(value)
-                words.append(pa.array([text_of(codes, start[i], end[i]) for i in fresh], pa.string()))
+                words.append(pa.array(texts_of(codes, start[fresh], end[fresh]), pa.string()))
                 count = np.concatenate([count, np.zeros(len(seen) - len(count), np.int64)])
                 count += np.bincount(number, minlength=len(count))
                 if len(seen) > FLUSH:

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -57,3 +58,14 @@ def test_differencing():
     load = np.bincount(window, sizes)
     assert load.max() <= 1024 and load.sum() >= 0.99 * 1024 * len(load)
     assert len(set(windows_of(np.full(5, 1000), 1024))) == 5
+
+
+def test_words_are_encoded_without_threads_and_decoded_at_once(monkeypatch):
+    from tablescout.llm import pretokens as pt
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    splitter = pt.Splitter(PATH)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    codes, start, end, _, _ = splitter.split(["naïve 日本 😀 it's", " two  words"])
+    assert pt.texts_of(codes, start, end) == ["naïve", " 日本", " 😀", " it", "'s", " two", " ", " words"]
+    assert pt.texts_of(codes, start[:0], end[:0]) == [] and np.all(end > start)
