@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.pretokens import Interner, Splitter, texts_of
-from tablescout.llm.texts import KeyTable, list_column, pieces, signed
+from tablescout.llm.texts import KeyTable, list_column, pieces, shared, signed
 from tablescout.session import cut
 
 HEAD = 1 << 18  # most frequent pre-tokens that every task holds: 12 bytes each, 3 MB
-PIECE = 1 << 20  # text bytes handled at once
+PIECE = 1 << 18  # text bytes handled at once
 FLUSH = 1 << 19  # distinct pre-tokens a task gathers before it hands them on
 
 
-def _vocabulary(path: str):
+def _vocabulary(splitter_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen, words, count = Splitter(path), Interner(), [], np.zeros(0, np.int64)  # words: Arrow arrays, a few bytes a word
+        splitter, seen, words, count = splitter_of(), Interner(), [], np.zeros(0, np.int64)  # words: Arrow arrays, a few bytes a word
 
         def handed():
             return pa.RecordBatch.from_arrays(
@@ -43,9 +43,9 @@ def _vocabulary(path: str):
     return run
 
 
-def _piece_counter(path: str):
+def _piece_counter(splitter_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Splitter(path).tokenizer
+        tokenizer = splitter_of().tokenizer
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -55,10 +55,9 @@ def _piece_counter(path: str):
     return run
 
 
-def _frequencies(path: str, shared):
+def _frequencies(splitter_of, head_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys, head_pieces = shared.value
-        splitter, head = Splitter(path), KeyTable(head_keys.view(np.uint64))
+        splitter, (head, head_pieces) = splitter_of(), head_of()
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 texts = part.column("text").to_pylist()
@@ -96,15 +95,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     counted each on their own; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    splitter = shared(spark, Splitter(path))
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = (texts.mapInArrow(_vocabulary(path), "h long, word string, n long")
+    words = (texts.mapInArrow(_vocabulary(splitter), "h long, word string, n long")
              .groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n")))
-    counted = cut(words.mapInArrow(_piece_counter(path), "h long, n long, pieces int"), "pieces")
+    counted = cut(words.mapInArrow(_piece_counter(splitter), "h long, n long, pieces int"), "pieces")
     top = counted.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "pieces").toArrow()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    head = KeyTable(top.column("h").to_numpy().view(np.uint64)), top.column("pieces").to_numpy().astype(np.int64)
     found = rows.mapInArrow(
-        _frequencies(path, spark.sparkContext.broadcast((top.column("h").to_numpy(), top.column("pieces").to_numpy().astype(np.int64)))),
+        _frequencies(splitter, shared(spark, head)),
         "row long, doc_id long, n_bytes long, head long, tail array<long>, times array<int>")
     found = cut(found, "frequencies")
     rare = (found.filter("size(tail) > 0").select("row", F.explode(F.arrays_zip("tail", "times")).alias("t"))

@@ -69,3 +69,21 @@ def test_words_are_encoded_without_threads_and_decoded_at_once(monkeypatch):
     codes, start, end, _, _ = splitter.split(["naïve 日本 😀 it's", " two  words"])
     assert pt.texts_of(codes, start, end) == ["naïve", " 日本", " 😀", " it", "'s", " two", " ", " words"]
     assert pt.texts_of(codes, start[:0], end[:0]) == [] and np.all(end > start)
+
+
+def test_tasks_hold_little_text_at_once_and_open_the_tokenizer_once(monkeypatch):
+    import pyarrow as pa
+
+    from tablescout.llm import pretokens as pt
+    from tablescout.llm import token_counts as tc
+    from tablescout.llm.texts import KeyTable
+
+    sizes, splitter = [], pt.Splitter(PATH)
+    split = splitter.split
+    monkeypatch.setattr(splitter, "split", lambda parts: sizes.append(sum(map(len, parts))) or split(parts))
+    text = "some plain words " * 1000
+    batch = pa.RecordBatch.from_pydict({"row": list(range(60)), "doc_id": list(range(60)), "text": [text] * 60})
+    assert sum(b.num_rows for b in tc._vocabulary(lambda: splitter)([batch])) == 5
+    head = KeyTable(np.zeros(0, np.uint64)), np.zeros(0, np.int64)
+    assert sum(b.num_rows for b in tc._frequencies(lambda: splitter, lambda: head)([batch])) == 60
+    assert sum(sizes) == 120 * len(text) and max(sizes) <= 1 << 18
