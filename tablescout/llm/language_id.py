@@ -26,6 +26,7 @@ from tablescout.session import cut
 
 ORDER = 4
 MODEL_BYTES = 256 << 20
+PIECE = 1 << 18  # text bytes handled at once: some 60 bytes a character are held for them
 FLUSH = 1 << 20  # distinct n-grams a task gathers per language before it hands them on
 KNOWN = 1 << 20  # n-grams whose probabilities a task keeps before it starts anew
 SHARPNESS = (1, 2, 4, 8, 16, 32, 64)  # candidates for the exponent of the score
@@ -86,7 +87,7 @@ def _counter():
                 [pa.array([lang] * len(seen), pa.string()), pa.array(seen.keys.view(np.int64)), pa.array(count)], names=["lang", "g", "n"])
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 gram, row, _ = reader.grams(part.column("text").to_pylist())
                 langs = pc.dictionary_encode(part.column("lang"))
                 which = langs.indices.to_numpy()[row]
@@ -208,7 +209,7 @@ def _scorer(model_of):
         model, reader = model_of(), Reader()
         seen, known = Interner(), np.zeros((0, len(model.langs)), np.float32)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 if len(seen) > KNOWN:
                     seen, known = Interner(), known[:0]
                 gram, row, letters = reader.grams(part.column("text").to_pylist())

@@ -24,3 +24,14 @@ def test_all_training_rows_calibrate(spark):
     for i in range(2):
         own = loss[(truth == i) & (loss.argmin(axis=1) == i), i]
         assert len(own) > 1000 and np.isclose(bound[i], np.quantile(own, 0.999) + li.MARGIN, rtol=0, atol=1e-9)
+
+
+def test_tasks_hold_little_text_at_once(monkeypatch):
+    import pyarrow as pa
+
+    sizes, grams = [], li.Reader.grams
+    monkeypatch.setattr(li.Reader, "grams", lambda self, texts: sizes.append(sum(map(len, texts))) or grams(self, texts))
+    text = "some plain words " * 1000
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 60, "text": [text] * 60})
+    assert sum(b.num_rows for b in li._counter()([batch])) > 0
+    assert sum(sizes) == 60 * len(text) and max(sizes) <= 1 << 18
