@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tablescout.operators import discovery as di
 from tablescout.operators.skew import salted_join
 from tablescout.session import cut
 
@@ -22,3 +23,19 @@ def test_salted_join_sends_nothing_through_the_driver(spark):
         assert not re.search("Broadcast", plan(got)), how
         kept = sum(1 for t, _ in rows if t is not None and int(t[1:]) < 5)
         assert got.count() == (len(rows) if how == "left" else kept)
+
+
+def test_search_and_scores_send_nothing_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(di, "cut", lambda df, label: (plans.append(plan(df)), cut(df, label))[1])
+    catalog = cut(spark.range(100).selectExpr(
+        "id AS entry_id", "0 AS catalog_pos", "id AS entry_pos", "concat('tok', id % 9, ' year') AS text", "concat('tok', id % 9) AS title",
+        "'d' AS description", "array('k') AS keywords", "array('year') AS field_names", "'s' AS source_name", "'d' AS dataset_id",
+        "'l' AS landing_page", "array('u') AS download_urls"), "catalog")
+    asked = cut(spark.range(10).selectExpr("id AS seed_id", "id AS query_id", "concat('tok', id, ' year') AS query"), "asked")
+    fields = cut(spark.range(10).selectExpr(
+        "id AS seed_id", "array('year') AS join_fields", "array('tok1') AS salient_columns", "2020 AS year_min", "2022 AS year_max"), "fields")
+    found = di.catalog_search(asked, catalog).drop("score")
+    scored = di.finalize(found, catalog.drop("text", "catalog_pos", "entry_pos"), fields)
+    assert not re.search("Broadcast", "".join([*plans, plan(scored)]))
+    assert scored.count() == found.count() > 10 and {tuple(r.matched_join_fields) for r in scored.collect()} == {("year",)}
