@@ -1,28 +1,30 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
 A page is read as a tree of token streams. The wrapper of a host is a union-free regular
-expression over such streams: sample pages are aligned one after another; equal siblings
-in a row become a repeated group, what one page lacks becomes optional, texts that differ
-become slots and texts that agree stay template. The wrapper names the part of the page
-that holds the article and the template texts in it; the slots of that part are the text.
+expression over such streams: the distinct shapes of all its pages are aligned one after
+another; equal siblings in a row become a repeated group, what one page lacks becomes optional.
+How many pages say a text in a group is counted: texts that differ become slots and texts that
+agree stay template. The wrapper names the part of the page that holds the article and the
+template texts in it; the slots of that part are the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.url_filters import parts
 from tablescout.session import cut
 
-SAMPLE = 12  # pages per host that a wrapper is inferred from
+BUCKETS = 256  # shares of a host's shapes that are aligned apart before the whole
 TEMPLATE_PAGES = 3  # pages that must agree on a text, and differ elsewhere, to make it template
 
 # fixed values: element names of the HTML standard by their role here
@@ -114,45 +116,44 @@ def squeeze(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def digest(text: str) -> int:
+    """64 bits that stand for a text."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Pattern:
-    """One group of a wrapper: an element with its inner groups and its text."""
+    """One group of a wrapper: an element with its inner groups and, for one page, its texts."""
 
-    __slots__ = ("key", "repeated", "optional", "inner", "texts", "pages")
+    __slots__ = ("key", "repeated", "optional", "inner", "texts")
 
-    def __init__(self, key: str):
-        self.key, self.repeated, self.optional, self.inner = key, False, False, []
-        self.texts, self.pages = {}, 0  # template candidates: text -> pages that have it
+    def __init__(self, key: str, repeated: bool = False, optional: bool = False):
+        self.key, self.repeated, self.optional, self.inner, self.texts = key, repeated, optional, [], set()
 
 
 def generalise(node: Node) -> Pattern:
     """A page as a pattern: equal neighbours in a row become one repeated group."""
     out = Pattern(node.key)
-    out.pages = 1
     for child in node.children:
         if isinstance(child, str):
             text = squeeze(child)
             if text:
-                out.texts[text] = 1
+                out.texts.add(text)
             continue
         if child.skip:
             continue
         own = generalise(child)
         if out.inner and out.inner[-1].key == own.key:
-            out.inner[-1] = merge(out.inner[-1], own, same_page=True)
+            out.inner[-1] = merge(out.inner[-1], own)
             out.inner[-1].repeated = True
         else:
             out.inner.append(own)
     return out
 
 
-def merge(a: Pattern, b: Pattern, same_page: bool = False) -> Pattern:
+def merge(a: Pattern, b: Pattern) -> Pattern:
     """The least union-free pattern of both: what one side lacks becomes optional."""
-    out = Pattern(a.key)
-    out.repeated, out.optional = a.repeated or b.repeated, a.optional or b.optional
-    out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    for text in {**a.texts, **b.texts}:
-        n, m = a.texts.get(text, 0), b.texts.get(text, 0)
-        out.texts[text] = max(n, m) if same_page else n + m
+    out = Pattern(a.key, a.repeated or b.repeated, a.optional or b.optional)
+    out.texts = a.texts | b.texts
     # longest common subsequence of the group keys
     n, m = len(a.inner), len(b.inner)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -162,7 +163,7 @@ def merge(a: Pattern, b: Pattern, same_page: bool = False) -> Pattern:
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a.inner[i].key == b.inner[j].key:
-            out.inner.append(merge(a.inner[i], b.inner[j], same_page))
+            out.inner.append(merge(a.inner[i], b.inner[j]))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.inner.append(a.inner[i])
@@ -174,7 +175,7 @@ def merge(a: Pattern, b: Pattern, same_page: bool = False) -> Pattern:
     folded = []
     for group in out.inner:
         if folded and folded[-1].key == group.key:
-            folded[-1] = merge(folded[-1], group, same_page=True)
+            folded[-1] = merge(folded[-1], group)
             folded[-1].repeated = True
         else:
             folded.append(group)
@@ -182,12 +183,58 @@ def merge(a: Pattern, b: Pattern, same_page: bool = False) -> Pattern:
     return out
 
 
-def _mass(pattern: Pattern) -> int:
-    """Characters of the slots in a group, without those in links."""
-    if pattern.key.split(".")[0] == "a":
-        return 0
-    own = sum(len(t) for t, n in pattern.texts.items() if n < TEMPLATE_PAGES)
-    return own + sum(map(_mass, pattern.inner))
+def _written(pattern: Pattern) -> str:
+    """A pattern without its texts: depth, key and marks of its groups, in page order."""
+    flat: list = []
+
+    def visit(at: Pattern, depth: int):
+        flat.append((depth, at.key, at.repeated + 2 * at.optional))
+        for group in at.inner:
+            visit(group, depth + 1)
+
+    visit(pattern, 0)
+    return json.dumps(flat)
+
+
+def _read(shape: str) -> Pattern:
+    way: list[Pattern] = []
+    for depth, key, marks in json.loads(shape):
+        group = Pattern(key, bool(marks & 1), bool(marks & 2))
+        del way[depth:]
+        if way:
+            way[-1].inner.append(group)
+        way.append(group)
+    return way[0]
+
+
+def _aligned(shapes: list[str]) -> Pattern:
+    """The pattern of all shapes, aligned in their order."""
+    whole = _read(shapes[0])
+    for shape in shapes[1:]:
+        whole = merge(whole, _read(shape))
+    return whole
+
+
+def _groups(pattern: Pattern, path: tuple = ()) -> Iterator[tuple[tuple, Pattern]]:
+    """Path and group, the whole first."""
+    yield path, pattern
+    for group in pattern.inner:
+        yield from _groups(group, (*path, group.key))
+
+
+def _of(path: tuple) -> int:
+    return digest("\n".join(path))
+
+
+def learned(page: str) -> tuple[int, str, list[int], list[dict]]:
+    """What a page teaches: its whole text and its shape, its groups, the texts of each of them with their length."""
+    tree = parse(page)
+    pattern = generalise(tree)
+    texts: dict[int, set] = {}
+    for path, group in _groups(pattern):
+        texts.setdefault(_of(path), set()).update(group.texts)
+    return (digest("\n".join(blocks(tree, frozenset()))), _written(pattern), list(texts),
+            [{"path": p, "text": digest(t), "size": len(t)} for p, own in texts.items() for t in sorted(own)])
 
 
 def _article(pattern: Pattern, path: tuple = ()) -> tuple | None:
@@ -204,44 +251,51 @@ def _article(pattern: Pattern, path: tuple = ()) -> tuple | None:
     return None
 
 
-def _heaviest(pattern: Pattern) -> tuple:
-    """Path of the smallest group that holds nearly all slot text."""
-    path, total = (), _mass(pattern)
+def _heaviest(pattern: Pattern, own: dict[int, int]) -> tuple:
+    """Path of the smallest group that holds nearly all slot text, without that in links.
+
+    ``own``: characters of the slots of each group itself.
+    """
+    mass: Counter = Counter()
+    for at in {p for p, _ in _groups(pattern)}:
+        if not any(key.split(".")[0] == "a" for key in at):
+            for k in range(len(at) + 1):
+                mass[at[:k]] += own.get(_of(at), 0)
+    path, total = (), mass[()]
     while True:
-        heavy = [g for g in pattern.inner if _mass(g) >= 0.8 * total and g.key.split(".")[0] in BLOCK and not g.repeated]
+        heavy = [g for g in pattern.inner if mass[(*path, g.key)] >= 0.8 * total and g.key.split(".")[0] in BLOCK and not g.repeated]
         if not total or not heavy or heavy[0].key.split(".")[0] in ("p", *HEADINGS):
             return path
         pattern = heavy[0]
         path = (*path, pattern.key)
 
 
-def _template(pattern: Pattern, inside: bool, path: tuple, target: tuple, out: set) -> None:
-    inside = inside or path == target
-    if inside and pattern.pages >= TEMPLATE_PAGES:
-        for text, n in pattern.texts.items():
-            if n >= TEMPLATE_PAGES and n > 0.5 * pattern.pages:
-                out.add(text)
-    for group in pattern.inner:
-        _template(group, inside, (*path, group.key), target, out)
+def _rule(whole: Pattern, sizes: dict[int, int], template: list[dict]) -> str:
+    """The wrapper as JSON: the article's path and the template texts in it.
+
+    ``sizes``: characters of the different texts of each group; ``template``: path, text and
+    size of those that stand in more than half of the pages that have the group.
+    """
+    slots = Counter(sizes)
+    for t in template:
+        slots[t["path"]] -= t["size"]
+    path = _article(whole) or _heaviest(whole, slots)
+    inside = {_of(p) for p, _ in _groups(whole) if p[:len(path)] == path}
+    return json.dumps({"path": list(path), "template": sorted({t["text"] for t in template if t["path"] in inside})})
 
 
 def wrapper(pages: list[str]) -> str:
-    """The wrapper of a host's sample pages: article path and template texts, as JSON."""
-    whole, seen = None, set()
-    for page in pages:
-        tree = parse(page)
-        said = "\n".join(blocks(tree, frozenset()))
-        if said in seen:  # copies agree on everything and teach no template
-            continue
-        seen.add(said)
-        own = generalise(tree)
-        whole = own if whole is None else merge(whole, own)
-    if whole is None:
+    """The wrapper of a few pages of one host, as ``main_text`` learns it from all of them."""
+    once = {said: rest for said, *rest in map(learned, pages)}.values()  # copies agree on everything and teach no template
+    if not once:
         return json.dumps({"path": [], "template": []})
-    path = _article(whole) or _heaviest(whole)
-    template: set = set()
-    _template(whole, not path, (), path, template)
-    return json.dumps({"path": list(path), "template": sorted(template)})
+    have = Counter(p for _, paths, _ in once for p in paths)
+    said = Counter((t["path"], t["text"], t["size"]) for _, _, texts in once for t in texts)
+    sizes: Counter = Counter()
+    for path, _, size in said:
+        sizes[path] += size
+    template = [{"path": p, "text": t, "size": size} for (p, t, size), n in said.items() if n >= TEMPLATE_PAGES and 2 * n > have[p]]
+    return _rule(_aligned(list(dict.fromkeys(shape for shape, _, _ in once))), sizes, template)
 
 
 def blocks(node: Node, template: frozenset) -> list[str]:
@@ -254,7 +308,7 @@ def blocks(node: Node, template: frozenset) -> list[str]:
 
     def flush():
         text = " ".join("".join(run).split())
-        if text and text not in template:
+        if text and not (template and digest(text) in template):
             out.append(text)
         run.clear()
 
@@ -314,8 +368,50 @@ def extract(page: str, wrapper_json: str | None) -> str:
     return "\n".join(t for root in roots for t in blocks(root, template))
 
 
-def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [key[0]], "wrapper": [wrapper(rows.sort_values("place")["html"].tolist())]})
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64()), ("size", pa.int32())]))
+    for batch in batches:
+        said, shape, paths, own = zip(*map(learned, batch.column("html").to_pylist())) if batch.num_rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), batch.column("place"), pa.array(said, pa.int64()), pa.array(shape, pa.string()),
+             pa.array(paths, pa.list_(pa.int64())), pa.array(own, texts)], names=["host", "place", "said", "shape", "paths", "texts"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("shapes").to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), pa.array([x[0]["place"] for x in lists], pa.int64()),
+             pa.array([_written(_aligned([e["shape"] for e in x])) for x in lists], pa.string())], names=["host", "place", "shape"])
+
+
+def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rules = [_rule(_read(s), {e["path"]: e["size"] for e in sizes or ()}, template or []) for s, sizes, template in zip(
+            *(batch.column(c).to_pylist() for c in ("shape", "sizes", "template")))]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rules, pa.string())], names=["host", "wrapper"])
+
+
+def _wrappers(rows: DataFrame) -> DataFrame:
+    """host, wrapper: learned from every page; copies agree on everything and teach no template."""
+    pages = rows.filter("html <> ''").select("host", F.xxhash64("url", "html").alias("place"), "html").mapInArrow(
+        _learned, "host string, place long, said long, shape string, paths array<long>, texts array<struct<path:long,text:long,size:int>>")
+    once = cut(pages.groupBy("host", "said").agg(F.min(F.struct("place", "shape", "paths", "texts")).alias("p")).select("host", "p.*"), "learned")
+
+    def in_order(shapes, *by):  # by the hash of the first page that has a shape
+        return shapes.groupBy("host", *by).agg(F.array_sort(F.collect_list(F.struct("place", "shape"))).alias("shapes")).mapInArrow(
+            _joined, "host string, place long, shape string")
+
+    shapes = once.groupBy("host", "shape").agg(F.min("place").alias("place")).withColumn("bucket", F.pmod(F.xxhash64("shape"), F.lit(BUCKETS)))
+    whole = in_order(in_order(shapes, "bucket"))
+    have = once.select("host", F.explode("paths").alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    said = cut(once.select("host", F.inline("texts")).groupBy("host", "path", "text").agg(
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("size")), "said")
+    sizes = said.groupBy("host", "path").agg(F.sum("size").alias("size"))
+    template = said.filter(F.col("n") >= TEMPLATE_PAGES).join(have, ["host", "path"]).filter(F.col("n") * 2 > F.col("pages"))
+    return whole.join(sizes.groupBy("host").agg(F.collect_list(F.struct("path", "size")).alias("sizes")), "host", "left").join(
+        template.groupBy("host").agg(F.collect_list(F.struct("path", "text", "size")).alias("template")), "host", "left").select(
+        "host", "shape", "sizes", "template").mapInArrow(_rules, "host string, wrapper string")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +425,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every row of ``pages``.
 
-    ``SAMPLE`` pages of each host, those with the smallest hashes, make its wrapper; a
-    host's pages are read each on its own, so a host may hold any share of all rows.
+    All pages of a host make its wrapper: each distinct shape is aligned, each text of a group
+    is counted over the pages that have the group, as rows per host, group and text, so a host
+    may hold any share of all rows.
     White space inside a block is one space, blocks are joined by one line feed, character
     references are decoded; ``n_chars`` counts code points.
 
@@ -341,10 +438,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", parts(F.col("url"))[0])
-    place = F.xxhash64("url", "html")
-    few = Window.partitionBy("host").orderBy("place", "page_id")
-    sample = rows.select("host", "html", "page_id", place.alias("place")).filter("html <> ''").withColumn(
-        "n", F.row_number().over(few)).filter(F.col("n") <= SAMPLE)
-    wrappers = cut(sample.select("host", "html", "place").groupBy("host").applyInPandas(_infer, "host string, wrapper string"), "wrappers")
+    wrappers = cut(_wrappers(rows), "wrappers")
     return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long")

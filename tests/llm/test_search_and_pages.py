@@ -63,6 +63,20 @@ def test_odd_pages(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_template_texts_are_counted_over_all_pages(spark):
+    often, seldom = [f"Notice {k} of the house" for k in range(8)], [f"Saying {k} of the week" for k in range(8)]
+    rows = []
+    for i in range(60):  # line k stands in 33 of 60 pages, saying k in 27
+        lines = [x for k in range(8) for x in ([often[k]] if (i * 7 + k * 11) % 60 < 33 else []) + ([seldom[k]] if (i * 13 + k * 17) % 60 < 27 else [])]
+        body = "".join(f"<p>{x}</p>" for x in [f"own text {i} " + "long " * 20, *lines])
+        rows.append((i, f"http://h.org/{i}", f"<body><div class=menu>m</div><div class=story>{body}</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    texts = [r.text for r in main_text(df).collect()]
+    assert len(texts) == 60 and not any(x in t for t in texts for x in often)
+    assert [sum(x in t for t in texts) for x in seldom] == [27] * 8
+    assert main_text(df.union(df)).filter("text LIKE '%Notice%'").count() == 0  # copies count once
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://Sub.Example.NET/en/x?y"), (2, "http://a.net"), (3, "http://a.net/"), (4, "https://x.org/fr/"), (5, "x.org/fr/"), (6, None),
             (6, None), (None, "http://www.example.com/de/a#b"), (8, "http://notexample.com/de/"), (9, "http://cheap-pills.example.com/"),
