@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,11 +114,12 @@ class WordEncoder:
         self.known = Numbers({w: to[i] for w, i in self.known.items() if keep[i]})
         self.seen = np.zeros(len(self.length), np.int32)
 
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each word's number of ids."""
         if len(self.known) > KEPT or len(self.flat) > 16 * KEPT:
             self._give_up_rare()
-        number, fresh = self.known.of(words), self.known.fresh
+        own = words.dictionary_encode()  # a word is looked up once, however often it stands here
+        number, fresh = self.known.of(own.dictionary.cast(pa.binary()).to_pylist())[own.indices.to_numpy()], self.known.fresh
         flat, length = [self.flat], [self.length]
         for at in range(0, len(fresh), AT_ONCE):
             ids = self._ids([w.decode() for w in fresh[at:at + AT_ONCE]])
@@ -136,16 +138,20 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and each text's number of ids."""
         if len(texts) == 1 and len(texts[0]) > LONG:
-            ids = [self._words(part.split())[0] for part in windows(self._plain(texts[0]), LONG)]
+            ids = [self._words(split([part])[0])[0] for part in windows(self._plain(texts[0]), LONG)]
             return np.concatenate(ids), np.array([sum(map(len, ids))])
-        words, count = [], []
-        for text in texts:
-            own = self._plain(text).split()
-            words += own
-            count.append(len(own))
+        words, first = split([self._plain(text) for text in texts])
         ids, size = self._words(words)
-        total = np.concatenate([[0], np.cumsum(size)])
-        return ids, np.diff(total[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[first])
+
+
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the place of each text's first one (one more entry closes the last text)."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+    words = lists.values
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text gives an empty word
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), before[lists.offsets.to_numpy()]
 
 
 def windows(text: bytes, limit: int) -> Iterator[bytes]:

@@ -86,3 +86,17 @@ def test_one_document_from_its_blocks(spark, odd, tmp_path):
         assert file.document(at).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [2]
         assert len(file.offset) == len(file.block) + 1 > 20
         assert sum(map(len, file.steps())) == file.size.sum()
+
+
+def test_a_word_is_looked_up_once_a_piece(monkeypatch):
+    from tablescout.llm import token_files
+
+    asked = []
+    of = token_files.Numbers.of
+    monkeypatch.setattr(token_files.Numbers, "of", lambda self, things: (asked.extend(things), of(self, things))[1])
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", " one two\x0bone\x1c ", "Two\tone \n" * 400, "é\xa0two one", "two"]
+    ids, size = encoder.encode([t.encode() for t in texts])
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and size.tolist() == [len(x) for x in want]
+    assert len(asked) == len(set(asked)) == 4
