@@ -331,16 +331,17 @@ def passages(docs: DataFrame) -> DataFrame:
     a null doc_id comes first; an empty table gives no rows; other columns are ignored.
     """
     texts = _keyed(docs)
-    here = cut(texts.mapInArrow(
-        _paragraphs, "dk long, doc_id long, pos int, size int, same long, around long, " + ", ".join(f"h{b} long" for b in range(KEYS))), "paragraphs")
+    # nearly all paragraphs stand alone: they are read from the texts twice and written only where a class meets another document
+    here = texts.mapInArrow(
+        _paragraphs, "dk long, doc_id long, pos int, size int, same long, around long, " + ", ".join(f"h{b} long" for b in range(KEYS)))
     # paragraphs of equal words are one class, known by its hash; only classes are banded and compared
-    classes = cut(here.groupBy("same").agg(
-        F.min("dk").alias("cdk"), F.max("dk").alias("last"), *[F.min(f"h{b}").alias(f"h{b}") for b in range(KEYS)]), "classes")
-    keys = classes.select("same", "cdk", "last", F.explode(F.array(*[f"h{b}" for b in range(KEYS)])).alias("h"))
-    shared = keys.groupBy("h").agg(F.min("cdk").alias("first"), F.max("last").alias("_last")).filter("first <> _last").select("h", "first")
-    found = cut(keys.join(shared, "h"), "colliding")
-    centre = found.filter("cdk = first").groupBy("h").agg(F.min("same").alias("csame"))
-    links = cut(found.join(centre, "h").select("same", "csame", "cdk", "last").distinct(), "links")
+    classes = here.groupBy("same").agg(
+        F.min("dk").alias("cdk"), F.max("dk").alias("last"), *[F.min(f"h{b}").alias(f"h{b}") for b in range(KEYS)])
+    # keys are shuffled once, in the same form for the counts and for the join
+    keys = classes.select("same", "cdk", "last", F.explode(F.array(*[f"h{b}" for b in range(KEYS)])).alias("h")).repartition("h")
+    centre = keys.groupBy("h").agg(F.min(F.struct("cdk", "same")).alias("c"), F.max("last").alias("_last")).filter("c.cdk <> _last")
+    found = cut(keys.join(centre.select("h", F.col("c.same").alias("csame")).hint("merge"), "h"), "colliding")
+    links = cut(found.select("same", "csame", "cdk", "last").distinct(), "links")
     member = cut(here.select("same", "around", "dk", "pos", "size", "doc_id").join(
         links.select("same", "cdk").distinct(), "same"), "members")
     # a class is compared, and met by others, at its first place in its smallest document
