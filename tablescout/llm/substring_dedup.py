@@ -185,7 +185,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words outward of asked places: before a passage's first word, from behind its last."""
+    """Words of asked blocks of ``STEP`` words, and as many before and behind them."""
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            words = Words(*utf8(part.column("text")))
+            asked = part.column("asked")
+            doc = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy())
+            block = asked.flatten().to_numpy()
+            first, size = words.first[doc], np.diff(words.first)[doc]
+            low, high = np.maximum(block - 1, 0) * STEP, np.minimum((block + 2) * STEP, size)
+            count = (high - low).astype(np.int64)
+            spot = np.repeat(first + low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("dk").take(pa.array(doc, pa.int64())), pa.array(block), list_column(pa.array(signed(words.hash[spot])), count)],
+                names=["dk", "block", "words"])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Code points at which passages begin, at their first word, or end, behind their last."""
     for batch in batches:
         for part in pieces(batch, "text"):
             data, offs = utf8(part.column("text"))
@@ -193,29 +210,18 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             asked = part.column("asked")
             doc = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy())
             code = asked.flatten().to_numpy()
-            at, right = code >> 1, code & 1
-            hashes, places, count = [], [], []
-            for d, a, r in zip(doc, at, right):
-                first, end = words.first[d], words.first[d + 1]
-                base = chars[offs[d]]
-                own = np.arange(first + a, min(end, first + a + STEP)) if r else np.arange(first + a - 1, max(first, first + a - STEP) - 1, -1)
-                # the edge itself comes first, then one place for every word taken in
-                edge = words.end[first + a - 1] if r else words.start[first + a]
-                hashes.append(words.hash[own])
-                places.append(chars[np.concatenate([[edge], words.end[own] if r else words.start[own]])] - base)
-                count.append(len(own))
-            count = np.array(count, np.int64)
+            right = code & 1
+            word = words.first[doc] + (code >> 1) - right
+            place = chars[np.where(right == 1, words.end[word], words.start[word])] - chars[offs[doc]]
             yield pa.RecordBatch.from_arrays(
-                [part.column("dk").take(pa.array(doc, pa.int64())), pa.array(code),
-                 list_column(pa.array(signed(np.concatenate(hashes)) if hashes else np.zeros(0, np.int64)), count),
-                 list_column(pa.array(np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)), count + 1)],
-                names=["dk", "code", "words", "places"])
+                [part.column("dk").take(pa.array(doc, pa.int64())), pa.array(code), pa.array(place.astype(np.int32))],
+                names=["dk", "code", "place"])
 
 
 def _asked(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """The documents asked for, once each, with the asked numbers; bounded by a document."""
     lists = wanted.groupBy("dk").agg(F.collect_set(column).alias("asked"))
-    return docs.join(lists, "dk").select("dk", "doc_id", "text", "asked")
+    return docs.join(lists, "dk").select("dk", "doc_id", "text", "asked").dropDuplicates(["dk"])
 
 
 def _islands(texts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +248,7 @@ def _islands(texts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = cut(spans(ISLAND[:-1]).filter("x <> y"), "joined")
     code = [(F.col(a).cast("long") * (1 << 32) + F.col(b)) for a, b in (("p0", "p1"), ("c0", "c1"))]
     asked = whole.select("dk", code[0].alias("code")).union(whole.select("cdk", code[1].alias("code"))).distinct()
-    sets = cut(_asked(texts, asked, "code").mapInArrow(_spans, "dk long, code long, s array<long>").dropDuplicates(["dk", "code"]), "spans")
+    sets = cut(_asked(texts, asked, "code").mapInArrow(_spans, "dk long, code long, s array<long>"), "spans")
     both = whole.withColumn("ca", code[0]).withColumn("cb", code[1]).join(
         sets.select("dk", F.col("code").alias("ca"), F.col("s").alias("sa")), ["dk", "ca"]).join(
         sets.select(F.col("dk").alias("cdk"), F.col("code").alias("cb"), F.col("s").alias("sb")), ["cdk", "cb"])
@@ -259,63 +265,99 @@ def _run_islands(texts: DataFrame, places: DataFrame) -> DataFrame:
     """
     # places with the same words around are one, known by its first document
     one = cut(places.groupBy("same", "around").agg(
-        F.min(F.struct("dk", "pos")).alias("r"), F.max("dk").alias("last"), F.min(F.struct("doc_id", "dk")).alias("k")).select(
-        "same", "around", F.col("r.dk").alias("dk"), F.col("r.pos").alias("pos"), "last", "k"), "surroundings")
+        F.min(F.struct("dk", "pos", "size")).alias("r"), F.max("dk").alias("last"), F.min(F.struct("doc_id", "dk")).alias("k")).select(
+        "same", "around", F.col("r.dk").alias("dk"), F.col("r.pos").alias("pos"), F.col("r.size").alias("size"), "last", "k"), "surroundings")
     runs = cut(_asked(texts, one, "pos").mapInArrow(_runs, "dk long, pos int, low int, key long, runs array<long>")
-               .dropDuplicates(["dk", "pos", "key"]).join(one.drop("same", "around"), ["dk", "pos"]), "runs")
+               .join(one.drop("same", "around"), ["dk", "pos"]), "runs")
     met = runs.groupBy("key").agg(F.min("dk").alias("x"), F.max("last").alias("y")).filter("x <> y").select("key")
-    run = cut(runs.join(met, "key").select("dk", "pos", "low", "last", "k", F.posexplode("runs").alias("i", "h")).select(
-        "dk", "pos", (F.col("low") + F.col("i")).alias("off"), "h", "last", "k"), "run")
-    group = run.groupBy("h").agg(F.min(F.struct("dk", (F.col("pos") + F.col("off")).alias("at"))).alias("c"), F.max("last").alias("last"), F.min("k").alias("k"))
+    run = cut(runs.join(met, "key").select("dk", "pos", "size", "low", "last", "k", F.posexplode("runs").alias("i", "h")).select(
+        "dk", "pos", "size", (F.col("low") + F.col("i")).alias("off"), "h", "last", "k"), "run")
+    group = run.groupBy("h").agg(F.min(F.struct("dk", (F.col("pos") + F.col("off")).alias("at"), "size")).alias("c"), F.max("last").alias("last"), F.min("k").alias("k"))
     group = group.filter("c.dk <> last").select(
-        "h", F.col("c.dk").alias("cdk"), F.col("c.at").alias("cat"), F.struct("k.doc_id", "k.dk", "h").alias("o"))
+        "h", F.col("c.dk").alias("cdk"), F.col("c.at").alias("cat"), F.col("c.size").alias("csize"), F.struct("k.doc_id", "k.dk", "h").alias("o"))
     rows = run.select("dk", "pos", "off", "h").join(group, "h").withColumn("way", F.col("pos") + F.col("off") - F.col("cat"))
     w = Window.partitionBy("dk", "pos", "cdk", "way").orderBy("off")
     part = F.sum(F.when(F.col("off") - F.lag("off").over(w) <= 1, 0).otherwise(1)).over(w)
     spans = cut(rows.withColumn("part", part).groupBy("dk", "pos", "cdk", "way", "part").agg(
-        F.min("off").alias("off"), F.min("cat").alias("c0"), (F.max("cat") + MIN_WORDS).alias("c1"), F.min("o").alias("o")), "run_spans")
-    met = places.select("same", "around", F.col("dk").alias("own"), F.col("pos").alias("at")).join(
+        F.min("off").alias("off"), F.min("cat").alias("c0"), (F.max("cat") + MIN_WORDS).alias("c1"), F.min("csize").alias("csize"), F.min("o").alias("o")), "run_spans")
+    met = places.select("same", "around", F.col("dk").alias("own"), F.col("pos").alias("at"), "size").join(
         one.select("same", "around", "dk", "pos"), ["same", "around"]).join(spans, ["dk", "pos"]).filter("own <> cdk").select(
-        F.col("own").alias("dk"), "cdk", (F.col("at") + F.col("off")).alias("p0"), "c0", "c1", "o").withColumn("way", F.col("p0") - F.col("c0"))
+        F.col("own").alias("dk"), "cdk", (F.col("at") + F.col("off")).alias("p0"), "c0", "c1", "size", "csize", "o").withColumn("way", F.col("p0") - F.col("c0"))
     w = Window.partitionBy("dk", "cdk", "way").orderBy("c0", "c1")
     past = F.max("c1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     part = F.sum(F.when(F.col("c0") <= F.col("past"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return cut(met.withColumn("past", past).withColumn("part", part).groupBy("dk", "cdk", "way", "part").agg(
-        F.min("p0").alias("p0"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("o").alias("o")).select(
-        "dk", "cdk", "p0", "c0", (F.col("c1") + F.col("way")).alias("p1"), "c1",
+        F.min("p0").alias("p0"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("size").alias("size"), F.min("csize").alias("csize"), F.min("o").alias("o")).select(
+        "dk", "cdk", "p0", "c0", (F.col("c1") + F.col("way")).alias("p1"), "c1", "size", "csize",
         F.col("o.doc_id").alias("kept_id"), F.col("o.dk").alias("kept_dk"), F.col("o.h").alias("component")), "run_islands")
 
 
 def _grown(texts: DataFrame, island: DataFrame) -> DataFrame:
-    """Islands with the words, ``left`` and ``right``, by which both sides agree beyond them."""
-    edges = [("dk", "p0", 0), ("dk", "p1", 1), ("cdk", "c0", 0), ("cdk", "c1", 1)]
-    wanted = None
-    for d, p, r in edges:
-        one = island.select(F.col(d).alias("dk"), (F.col(p) * 2 + r).alias("code"))
-        wanted = one if wanted is None else wanted.union(one)
-    around = cut(_asked(texts, wanted.distinct(), "code").mapInArrow(
-        _surroundings, "dk long, code int, words array<long>, places array<int>").dropDuplicates(["dk", "code"]), "around")
-    for j, (d, p, r) in enumerate(edges):
-        island = island.join(around.filter(F.col("code") % 2 == r).select(F.col("dk").alias(d), F.col("code").alias("code"), F.col("words").alias(f"w{j}"), F.col("places").alias(f"x{j}"))
-                             .withColumn(p, F.expr(f"cast((code - {r}) / 2 as int)")).drop("code"), [d, p])
-
-    def grown(x: str, y: str):
-        size = F.least(F.size(x), F.size(y))
-        differ = F.expr(f"filter(sequence(0, greatest(least(size({x}), size({y})) - 1, 0)), i -> get({x}, i) <> get({y}, i))")
-        return F.when(size == 0, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)), size))
-
-    return island.withColumn("left", grown("w0", "w2")).withColumn("right", grown("w1", "w3")).drop("w0", "w1", "w2", "w3")
+    """Islands with the words, ``left`` and ``right``, by which both sides agree beyond them.
+
+    Only ends with ``open0`` (left) and ``open1`` (right) are followed, by ``STEP`` words at
+    most. Words are asked for by blocks, so there are no more of them than the texts have.
+    """
+    ends = [island.filter(f"open{r}").select("dk", F.col(p).alias("p"), "cdk", F.col(c).alias("c"), F.lit(r).alias("r"))
+            for r, p, c in ((0, "p0", "c0"), (1, "p1", "c1"))]
+    ends = cut(ends[0].union(ends[1]).distinct(), "ends")
+    block = [F.expr(f"{x} div {STEP}").cast("int").alias("block") for x in ("p", "c")]
+    wanted = ends.select("dk", block[0]).union(ends.select("cdk", block[1])).distinct()
+    around = cut(_asked(texts, wanted, "block").mapInArrow(_surroundings, "dk long, block int, words array<long>"), "around")
+
+    def outward(x: str):
+        """The ``STEP`` words before place ``x``, nearest first, or behind it."""
+        low, begin = F.greatest(F.col("block") - 1, F.lit(0)) * STEP, F.greatest(F.col(x) - STEP, F.lit(0))
+        return F.when(F.col("r") == 0, F.reverse(F.slice("words", begin - low + 1, F.col(x) - begin))).otherwise(
+            F.slice("words", F.col(x) - low + 1, F.lit(STEP)))
+
+    met = ends.withColumn("block", block[0]).join(around, ["dk", "block"]).select("dk", "p", "cdk", "c", "r", outward("p").alias("own"))
+    met = met.withColumn("block", block[1]).join(around.withColumnRenamed("dk", "cdk"), ["cdk", "block"]).select(
+        "dk", "p", "cdk", "c", "r", "own", outward("c").alias("other"))
+    differ = F.expr("array_position(zip_with(own, other, (a, b) -> a <=> b), false)")
+    grown = cut(met.withColumn("differ", differ).select("dk", "p", "cdk", "c", "r", F.when(F.col("differ") == 0, F.size("own")).otherwise(
+        F.col("differ") - 1).cast("int").alias("n")), "growth")
+    for name, r, p, c in (("left", 0, "p0", "c0"), ("right", 1, "p1", "c1")):
+        one = grown.filter(F.col("r") == r).select("dk", F.col("p").alias(p), "cdk", F.col("c").alias(c), F.col("n").alias(name))
+        island = island.join(one, ["dk", p, "cdk", c], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return island
 
 
 def _sides(island: DataFrame) -> DataFrame:
-    """Both documents' spans of grown islands."""
+    """Both documents' spans of grown islands, if they are passages."""
     sides = None
-    for d, p0, p1, x0, x1 in (("dk", "p0", "p1", "x0", "x1"), ("cdk", "c0", "c1", "x2", "x3")):
+    for d, p0, p1 in (("dk", "p0", "p1"), ("cdk", "c0", "c1")):
         one = island.select(F.col(d).alias("dk"), (F.col(p0) - F.col("left")).alias("w0"), (F.col(p1) + F.col("right")).alias("w1"),
-                            F.get(x0, F.col("left")).alias("start"), F.get(x1, F.col("right")).alias("end"),
-                            "component", "kept_id", "kept_dk")
+                            "component", "kept_id", F.expr(f"{d} <> kept_dk").alias("removed"))
         sides = one if sides is None else sides.union(one)
-    return sides
+    return sides.filter(F.col("w1") - F.col("w0") >= MIN_WORDS)
+
+
+def _overlapping(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``part``, which numbers those of one document and verdict that overlap or touch."""
+    w = Window.partitionBy("dk", "removed").orderBy("w0", "w1")
+    past = F.max("w1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("w0") <= F.col("past"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("past", past).withColumn("part", part).drop("past")
+
+
+def _open_ends(sides: DataFrame, island: DataFrame) -> DataFrame:
+    """Islands of ``MIN_WORDS`` or more with ``open0`` and ``open1``: whether growth at that end can add a word.
+
+    An end that lies ``STEP`` words or more inside the spans that its document has anyway
+    adds none, nor does one beside the edge of the document.
+    """
+    key = ["dk", "p0", "cdk", "c0"]
+    none = [F.lit(None).cast(t) for t in ("long", "int", "long", "int", "int")]
+    spans = sides.select("dk", "w0", "w1", "removed", *[x.alias(n) for x, n in zip(none, ("d", "p", "cd", "c", "size"))])
+    for d, p0, p1, size in (("dk", "p0", "p1", "size"), ("cdk", "c0", "c1", "csize")):
+        spans = spans.union(island.select(d, p0, p1, F.expr(f"{d} <> kept_dk"), *key, size))
+    w = Window.partitionBy("dk", "removed", "part")
+    spans = _overlapping(spans).withColumn("u0", F.min("w0").over(w)).withColumn("u1", F.max("w1").over(w)).filter("d IS NOT NULL")
+    ends = spans.groupBy(*[F.col(a).alias(b) for a, b in zip(("d", "p", "cd", "c"), key)]).agg(
+        F.max((F.col("w0") - F.col("u0") < STEP) & (F.col("u0") > 0)).alias("open0"),
+        F.max((F.col("u1") - F.col("w1") < STEP) & (F.col("u1") < F.col("size"))).alias("open1"))
+    return cut(island.drop("size", "csize").join(ends, key), "open_ends")
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -349,7 +391,7 @@ def passages(docs: DataFrame) -> DataFrame:
     open_ = links.filter("same <> csame").select("same", "csame")
     wanted = place.join(open_.select("same").union(open_.select("csame")).distinct(), "same")
     sets = cut(_asked(texts, wanted, "pos").mapInArrow(_sets, "dk long, pos int, s array<long>, marks array<long>")
-               .dropDuplicates(["dk", "pos"]).join(wanted, ["dk", "pos"]).select("same", "s", "marks"), "sets")
+               .join(wanted, ["dk", "pos"]).select("same", "s", "marks"), "sets")
 
     def verified(pairs):
         both = pairs.join(sets.select("same", F.col("s").alias("sa")), "same").join(
@@ -386,25 +428,27 @@ def passages(docs: DataFrame) -> DataFrame:
         "dk", "doc_id", "pos", "size", "same", "component", "kept_id", "kept_dk", F.inline_outer("partners")), "owner")
     # neighbours that agree with one document are one passage
     rows, island = _islands(texts, owner.filter("dk <> cdk"))
-    island = cut(_grown(texts, island), "grown")
+    island = cut(_grown(texts, island.withColumn("open0", F.lit(True)).withColumn("open1", F.lit(True))), "grown")
     # every other run of MIN_WORDS words at a place whose passage does not hold all its runs can have another partner
     reach = rows.join(island.select(*ISLAND, (F.col("p0") - F.col("left")).alias("w0"), (F.col("p1") + F.col("right")).alias("w1")),
                       ISLAND).groupBy("same", "dk", "pos").agg(F.max(
         (F.col("w0") <= F.greatest(F.col("pos") - MIN_WORDS + LENGTH, F.lit(0)))
         & (F.col("w1") >= F.least(F.col("pos") + MIN_WORDS, "size"))).alias("whole"))
     unsettled = reach.filter("NOT whole").select("same").distinct()
-    sides = _sides(island).union(_sides(_grown(texts, _run_islands(
-        texts, cut(member.drop("cdk", "size").distinct().join(unsettled, "same"), "unsettled")))))
-    sides = sides.filter(F.col("w1") - F.col("w0") >= MIN_WORDS).withColumn("removed", F.col("dk") != F.col("kept_dk"))
+    sides = _sides(island)
+    run = _run_islands(texts, cut(member.drop("cdk").distinct().join(unsettled, "same"), "unsettled"))
+    sides = sides.union(_sides(_grown(texts, _open_ends(sides, run))))
     # overlapping spans of one document with one verdict are one row
-    w = Window.partitionBy("dk", "removed").orderBy("w0", "w1", "component")
-    past = F.max("w1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    part = F.sum(F.when(F.col("w0") <= past, 0).otherwise(1)).over(w)
-    merged = sides.withColumn("past", past).withColumn("part", part).groupBy("dk", "removed", "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"),
-        F.min("component").alias("component"), F.min("kept_id").alias("kept_id"))
+    merged = cut(_overlapping(sides).groupBy("dk", "removed", "part").agg(
+        F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("component").alias("component"), F.min("kept_id").alias("kept_id")), "spans")
+    code = [(F.col("w0") * 2).alias("code"), (F.col("w1") * 2 + 1).alias("code")]
+    edge = cut(_asked(texts, merged.select("dk", code[0]).union(merged.select("dk", code[1])).distinct(), "code").mapInArrow(
+        _edges, "dk long, code int, place int"), "edges")
+    for name, word, r in (("start", "w0", 0), ("end", "w1", 1)):
+        merged = merged.join(edge.filter(F.col("code") % 2 == r).select(
+            "dk", F.shiftright("code", 1).alias(word), F.col("place").alias(name)), ["dk", word])
     # what one cluster keeps and another removes whole is removed
-    merged = cut(merged, "merged")
+    merged = cut(merged.withColumn("n_words", F.col("w1") - F.col("w0")), "merged")
     gone = merged.filter("removed").select(F.col("dk").alias("d"), F.col("start").alias("a"), F.col("end").alias("b"))
     stays = merged.filter("NOT removed").join(gone, F.expr("dk = d AND a <= start AND end <= b"), "left_anti")
     ids = owner.select("dk", "doc_id").distinct()

@@ -115,3 +115,28 @@ def test_short_lines_do_not_take_the_words_between_them(spark):
     got = passages(df).collect()
     assert not [x for x in got if x.doc_id < 900]
     assert sorted((x.doc_id, x.removed, 130 <= x.n_words < 134) for x in got) == [(900, False, True), (901, True, True)]
+
+
+def test_words_beside_passages_are_asked_for_once(spark, monkeypatch):
+    """Near copies meet many partners; the words beside their passages are read once a block all the same."""
+    from tablescout.llm import substring_dedup as sd
+
+    made, whole = {}, sd.cut
+
+    def counted(df, label):
+        out = whole(df, label)
+        made.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(sd, "cut", counted)
+    r = random.Random(9)
+    base, rows = words(r, 200).split(" "), []
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(200), 4):
+            w[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(w)))
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({x.doc_id for x in got}) > 250
+    blocks = sum(len(t.split(" ")) // sd.STEP + 1 for _, t in rows)
+    assert len(made["around"]) == 2 and max(made["around"]) <= blocks
