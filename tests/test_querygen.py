@@ -64,3 +64,44 @@ def test_query_documents_are_compressed(spark, sig, tmp_path):
     files = [p.name for p in (tmp_path / "q").glob("part-*")]
     assert files and all(re.search(r"\.json\.gz$", f) for f in files)
     assert spark.read.json(str(tmp_path / "q")).count() == queries.count()
+
+
+def test_lists_are_taken_from_blocks_a_worker_remembers(sig):
+    held = qg._Held(["query"])
+    own = [[(0, qg._direct, 0, "economic", (2020, 2022)), (1, qg._concept_source, 0, "economic", (2020, 2022))]]
+    for _ in range(50):
+        held.add(own)
+    lists = held.handed_on()
+    assert len(lists) == 50 and len(set(map(str, lists.to_pylist()))) == 1
+    assert len(held.items) == len(lists[0]) == 27  # written out once for 50 seeds
+    assert "ArrowEvalPython" in plan(qg.generate(sig)) and "lambda" not in plan(qg.generate(sig))
+
+
+def test_first_by_branch_is_kept_and_order_is_by_priority(spark):
+    # The augmentation of branch 4 comes after the synonym of branch 5, and still is the one that is kept.
+    rows = [(1, ["region"], ["no such"], ["A_b ", " a b"], {"region": ["x"], "country_name": [None, "Chad", None, "Mali"]}), (2, [], ["", None, None], [None], None)]
+    got = qg.generate(cut(spark.createDataFrame(rows, SIG), "signatures")).orderBy("seed_id", "id").collect()
+    one = [r for r in got if r.seed_id == 1]
+    assert [r["query"] for r in one if r.strategy == "joinability_entity_sample"] == [
+        "countries Chad cross-country dataset CKAN 2020 2022", "countries Chad cross-country dataset Schema.org dataset 2020 2022"]
+    assert [(r.id, r.priority) for r in one] == sorted((r.id, r.priority) for r in one) and len(one) == 3 + 24 * 2 + 2 + 18
+    two = [r for r in got if r.seed_id == 2]
+    assert [r["query"] for r in two][:4] == ["CKAN  country year dataset", "Schema.org dataset  by country 2020 2022", "DCAT catalog  country panel data", None]
+    assert [list(r.pos) for r in two][:4] == [[0, 0], [0, 1], [0, 2], [1, 0]] and len(two) == 4 + 24
+    assert two[4]["query"] == "by country by year CKAN 2020 2022" and two[4].identifier is None
+
+
+def test_heads_beside_signatures_are_those_of_rows(sig):
+    queries = qg.generate(sig)
+    for by in ("strategy", "concept", "target_connector", "priority"):
+        beside, rows = qg.heads(queries, by, 2), qg.heads(queries.filter("true"), by, 2)
+        assert beside.columns == rows.columns and beside.schema["id"].dataType == rows.schema["id"].dataType
+        assert sorted(map(str, beside.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_query_documents_are_packed_at_the_fastest_level(sig, tmp_path):
+    queries = qg.generate(sig)
+    queries.write.json(str(tmp_path / "usual"), compression="gzip")
+    sinks.write_queries(queries, str(tmp_path / "q"))
+    size = {d: sum(p.stat().st_size for p in (tmp_path / d).glob("part-*")) for d in ("usual", "q")}
+    assert size["q"] > size["usual"]
