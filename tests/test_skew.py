@@ -39,3 +39,23 @@ def test_search_and_scores_send_nothing_through_the_driver(spark, monkeypatch):
     scored = di.finalize(found, catalog.drop("text", "catalog_pos", "entry_pos"), fields)
     assert not re.search("Broadcast", "".join([*plans, plan(scored)]))
     assert scored.count() == found.count() > 10 and {tuple(r.matched_join_fields) for r in scored.collect()} == {("year",)}
+
+
+def test_tokens_and_years_are_looked_for_once_per_text(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(di, "cut", lambda df, label: (plans.append(plan(df)), cut(df, label))[1])
+    catalog = cut(spark.range(20).selectExpr(
+        "id AS entry_id", "0 AS catalog_pos", "id AS entry_pos", "if(id = 19, '-', concat('tok', id % 5, ' year')) AS text", "concat('tok', id % 5, ' 2021 1999') AS title",
+        "'d' AS description", "array('k') AS keywords", "array('f') AS field_names", "'s' AS source_name", "'d' AS dataset_id",
+        "'l' AS landing_page", "array('u') AS download_urls"), "catalog")
+    asked = cut(spark.range(6).selectExpr("id AS seed_id", "id AS query_id", "if(id = 5, '', concat('tok', id % 2)) AS query"), "asked")
+    fields = cut(spark.range(6).selectExpr("id AS seed_id", "array('f') AS join_fields", "array('tok1') AS salient_columns", "2020 AS year_min", "2022 AS year_max"), "fields")
+    found = di.catalog_search(asked, catalog).drop("score")
+    assert not any(re.search(r"Filter [^\n]*regexp_replace", p) for p in plans), plans  # asked of equal queries one by one
+    scored = di.finalize(found, catalog.drop("text", "catalog_pos", "entry_pos"), fields)
+    above = plan(scored)
+    assert "LeftSemi" in above and re.search(r"regexp_extract_all", above)
+    years = [line for line in above.split("\n") if "regexp_extract_all" in line]
+    assert all("join_fields" not in line for line in years), years  # beside the entry, not beside a seed's fields
+    rows = scored.collect()
+    assert {r.seed_id for r in rows} == {0, 1, 2, 3, 4} and {tuple(r.years_found) for r in rows} == {(1999, 2021)} and all(r.has_year_overlap for r in rows)
