@@ -105,3 +105,19 @@ def test_query_documents_are_packed_at_the_fastest_level(sig, tmp_path):
     sinks.write_queries(queries, str(tmp_path / "q"))
     size = {d: sum(p.stat().st_size for p in (tmp_path / d).glob("part-*")) for d in ("usual", "q")}
     assert size["q"] > size["usual"]
+
+
+def test_summary_counts_lists_taken_from_blocks(spark, sig):
+    level = cut(spark.createDataFrame([(1, 2), (2, 2), (None, 1)], "seed_id bigint, relaxation_level int"), "levels")
+    queries = qg.generate(sig).unionByName(qg.fallback(sig, level))
+    got = qg.summary(queries)
+    text = plan(got)
+    assert "ArrowEvalPython" in text and "lambda" not in text  # lists are not made value by value
+    counts = {}
+    for r in queries.collect():
+        for d in ("strategy", "target_connector", "concept", "fallback_tier"):
+            if r[d] is not None:
+                counts[r.seed_id, d, str(r[d])] = counts.get((r.seed_id, d, str(r[d])), 0) + 1
+    assert {(r.seed_id, r.dimension, r.key): r.n for r in got.collect()} == counts
+    # Tier 2 asks extended sources with one text each, of which the first stays.
+    assert counts[1, "strategy", "fallback_tier2_extended_sources"] == 8 and (None, "fallback_tier", "2") not in counts
